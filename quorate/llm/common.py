@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What counts as a word everywhere: a run of bytes other than ASCII white space.
@@ -44,3 +44,17 @@ def word_count(text: Column) -> Column:
 
 def doc_crc(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
+
+
+def gapless_rank(df: DataFrame, keys: list[str], order: list, slice_of: Column, slices: int, label: str, name: str = "rank") -> DataFrame:
+    """Add a rank from 0, without gaps, within ``keys``: ranks within (keys, slice), shifted by the
+    counts of the slices before. A key with most of the rows is so spread over ``slices`` groups.
+    ``df`` should be a written table, as it is read twice."""
+    cut = df.withColumn("_slice", F.pmod(F.xxhash64(slice_of), F.lit(slices)).cast("int"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = settle(
+        cut.groupBy(*keys, "_slice").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"),
+        label,
+    )
+    ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order)) - 1)
+    return ranked.join(starts.hint("merge"), [*keys, "_slice"]).withColumn(name, F.col("_start") + F.col("_rank")).drop("_slice", "_start", "_rank")

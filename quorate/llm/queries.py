@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quorate.llm.common import table
 from quorate.llm.mixing import MIX_SQL, mix
+from quorate.llm.packing import pack
 from quorate.llm.sharding import shard_by_bytes
+from quorate.llm.warc import archive_digests
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,10 +17,18 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_digests(table(spark, sf_dir, "pages"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_source_mixing, op5_warc, op6_packing, op10_sharding)}
 
 ORACLE = {"op3_source_mixing": MIX_SQL}
