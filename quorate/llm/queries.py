@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quorate.llm.common import table
+from quorate.llm.jaccard import jaccard_components
 from quorate.llm.mixing import MIX_SQL, mix
 from quorate.llm.packing import pack
 from quorate.llm.sharding import shard_by_bytes
 from quorate.llm.warc import archive_digests
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -29,6 +34,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mixing, op5_warc, op6_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_source_mixing, op5_warc, op6_packing, op10_sharding)}
 
 ORACLE = {"op3_source_mixing": MIX_SQL}
