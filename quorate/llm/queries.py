@@ -10,6 +10,7 @@ from quorate.llm.jaccard import jaccard_components
 from quorate.llm.mixing import MIX_SQL, mix
 from quorate.llm.packing import pack
 from quorate.llm.sharding import shard_by_bytes
+from quorate.llm.toxicity import toxicity_scores
 from quorate.llm.warc import archive_digests
 
 
@@ -22,6 +23,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digests(table(spark, sf_dir, "pages"))
 
@@ -34,6 +39,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_source_mixing, op5_warc, op6_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_source_mixing, op4_toxicity, op5_warc, op6_packing, op10_sharding)}
 
 ORACLE = {"op3_source_mixing": MIX_SQL}

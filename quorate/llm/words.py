@@ -8,12 +8,14 @@ import xxhash
 _digest = xxhash.xxh3_64_digest
 
 
-class WordHashes:
-    """Hashes of a text's words, lower-cased in A-Z: runs of bytes other than ASCII white space.
+class WordTable:
+    """Numbers of a text's words, lower-cased in A-Z: runs of bytes other than ASCII white space.
 
-    Words are remembered; ``most`` bounds the memory."""
+    ``encode`` gives ``width`` big-endian unsigned 64-bit numbers for a word. Words are remembered;
+    ``most`` bounds the memory."""
 
-    def __init__(self, most: int = 600_000, longest: int = 48) -> None:
+    def __init__(self, encode, width: int = 1, most: int = 600_000, longest: int = 48) -> None:
+        self._encode, self._width = encode, width
         self._known: dict[bytes, bytes] = {}
         self._most, self._longest = most, longest
 
@@ -27,13 +29,14 @@ class WordHashes:
             rare = {}
             for word in set(words):
                 if word not in known:
-                    (known if len(word) <= self._longest else rare)[word] = _digest(word)
+                    (known if len(word) <= self._longest else rare)[word] = self._encode(word)
             packed = b"".join([known[w] if w in known else rare[w] for w in words])
-        return np.frombuffer(packed, ">u8").astype(np.uint64)
+        found = np.frombuffer(packed, ">u8").astype(np.uint64)
+        return found if self._width == 1 else found.reshape(-1, self._width)
 
 
 #: One for each Python worker, so that what it remembers serves later tasks.
-word_hashes = WordHashes()
+word_hashes = WordTable(_digest)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
