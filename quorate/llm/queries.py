@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quorate.llm.ann import nearest
 from quorate.llm.common import table
 from quorate.llm.jaccard import jaccard_components
 from quorate.llm.mixing import MIX_SQL, mix
+from quorate.llm.neardup import near_duplicates
 from quorate.llm.packing import pack
 from quorate.llm.sharding import shard_by_bytes
 from quorate.llm.toxicity import toxicity_scores
@@ -18,6 +20,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -35,10 +41,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_source_mixing, op4_toxicity, op5_warc, op6_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_near_dedup, op3_source_mixing, op4_toxicity, op5_warc, op6_packing, op9_nearest_neighbours, op10_sharding)}
 
 ORACLE = {"op3_source_mixing": MIX_SQL}
