@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quorate.llm.ann import nearest
 from quorate.llm.common import table
 from quorate.llm.jaccard import jaccard_components
+from quorate.llm.licenses import LICENSE_SQL, scan_licenses
+from quorate.llm.lm import lm_scores
 from quorate.llm.mixing import MIX_SQL, mix
 from quorate.llm.neardup import near_duplicates
 from quorate.llm.packing import pack
@@ -41,6 +43,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
@@ -49,6 +59,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_near_dedup, op3_source_mixing, op4_toxicity, op5_warc, op6_packing, op9_nearest_neighbours, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_near_dedup, op3_source_mixing, op4_toxicity, op5_warc, op6_packing, op7_lm_scoring, op8_license_scan, op9_nearest_neighbours, op10_sharding)}
 
-ORACLE = {"op3_source_mixing": MIX_SQL}
+ORACLE = {"op8_license_scan": LICENSE_SQL, "op3_source_mixing": MIX_SQL}
