@@ -128,7 +128,7 @@ parts AS (
   GROUP BY rowid_, doc_id
 )
 SELECT doc_id, n::BIGINT AS n_sentences, trim(j) AS sentence_ids,
-  array_to_string(list_sort(list_distinct(list_filter([{', '.join(cases)}], x -> x IS NOT NULL))), ',') AS licences
+  array_to_string(list_sort(list_distinct(list_filter([{", ".join(cases)}], lambda x: x IS NOT NULL))), ',') AS licences
 FROM hits
 """
 

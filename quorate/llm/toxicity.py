@@ -155,3 +155,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     return score(docs.select("doc_id", "text"), model, settings.bits).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, settings: Ftrl = Ftrl()) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with their columns; learned as by
+    ``toxicity_scores``."""
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" if n != "text" else n for i, n in enumerate(names)))
+    model = fit(docs, labels, ~held_out(F.col("doc_id")), settings)
+    return score(plain, model, settings.bits).where(F.col("score") < threshold).drop("score").toDF(*names)
