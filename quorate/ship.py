@@ -1,4 +1,4 @@
-"""Make this package importable on the executors."""
+"""Make a session ready for this package."""
 
 from __future__ import annotations
 
@@ -11,8 +11,15 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Rows and bytes that go to a Python worker at once: texts may be long, and memory must be bounded.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package's sources to every executor once per application."""
+    """Bound the Arrow batches, and send the package's sources to every executor once per
+    application."""
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
