@@ -77,7 +77,7 @@ def frequent_slots(docs: DataFrame, bits: int, least: int, length: int = 5) -> n
                 if len(s):
                     held.append((s >> shift).astype(np.int64))
                     n += len(s)
-                if n >= 1 << 21:
+                if n >= 1 << 20:
                     yield flush()
                     held, n = [], 0
         if n:
@@ -147,24 +147,46 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(found)).view(np.int64)
 
 
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """One bit for each slot, as many slots as the next power of two: is the number of shingles that
+    fall into it odd? Two sets differ in at least as many shingles as their bits differ."""
+    slots = 1 << max(6, (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens >> np.uint64(7)).astype(np.int64) & (slots - 1), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_link(x: bytes, y: bytes, n_x: int, n_y: int) -> bool:
+    """False only if the sets are surely too different. The longer bits are folded to the shorter:
+    a slot of the half is the sum of two, so its parity is their exclusive or."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    differ = int(np.bitwise_count(a ^ b).sum())
+    # DEN * shared >= NUM * union, where differ <= n_x + n_y - 2 * shared
+    return (DEN + NUM) * differ <= (DEN - NUM) * (n_x + n_y)
+
+
 def prefixes(docs: DataFrame, bitmap, bits: int, length: int = 5) -> DataFrame:
     shift = np.uint64(64 - bits)
 
     def sign(batches):
         frequent = bitmap.value
         for batch in batches:
-            ids, sizes, lists = [], [], []
+            ids, sizes, lists, bits_of = [], [], [], []
             with np.errstate(over="ignore"):
                 for doc_id, s in _sets(batch, length):
                     if doc_id is not None and len(s) > 1:
                         ids.append(doc_id)
                         sizes.append(len(s))
+                        bits_of.append(parity_bits(s))
                         lists.append(signatures(s, _is_set(frequent, (s >> shift).astype(np.int64))))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             values = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "n", "signatures"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array(bits_of, pa.binary())], names=["doc_id", "n", "signatures", "parity"])
 
-    return _texts(docs).mapInArrow(sign, "doc_id long, n long, signatures array<long>")
+    return _texts(docs).mapInArrow(sign, "doc_id long, n long, signatures array<long>, parity binary")
 
 
 def id_map(spark: SparkSession, ids: DataFrame, bits: int):
@@ -198,6 +220,92 @@ def id_map(spark: SparkSession, ids: DataFrame, bits: int):
     return spark.sparkContext.broadcast(found)
 
 
+def not_ruled_out(pairs: DataFrame, prefix: DataFrame) -> DataFrame:
+    """Pairs (a, b) without those whose parity bits rule a link out: a hundredth of the sets' bytes."""
+
+    def keep(batches):
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("x", "y", "n_x", "n_y"))
+            yield batch.select(["a", "b"]).filter(pa.array([may_link(*row) for row in zip(*columns)], pa.bool_()))
+
+    x, y = (prefix.select(F.col("doc_id").alias(k), F.col("parity").alias(s), F.col("n").alias(f"n_{s}")).hint("merge") for k, s in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "n_x", "n_y").mapInArrow(keep, "a long, b long")
+
+
+class _Parities:
+    """Parity bits of many sets, folded once to every width at which they meet others: sets that can
+    link differ less than twofold in size, so their own width and half of it."""
+
+    def __init__(self, parities: list[np.ndarray]) -> None:
+        self._width = np.array([len(p) for p in parities])
+        self._at, self._folded = {}, {}
+        for width in np.unique(self._width).tolist():
+            rows = np.flatnonzero((self._width == width) | (self._width == 2 * width))
+            self._at[width] = np.full(len(parities), -1)
+            self._at[width][rows] = np.arange(len(rows))
+            self._folded[width] = np.stack([np.bitwise_xor.reduce(parities[r].reshape(-1, width), axis=0) for r in rows]).view(np.uint64)
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Number of bits in which the pairs differ."""
+        narrow, found = np.minimum(self._width[i], self._width[j]), np.zeros(len(i), np.int64)
+        for width in np.unique(narrow).tolist():
+            pick = np.flatnonzero(narrow == width)
+            place, folded = self._at[width], self._folded[width]
+            found[pick] = np.bitwise_count(folded[place[i[pick]]] ^ folded[place[j[pick]]]).sum(axis=1, dtype=np.int64)
+        return found
+
+
+def likely_in_signature(members: DataFrame, prefix: DataFrame, block: int = 1024) -> DataFrame:
+    """Pairs (a, b) that share a frequent signature, lie in different components, and are not ruled
+    out by size or parity bits. Members (signature, id, n, label) of a signature are cut to blocks of
+    ``block``, and each pair of blocks is a group; the pairs that are ruled out never become rows."""
+    sizes = settle(members.groupBy("signature").agg(F.count("*").alias("members")), "jaccard-sizes")
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    group = ["signature", "low", "high"]
+    cut = (
+        members.join(prefix.select(F.col("doc_id").alias("id"), "parity").hint("merge"), "id")
+        .join(sizes.hint("merge"), "signature")
+        .withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("signature", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "n", "label", "parity")
+        .repartition(*group)
+        .sortWithinPartitions(*group)
+    )
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        key = np.cumsum(np.concatenate([[False], np.any([np.diff(table.column(g).to_numpy()) != 0 for g in group], axis=0)]))
+        size = np.bincount(key)
+        last = np.cumsum(size)[key] - 1
+        low, high, own, ids, n, label = (table.column(c).to_numpy() for c in ("low", "high", "own", "id", "n", "label"))
+        parities = _Parities([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("parity")])
+        at, found = np.arange(len(table)), [np.zeros((0, 2), np.int64)]
+        for step in range(1, int(size.max())):
+            at = at[at + step <= last[at]]
+            i, j = at, at + step
+            may = (label[i] != label[j]) & ((low[i] == high[i]) | (own[i] != own[j])) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j]))
+            i, j = i[may], j[may]
+            if len(i):
+                may = (DEN + NUM) * parities.differ(i, j) <= (DEN - NUM) * (n[i] + n[j])
+                i, j = ids[i[may]], ids[j[may]]
+                found.append(np.stack([np.maximum(i, j), np.minimum(i, j)], axis=1))
+        once = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["a", "b"])
+
+    def compared(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]) if held is not None else table
+            ends = np.flatnonzero(np.any([np.diff(held.column(g).to_numpy()) != 0 for g in group], axis=0))
+            if len(ends):
+                yield pairs(held.slice(0, int(ends[-1]) + 1))
+                held = held.slice(int(ends[-1]) + 1)
+        if held is not None and len(held):
+            yield pairs(held)
+
+    return cut.mapInArrow(compared, "a long, b long").distinct()
+
+
 def linked(docs: DataFrame, pairs: DataFrame, n_docs: int, length: int = 5) -> DataFrame:
     """Of a written table of pairs (a, b), those whose sets are similar enough."""
     spark = docs.sparkSession
@@ -247,8 +355,9 @@ def jaccard_components(docs: DataFrame, length: int = 5, least_frequent: int = 6
        member is found by an aggregate and joined back, which adaptive execution can split.
     4. In each signature all members are verified against its smallest member only, and components
        are found. Then only members of one signature that are still in different components are
-       verified pair by pair. So a group of near copies costs one comparison for each, not all
+       compared pair by pair, those of frequent signatures within blocks. So a group of near copies costs one comparison for each, not all
        pairs, and no link between components is missed.
+    5. Before sets are compared, parity bits of one bit a shingle rule most unlike pairs out, surely.
 
     Null and empty texts have no shingles and link with nothing. Rows with a null doc_id link with
     nothing and have a null component. Rows that share a doc_id are one document, linked with what
@@ -274,23 +383,17 @@ def jaccard_components(docs: DataFrame, length: int = 5, least_frequent: int = 6
         return f"{DEN} * least({x}, {y}) >= {NUM} * greatest({x}, {y})"
 
     stars = settle(met.where("id <> hub.id").where(fits("n", "hub.n")).select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct(), "jaccard-stars")
-    links = settle(linked(docs, stars, n_docs, length), "jaccard-links")
+    links = settle(linked(docs, settle(not_ruled_out(stars, prefix), "jaccard-likely"), n_docs, length), "jaccard-links")
     labels = settle(components(links), "jaccard-labels")
     # What is left: members of one signature in different components, and not yet compared.
     own = met.select("signature", "id", "n").join(labels.select(F.col("node").alias("id"), "label").hint("merge"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     own = settle(own, "jaccard-own")
     mixed_ones = settle(own.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("signature"), "jaccard-mixed")
     left = settle(own.join(mixed_ones.hint("merge"), "signature"), "jaccard-left")
-    x, y = (left.select("signature", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "label"))) for s in "xy")
-    more = (
-        x.hint("merge")
-        .join(y, "signature")
-        .where("id_x > id_y and label_x <> label_y")
-        .where(fits("n_x", "n_y"))
-        .select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
-        .distinct()
-        .join(stars.hint("merge"), ["a", "b"], "left_anti")
-    )
+    x, y = (left.where("signature % 2 = 0").select("signature", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "label"))) for s in "xy")
+    of_rare = x.hint("merge").join(y, "signature").where("id_x > id_y and label_x <> label_y").where(fits("n_x", "n_y")).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
+    of_common = settle(likely_in_signature(left.where("signature % 2 <> 0"), prefix), "jaccard-of-common")
+    more = settle(not_ruled_out(of_rare, prefix), "jaccard-of-rare").unionByName(of_common).distinct().join(stars.hint("merge"), ["a", "b"], "left_anti")
     more = settle(more, "jaccard-rest")
     if not more.isEmpty():
         found = settle(linked(docs, more, n_docs, length), "jaccard-more")
@@ -302,3 +405,12 @@ def jaccard_components(docs: DataFrame, length: int = 5, least_frequent: int = 6
         "n_shingles",
         F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("label")).alias("component_id"),
     )
+
+
+def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the least of its component; of rows that share it the one
+    with the least text. Rows with a null doc_id link with nothing and stay."""
+    kept = settle(jaccard_components(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "jaccard-kept")
+    found = docs.join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    first = found.withColumn("_turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_turn = 1").drop("_turn")
+    return first.unionByName(docs.where("doc_id is null"))
