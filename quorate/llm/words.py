@@ -14,7 +14,7 @@ class WordTable:
     ``encode`` gives ``width`` big-endian unsigned 64-bit numbers for a word. Words are remembered;
     ``most`` bounds the memory."""
 
-    def __init__(self, encode, width: int = 1, most: int = 600_000, longest: int = 48) -> None:
+    def __init__(self, encode, width: int = 1, most: int = 400_000, longest: int = 48) -> None:
         self._encode, self._width = encode, width
         self._known: dict[bytes, bytes] = {}
         self._most, self._longest = most, longest
