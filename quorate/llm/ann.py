@@ -26,6 +26,22 @@ class Forest:
     cuts: np.ndarray  # trees x nodes
     depth: int
     radius: float
+    sample: np.ndarray  # at most sample_rows x dim
+
+    def bounds(self, queries: np.ndarray, visits: list[list[tuple[int, int]]], k: int) -> np.ndarray:
+        """A score that the k-th candidate of each query reaches at least: of the sampled vectors in
+        the leaves it visits, k others do (one may be the query's own)."""
+        found = np.full(len(queries), -np.inf)
+        leaf_of = self.leaves(self.sample)
+        for start in range(0, len(queries), 128):
+            scores = queries[start : start + 128] @ self.sample.T
+            for i, row in enumerate(scores, start):
+                visited = np.zeros((len(self.planes), 2**self.depth), bool)
+                visited[tuple(zip(*visits[i]))] = True
+                there = row[np.any(np.take_along_axis(visited, leaf_of, axis=1), axis=0)]
+                if len(there) > k:
+                    found[i] = np.partition(there, -(k + 1))[-(k + 1)]
+        return found - 1e-9 * self.radius**2
 
     def _lifted(self, vectors: np.ndarray, as_query: bool) -> np.ndarray:
         rest = np.zeros(len(vectors)) if as_query else np.sqrt(np.maximum(0, self.radius**2 - (vectors**2).sum(axis=1)))
@@ -65,7 +81,7 @@ def grow(sample: np.ndarray, rows: int, radius: float, trees: int, leaf_rows: in
     but with 16 sampled rows in a leaf at least."""
     depth = max(0, min(math.ceil(math.log2(max(1, rows / leaf_rows))), int(math.log2(max(1, len(sample) / 16)))))
     nodes, rng = 2**depth - 1, np.random.default_rng(seed)
-    forest = Forest(rng.normal(size=(trees, nodes, sample.shape[1] + 1)), np.zeros((trees, nodes)), depth, radius)
+    forest = Forest(rng.normal(size=(trees, nodes, sample.shape[1] + 1)), np.zeros((trees, nodes)), depth, radius, sample)
     forest.planes /= np.linalg.norm(forest.planes, axis=2, keepdims=True)
     lifted = forest._lifted(sample, False)
     for tree in range(trees):
@@ -89,7 +105,8 @@ def nearest(
     all trees' rows. 0.55 is for vectors without any structure, whose neighbours are hardly nearer
     than other vectors; clustered ones need far less. Visited leaves are compared exactly: leaves and
     their visits are cut to blocks of ``block`` rows, and each pair of blocks is a group, so a leaf
-    full of copies is not one task's. Each group returns ``k`` rows for a query.
+    full of copies is not one task's. Each group returns at most ``k`` rows for a query, and none below
+    the k-th score among the sampled vectors of the leaves visited.
 
     Vectors that are null, zero or hold null or non-finite components, have a null vec_id, or are of
     another length than most, take no part. Rows that repeat a vec_id are one candidate, with the
@@ -105,8 +122,9 @@ def nearest(
     rows = rows.where(F.size("embedding") == lengths[0])
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     radius = rows.agg(F.max(norm)).first()[0]
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toArrow()  # at most sample_rows
-    forest = spark.sparkContext.broadcast(grow(matrix(sample.column(0).combine_chunks()), lengths[1], radius, trees, leaf_rows))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()  # at most sample_rows
+    _, once = np.unique(sample.column("vec_id").to_numpy(), return_index=True)
+    forest = spark.sparkContext.broadcast(grow(matrix(sample.column("embedding").combine_chunks())[once], lengths[1], radius, trees, leaf_rows))
 
     def put(batches):
         for batch in batches:
@@ -121,14 +139,16 @@ def nearest(
 
     def visit(batches):
         for batch in batches:
-            seen = [forest.value.visits(q, held, least) for q in matrix(batch.column("query"))] if batch.num_rows else []
+            asked = matrix(batch.column("query"))
+            seen = [forest.value.visits(q, held, least) for q in asked] if batch.num_rows else []
+            bound = forest.value.bounds(asked, seen, k) if batch.num_rows else np.zeros(0)
             at = np.repeat(np.arange(len(seen)), [len(s) for s in seen])
             tree, leaf = np.array([x for s in seen for x in s], np.int32).reshape(-1, 2).T
             for part in np.array_split(np.arange(len(at)), max(1, len(at) // 20_000)):
-                yield pa.RecordBatch.from_arrays([pa.array(tree[part]), pa.array(leaf[part]), *(c.take(pa.array(at[part])) for c in batch.columns)], names=["tree", "leaf", "query_id", "query"])
+                yield pa.RecordBatch.from_arrays([pa.array(tree[part]), pa.array(leaf[part]), *(c.take(pa.array(at[part])) for c in batch.columns), pa.array(bound[at[part]])], names=["tree", "leaf", "query_id", "query", "bound"])
 
     queries = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("query"))
-    visits = settle(queries.mapInArrow(visit, "tree int, leaf int, query_id long, query array<float>"), "ann-visits")
+    visits = settle(queries.mapInArrow(visit, "tree int, leaf int, query_id long, query array<float>, bound double"), "ann-visits")
     sizes = spark.createDataFrame([(t, leaf, int(-(-held[t, leaf] // block))) for t in range(trees) for leaf in range(held.shape[1])], "tree int, leaf int, item_blocks int")
     asked = visits.groupBy("tree", "leaf").count().select("tree", "leaf", F.ceil(F.col("count") / block).cast("int").alias("query_blocks"))
     cuts = settle(sizes.join(F.broadcast(asked), ["tree", "leaf"]).where("item_blocks > 0"), "ann-cuts")  # a row for each leaf
@@ -148,6 +168,7 @@ def nearest(
         kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not len(ids) or not len(query_ids):
             return kind.empty_table()
+        bound = asking.column("bound").to_numpy()
         x, q = matrix(item.column("embedding").combine_chunks()), matrix(asking.column("query").combine_chunks())
         found = []
         for part in np.array_split(np.arange(len(query_ids)), -(-len(query_ids) // 256)):
@@ -155,7 +176,7 @@ def nearest(
             scores[query_ids[part][:, None] == ids[None, :]] = -np.inf
             top = np.argsort(-scores, axis=1, kind="stable")[:, : k + _repeats(ids)]
             best = np.take_along_axis(scores, top, axis=1)
-            row, column = np.nonzero(best > -np.inf)
+            row, column = np.nonzero((best > -np.inf) & (best >= bound[part][:, None]))
             found.append((query_ids[part][row], ids[top[row, column]], best[row, column]))
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], schema=kind)
 
