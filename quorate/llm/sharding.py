@@ -72,8 +72,14 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 
 def tightest_capacity(sizes: list[int], shards: int, steps: int = 4096) -> tuple[int, list[int]]:
     """The smallest capacity, in steps of 1/``steps`` of the even share, for which best-fit
-    decreasing needs no more than ``shards`` bins, and the bins."""
-    least = max(-(-sum(sizes) // shards), max(sizes, default=0), 1)
+    decreasing needs no more than ``shards`` bins, and the bins. An item above the even share has a
+    bin of its own, and the others share the rest evenly."""
+    rest, bins = sum(sizes), shards
+    for size in sorted(sizes, reverse=True):
+        if bins == 1 or size * bins <= rest:
+            break
+        rest, bins = rest - size, bins - 1
+    least = max(1, -(-rest // bins))
     step = max(1, least // steps)
     capacity = least
     while True:
