@@ -209,10 +209,10 @@ def write_score_summary(spark, d):
 # ---- streams: files as a stream, all that is there, then the result as a table ----
 
 
-def _streamed(spark, df, make, files=3):
+def _streamed(spark, df, make, files=3, by=()):
     """What ``make`` returns for ``df`` as a stream of files, run to its end and read back."""
     source, target, state = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "state"))
-    df.repartition(files).write.parquet(source)
+    (df.repartitionByRange(files, *by) if by else df.repartition(files)).write.parquet(source)
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
@@ -231,7 +231,7 @@ _SEEN = f"""WITH seen AS (SELECT *, string_agg(text, '') OVER (PARTITION BY prob
 
 @query(_SEEN, "chunks")
 def stream_answer_watch(spark, d):
-    recent = _streamed(spark, bound(spark, d, "chunks"), watch.stream_recent_texts)
+    recent = _streamed(spark, bound(spark, d, "chunks"), watch.stream_recent_texts, by=["chunk_no"])
     hits = recent.withColumn("answer", T.extract_answer(F.col("recent"), "strict")).where("answer is not null").drop("recent")
     return _streamed(spark, hits, watch.first_hits, 1)
 

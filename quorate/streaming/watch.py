@@ -21,24 +21,23 @@ class _Chunks(StatefulProcessor):
         self._look_back = look_back
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._recent = handle.getValueState("recent", "next_no int, texts array<string>")
-        self._waiting = handle.getMapState("waiting", "chunk_no int", "n_tokens int, text string")
+        self._state = handle.getValueState("state", "next_no int, texts array<string>, numbers array<int>, tokens array<int>, waiting array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        next_no, texts, *held = self._state.get() if self._state.exists() else (0, [], [], [], [])
+        waiting = {no: (tokens, text) for no, tokens, text in zip(*held)}
         for batch in rows:
-            for no, tokens, text in zip(batch["chunk_no"], batch["n_tokens"], batch["text"]):
-                self._waiting.updateValue((int(no),), (int(tokens), text))
-        next_no, texts = self._recent.get() if self._recent.exists() else (0, [])
+            waiting |= {int(no): (int(tokens), text) for no, tokens, text in zip(batch["chunk_no"], batch["n_tokens"], batch["text"])}
         texts, found = list(texts), []
-        while self._waiting.containsKey((next_no,)):
-            tokens, text = self._waiting.getValue((next_no,))
-            self._waiting.removeKey((next_no,))
+        while next_no in waiting:
+            tokens, text = waiting.pop(next_no)
             if tokens > 0:
                 texts = [*texts, text][-self._look_back :]
                 if "}" in text:
                     found.append((*key, next_no, "".join(texts)))
             next_no += 1
-        self._recent.update((next_no, texts))
+        left = sorted((no, *w) for no, w in waiting.items())
+        self._state.update((next_no, texts, *([x[i] for x in left] for i in range(3))))
         if found:
             yield pd.DataFrame(found, columns=["problem_id", "attempt", "turn", "chunk_no", "recent"])
 
