@@ -148,9 +148,9 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def parity_bits(tokens: np.ndarray) -> bytes:
-    """One bit for each slot, as many slots as the next power of two: is the number of shingles that
-    fall into it odd? Two sets differ in at least as many shingles as their bits differ."""
-    slots = 1 << max(6, (len(tokens) - 1).bit_length())
+    """One bit for each slot, four to eight slots a shingle: is the number of shingles that fall into
+    it odd? Two sets differ in at least as many shingles as their bits differ."""
+    slots = 4 << max(6, (len(tokens) - 1).bit_length())
     odd = np.bincount((tokens >> np.uint64(7)).astype(np.int64) & (slots - 1), minlength=slots) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -221,7 +221,7 @@ def id_map(spark: SparkSession, ids: DataFrame, bits: int):
 
 
 def not_ruled_out(pairs: DataFrame, prefix: DataFrame) -> DataFrame:
-    """Pairs (a, b) without those whose parity bits rule a link out: a hundredth of the sets' bytes."""
+    """Pairs (a, b) without those whose parity bits rule a link out: about a tenth of the sets' bytes."""
 
     def keep(batches):
         for batch in batches:
@@ -357,7 +357,7 @@ def jaccard_components(docs: DataFrame, length: int = 5, least_frequent: int = 6
        are found. Then only members of one signature that are still in different components are
        compared pair by pair, those of frequent signatures within blocks. So a group of near copies costs one comparison for each, not all
        pairs, and no link between components is missed.
-    5. Before sets are compared, parity bits of one bit a shingle rule most unlike pairs out, surely.
+    5. Before sets are compared, parity bits, four to eight a shingle, rule most unlike pairs out, surely.
 
     Null and empty texts have no shingles and link with nothing. Rows with a null doc_id link with
     nothing and have a null component. Rows that share a doc_id are one document, linked with what
