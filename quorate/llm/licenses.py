@@ -71,25 +71,39 @@ def _known() -> list[tuple[str, int]]:
     return sorted((max(map(_plain, re.split(_ENDS, s)), key=len), i) for i, s in SENTENCES.items())
 
 
-def _plain_column(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, _UPPER, _LOWER), "[^a-z0-9]+", " "))
+# Where a sentence may begin or end: sentence signs before white space, and line ends with the mark
+# of a comment or of a list after them. A known sentence may hold any of them inside.
+_CUTS = r"""[.!?;:]["')\]]*(?=\s|$)|(?:^|[\r\n]+)[ \t]*(?:(?:dnl|rem)(?=[ \t]))?[ \t]*(?:\(?[0-9a-z]{1,2}[.)](?=[ \t]))?"""
+
+
+def _patterns() -> list[tuple[str, int]]:
+    """Each known sentence as plain words, longest first."""
+    return sorted(((_plain(s), i) for i, s in SENTENCES.items()), key=lambda x: (-len(x[0]), x[1]))
+
+
+def _cut_column(text: Column) -> Column:
+    """Plain words with one character between them: a bar at a cut, else a blank; a bar at both ends."""
+    lower = F.translate(text, _UPPER + "|", _LOWER + " ")
+    cut = F.regexp_replace(F.regexp_replace(lower, _CUTS, "|"), "[^a-z0-9|]+", " ")
+    return F.regexp_replace(F.concat(F.lit("|"), cut, F.lit("|")), r" ?\|[ |]*", "|")
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """The known licence sentences of each whole text, in order, and the licences they make.
 
-    Texts are cut at line ends and at sentence signs before blanks; parts are compared as ASCII
-    letters and digits in lower case. The known parts' numbers are matched against the rules: the
-    numbers of a rule must follow each other, with any unknown text between. All within a row,
-    without a shuffle; the known sentences are a literal of the plan.
+    Texts are compared as ASCII letters and digits in lower case. A known sentence counts where it
+    stands whole between two cuts: line ends, and sentence signs (colons too) before white space. It
+    may be wrapped over lines, with comment marks. The sentences' numbers are matched against the
+    rules: the numbers of a rule must follow each other, with any unknown text between. All within a
+    row, without a shuffle; the known sentences are a literal of the plan.
 
     Null and empty texts have no licence. Rows that repeat are scanned each. Columns besides doc_id
     and text are ignored. Returns doc_id, n_sentences, sentence_ids (joined by spaces, in order) and
     licences (joined by commas, in the order of names), both empty strings where there is none."""
-    known = F.create_map(*(F.lit(x) for pair in _known() for x in pair))
-    lengths = sorted({len(s) for s, _ in _known()})
-    parts = F.filter(F.split(F.coalesce("text", F.lit("")), _ENDS), lambda s: F.length(s) >= lengths[0])
-    numbers = F.filter(F.transform(parts, lambda s: F.try_element_at(known, _plain_column(s))), lambda i: i.isNotNull())
+    known = F.create_map(*(F.lit(x) for pair in _patterns() for x in pair))
+    pattern = r"(?<=\|)(?:" + "|".join(s.replace(" ", "[ |]") for s, _ in _patterns()) + r")(?=\|)"
+    hits = F.regexp_extract_all(_cut_column(F.coalesce("text", F.lit(""))), F.lit(pattern), F.lit(0))
+    numbers = F.transform(hits, lambda s: F.try_element_at(known, F.translate(s, "|", " ")))
     found = docs.select("doc_id", numbers.alias("ids"))
     joined = F.concat(F.lit(" "), F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), F.lit(" "))
     holds = {rule: joined.contains(" " + " ".join(map(str, rule)) + " ") for _, rule in RULES}
