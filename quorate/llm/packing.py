@@ -20,59 +20,137 @@ from quorate.llm.sharding import BinTree
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class Numbers(dict):
+    """Numbers words as they come; ``fresh`` are those that came since it was last emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class ChunkIds:
-    """Token ids of texts, as bytes of little-endian unsigned 32-bit numbers.
+    """Token ids of texts, as the unmodified tokenizer gives them.
 
-    The tokenizer lower-cases, and never joins what ASCII white space divides, so each run between
-    white space is encoded once and remembered; ``most`` bounds the memory. A full stop or comma
-    after a letter or digit and before white space is a token of its own, and is divided off first.
-    New words of letters alone go to the tokenizer as one line, and its marks of word ends tell
-    which ids belong to which word; other new runs go to it one by one."""
+    The tokenizer lower-cases, and never joins what ASCII white space divides, so each word between
+    white space is encoded once, numbered and remembered. Beyond ``most`` words or ``most_bytes`` the
+    half that was met least is forgotten, and turn, by which numbers hold, goes up. A full stop or comma at a word's end, after a letter or digit, is a token of its own, so the word
+    without it serves. New words of letters alone go to the tokenizer as one line, and its marks of
+    word ends tell which ids belong to which word; other new words go to it one by one. The
+    tokenizer's special tokens are found in the text as it stands, before it is lower-cased, so a
+    text that may hold one goes to it whole."""
 
-    def __init__(self, tokenizer_path: str, most: int = 900_000, longest: int = 48) -> None:
+    def __init__(self, tokenizer_path: str, most: int = 700_000, most_bytes: int = 32 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
-        self._tokenizer.encode_special_tokens = True
-        self._ends = {i for token, i in self._tokenizer.get_vocab().items() if token.endswith("</w>")}
-        self._divide = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \t-\r]|\Z)").sub
-        self._known: dict[bytes, bytes] = {}
-        self._most, self._longest = most, longest
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._special = re.compile("|".join(map(re.escape, special)).encode() or rb"(?!)", re.IGNORECASE)
+        self._heads = {t[:2].lower().encode() for t in special}
+        self._most, self._most_bytes = most, most_bytes
+        self.turn, self.names, self.words, self._bytes = 0, [], Numbers(), 0
+        self._start, self._length, self._ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+        self._met, self._used = np.zeros(1 << 16, np.int32), 0
+
+    def _forget(self, longest: int = 64) -> None:
+        n = len(self.names)
+        kept = np.sort(np.argsort(-self._met[:n], kind="stable")[: min(n, self._most) // 2])
+        kept = np.array([i for i in kept.tolist() if len(self.names[i]) <= longest], np.int64)
+        length, ids = self._length[kept], self._joined(kept)
+        self._start[: len(kept)], self._length[: len(kept)], self._met[: len(kept)] = np.cumsum(length) - length, length, self._met[kept] // 2
+        self._met[len(kept) :] = 0
+        self._ids, self._used = ids, len(ids)
+        self.names, self.words = [self.names[i] for i in kept.tolist()], Numbers()
+        self.words.update(zip(self.names, range(len(kept))))
+        self._bytes = sum(map(len, self.names)) + 4 * len(ids)
+        self.turn += 1
+
+    def _joined(self, numbers: np.ndarray) -> np.ndarray:
+        length = np.take(self._length, numbers)
+        at = np.repeat(np.take(self._start, numbers) - np.cumsum(length) + length, length)
+        at += np.arange(len(at))
+        return np.take(self._ids, at)
 
     def _one_by_one(self, texts: list[str]) -> list[bytes]:
         return [array("I", found.ids).tobytes() for found in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _line(self, words: list[str]) -> list[bytes]:
-        ids = self._tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
-        ends = [4 * i for i, token in enumerate(ids, 1) if token in self._ends]
+        ids = np.array(self._tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = 4 * (np.flatnonzero(self._ends[ids]) + 1)
         if len(ends) != len(words) or ends[-1] != 4 * len(ids):
             return self._one_by_one(words)
-        packed = array("I", ids).tobytes()
+        packed, ends = ids.tobytes(), ends.tolist()
         return [packed[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _encode(self, chunks: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        words, others = {}, {}
+    def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        words, others, found = {}, {}, {}
         for chunk in chunks:
             text = chunk.decode("utf-8", "replace")
             (words if text.isalpha() else others)[chunk] = text
-        for found, encode in ((words, self._line), (others, self._one_by_one)):
-            if found:
-                yield from zip(found, encode(list(found.values())))
-
-    def __call__(self, text: bytes) -> bytes:
-        chunks, known = self._divide(rb" \1", text.lower()).split(), self._known
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            pass
-        if len(known) > self._most:
-            known.clear()
-        fresh = [c for c in set(chunks) if c not in known]
-        rare = {}
-        for chunk, ids in self._encode(fresh):
-            (known if len(chunk) <= self._longest else rare)[chunk] = ids
-        return b"".join([known[c] if c in known else rare[c] for c in chunks])
+        for some, encode in ((words, self._line), (others, self._one_by_one)):
+            keys, texts = list(some.keys()), list(some.values())
+            for i in range(0, len(keys), 4096):
+                found.update(zip(keys[i : i + 4096], encode(texts[i : i + 4096])))
+        return found
+
+    def _learn(self) -> None:
+        """Ids of the words that are new."""
+        fresh, self.words.fresh = self.words.fresh, []
+        if not fresh:
+            return
+        cores = [w[:-1] if w[-1] in b".," and w[-2:-1].isalnum() else w for w in fresh]
+        found = self._encode(list({*cores, b".", b","}))
+        packed = [found[c] if c is w else found[c] + found[w[-1:]] for w, c in zip(fresh, cores)]
+        length = np.fromiter(map(len, packed), np.int32, len(packed)) // 4
+        first, n, ids = len(self.words) - len(fresh), len(self.words), np.frombuffer(b"".join(packed), np.uint32)
+        wanted = ((self._start, n), (self._length, n), (self._met, n), (self._ids, self._used + len(ids)))
+        self._start, self._length, self._met, self._ids = (_room(x, want) for x, want in wanted)
+        self.names += fresh
+        self._length[first:n] = length
+        self._start[first:n] = self._used + np.cumsum(length) - length
+        self._ids[self._used : self._used + len(ids)] = ids
+        self._used += len(ids)
+        self._bytes += sum(map(len, fresh)) + 4 * len(ids)
+
+    def numbers(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Numbers of the words of each text; they hold until ``turn`` changes."""
+        if len(self.words) > self._most or self._bytes > self._most_bytes:
+            self._forget()
+        found = []
+        for text in texts:
+            words = text.lower().split()
+            found.append(np.fromiter(map(self.words.__getitem__, words), np.int32, len(words)))
+        self._learn()
+        if found:
+            met = np.bincount(np.concatenate(found), minlength=1)
+            self._met[: len(met)] += met.astype(np.int32)
+        return found
+
+    def ids(self, text: bytes, numbers: np.ndarray) -> np.ndarray:
+        """Ids of a text, given the numbers of its words."""
+        if any(head in text for head in self._heads) and self._special.search(text):
+            return np.array(self._tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
+        return self._joined(numbers)
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [self.ids(text, numbers) for text, numbers in zip(texts, self.numbers(texts))]
+
+
+def _room(values: np.ndarray, want: int) -> np.ndarray:
+    """At least ``want`` places, the old values first."""
+    if want <= len(values):
+        return values
+    more = np.zeros(max(want, 2 * len(values)), values.dtype)
+    more[: len(values)] = values
+    return more
 
 
 _encoders: dict[str, ChunkIds] = {}
@@ -94,12 +172,11 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048)
         ids_of = encoder(tokenizer_path)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = ids_of(text.as_py() or b"") + b"\0\0\0\0"
-                n = len(ids) // 4
-                for piece, start in enumerate(range(0, n, capacity)):
-                    end = min(n, start + capacity)
-                    rows.append((doc_id, piece, start, end - start, zlib.crc32(memoryview(ids)[4 * start : 4 * end])))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of([t.as_py() or b"" for t in batch.column(1)])):
+                ids = np.append(ids, np.uint32(0))
+                for piece, start in enumerate(range(0, len(ids), capacity)):
+                    some = ids[start : start + capacity]
+                    rows.append((doc_id, piece, start, len(some), zlib.crc32(some.astype("<u4").data)))
             columns = list(zip(*rows)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -13,14 +13,20 @@ SCHEMA = "doc_id long, text string, length int, rank int"
 
 def ids_of(texts):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_chunk_ids_equal_the_tokenizers():
     texts = ["", "it's, DON'T we'Ll ''' 's ... 3.14, 2. a.b. c,,", "a ² ¼ ªº ÀÉß İı ſ ß. É, x́, ñ.", "日本語 テスト 😀", "ΑΣ ΟΔΟΣ", "y" * 500, "\x00 a\x1cb \x85 <|endoftext|>", "__a_b1 12ab end.\n\nNext,\tone"]
-    encode = ChunkIds(PATH, most=3)
-    assert [np.frombuffer(encode(t.encode()), np.uint32).tolist() for t in texts * 2] == ids_of(texts * 2)
+    texts += ["a <|endoftext|> b", "A<|EndOfText|>b.", "<|startoftext|><|endoftext|>.", "<|endoftext|", "x" * 90 + ". y", "can't. 's, 1,000. (x). a., ..., İstanbul. x²,"]
+    for most, together in ((3, 1), (3, 4), (700_000, 100)):
+        encode = ChunkIds(PATH, most=most)
+        got = [ids.tolist() for _ in range(3) for i in range(0, len(texts), together) for ids in encode([t.encode() for t in texts[i : i + together]])]
+        assert got == ids_of(texts) * 3
+
+
+def test_special_tokens_are_single_ids():
+    assert ChunkIds(PATH)([b"a <|endoftext|> b"])[0].tolist() == [320, 49407, 321]
 
 
 def test_plan_covers_the_counts_and_is_near_the_bound():
