@@ -31,6 +31,22 @@ SENTENCES = {
     22: "SPDX-License-Identifier: Apache-2.0",
     23: "SPDX-License-Identifier: MIT",
     24: "This is free and unencumbered software released into the public domain.",
+    25: "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    26: "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    27: "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    28: "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    29: "See the License for the specific language governing permissions and limitations under the License.",
+    30: "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    31: "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    32: "See the GNU General Public License for more details.",
+    33: "You should have received a copy of the GNU General Public License along with this program.",
+    34: "This library is free software",
+    35: "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.",
+    36: "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    37: "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    38: "Distributed under the Boost Software License, Version 1.0.",
+    39: "SPDX-License-Identifier: BSD-3-Clause",
+    40: "SPDX-License-Identifier: GPL-2.0-only",
 }
 
 # Which sentences, in this order, make which licence; a longer rule replaces those it holds.
@@ -53,8 +69,13 @@ RULES = [
     ("ISC", (20,)),
     ("MPL-2.0", (21,)),
     ("Unlicense", (24,)),
+    ("LGPL-2.1-or-later", (34, 35)),
+    ("AGPL-3.0-or-later", (10, 36)),
+    ("Zlib", (37,)),
+    ("BSL-1.0", (38,)),
+    ("BSD-3-Clause", (39,)),
+    ("GPL-2.0-only", (40,)),
 ]
-_ENDS = r"[\r\n]+|[.!?;][ \t]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,17 +84,11 @@ def _plain(sentence: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence).lower().split())
 
 
-def _known() -> list[tuple[str, int]]:
-    """Each known sentence as the sentences it is cut to, so that texts may be cut in one way: a
-    sentence with inner cuts is known by its longest part."""
-    import re
-
-    return sorted((max(map(_plain, re.split(_ENDS, s)), key=len), i) for i, s in SENTENCES.items())
-
-
-# Where a sentence may begin or end: sentence signs before white space, and line ends with the mark
-# of a comment or of a list after them. A known sentence may hold any of them inside.
-_CUTS = r"""[.!?;:]["')\]]*(?=\s|$)|(?:^|[\r\n]+)[ \t]*(?:(?:dnl|rem)(?=[ \t]))?[ \t]*(?:\(?[0-9a-z]{1,2}[.)](?=[ \t]))?"""
+# Where a sentence may begin or end. A known sentence may hold any of these inside. Line ends, with the
+# mark of a comment or of a list after them:
+_LINES = r"(^|[\r\n]+)[ \t]*((dnl|rem)[ \t]+)?(\(?[0-9a-z][0-9a-z]?[.)][ \t]+)?"
+# and sentence signs before white space.
+_SIGNS = r"""[.!?;:]["')\]]*([ \t\n\x0B\f\r|]|\z)"""
 
 
 def _patterns() -> list[tuple[str, int]]:
@@ -84,7 +99,7 @@ def _patterns() -> list[tuple[str, int]]:
 def _cut_column(text: Column) -> Column:
     """Plain words with one character between them: a bar at a cut, else a blank; a bar at both ends."""
     lower = F.translate(text, _UPPER + "|", _LOWER + " ")
-    cut = F.regexp_replace(F.regexp_replace(lower, _CUTS, "|"), "[^a-z0-9|]+", " ")
+    cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(lower, _LINES, "|"), _SIGNS, "|"), "[^a-z0-9|]+", " ")
     return F.regexp_replace(F.concat(F.lit("|"), cut, F.lit("|")), r" ?\|[ |]*", "|")
 
 
@@ -121,30 +136,99 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     )
 
 
-def _oracle() -> str:
-    known = ", ".join(f"('{s}', {i})" for s, i in _known())
-
-    def holds(rule):
-        return f"contains(j, ' {' '.join(map(str, rule))} ')"
-
-    cases = []
-    for name, rule in RULES:
-        longer = [holds(more) for _, more in RULES if len(more) > len(rule) and more[: len(rule)] == rule]
-        cases.append(f"CASE WHEN {holds(rule)}" + "".join(f" AND NOT {x}" for x in longer) + f" THEN '{name}' END")
-    return rf"""
-WITH known(s, i) AS (VALUES {known}),
-parts AS (
-  SELECT rowid_, doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS place
-  FROM (SELECT row_number() OVER () AS rowid_, doc_id, regexp_split_to_array(coalesce(text, ''), '{_ENDS}') AS p FROM documents)
+#: DuckDB SQL for ``op8_license_scan``, with tables of its own and without looking around: bars are
+#: doubled, so that neighbours each have their own.
+# The sentences as plain words, and the rules as runs of numbers.
+LICENSE_SQL = r"""
+WITH known(s, i) AS (VALUES
+  ('licensed under the apache license version 2 0 the license', 1),
+  ('you may not use this file except in compliance with the license', 2),
+  ('you may obtain a copy of the license at', 3),
+  ('http www apache org licenses license 2 0', 4),
+  ('licensed under the apache license version 2 0', 5),
+  ('released under the mit license', 6),
+  ('permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions', 7),
+  ('the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software', 8),
+  ('this work is licensed under the gnu general public license version 3', 9),
+  ('this program is free software', 10),
+  ('you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version', 11),
+  ('you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version', 12),
+  ('licensed under cc by nc 4 0', 13),
+  ('this work is licensed under a creative commons attribution 4 0 international license', 14),
+  ('this work is licensed under a creative commons attribution sharealike 4 0 international license', 15),
+  ('redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met', 16),
+  ('redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer', 17),
+  ('redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution', 18),
+  ('neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission', 19),
+  ('permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies', 20),
+  ('this source code form is subject to the terms of the mozilla public license v 2 0', 21),
+  ('spdx license identifier apache 2 0', 22),
+  ('spdx license identifier mit', 23),
+  ('this is free and unencumbered software released into the public domain', 24),
+  ('the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement', 25),
+  ('in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software', 26),
+  ('this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed', 27),
+  ('unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied', 28),
+  ('see the license for the specific language governing permissions and limitations under the license', 29),
+  ('this program is distributed in the hope that it will be useful but without any warranty', 30),
+  ('without even the implied warranty of merchantability or fitness for a particular purpose', 31),
+  ('see the gnu general public license for more details', 32),
+  ('you should have received a copy of the gnu general public license along with this program', 33),
+  ('this library is free software', 34),
+  ('you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version', 35),
+  ('you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version', 36),
+  ('permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions', 37),
+  ('distributed under the boost software license version 1 0', 38),
+  ('spdx license identifier bsd 3 clause', 39),
+  ('spdx license identifier gpl 2 0 only', 40)
+), rules(name, run) AS (VALUES
+  ('Apache-2.0', ' 1 2 '),
+  ('Apache-2.0', ' 1 3 4 '),
+  ('Apache-2.0', ' 5 '),
+  ('Apache-2.0', ' 22 '),
+  ('MIT', ' 6 '),
+  ('MIT', ' 7 8 '),
+  ('MIT', ' 23 '),
+  ('GPL-3.0-only', ' 9 '),
+  ('GPL-3.0-or-later', ' 10 11 '),
+  ('GPL-2.0-or-later', ' 10 12 '),
+  ('CC-BY-NC-4.0', ' 13 '),
+  ('CC-BY-4.0', ' 14 '),
+  ('CC-BY-SA-4.0', ' 15 '),
+  ('BSD-3-Clause', ' 16 17 18 19 '),
+  ('BSD-2-Clause', ' 16 17 18 '),
+  ('ISC', ' 20 '),
+  ('MPL-2.0', ' 21 '),
+  ('Unlicense', ' 24 '),
+  ('LGPL-2.1-or-later', ' 34 35 '),
+  ('AGPL-3.0-or-later', ' 10 36 '),
+  ('Zlib', ' 37 '),
+  ('BSL-1.0', ' 38 '),
+  ('BSD-3-Clause', ' 39 '),
+  ('GPL-2.0-only', ' 40 ')
+), longer AS (
+  SELECT a.name, a.run, list(b.run) FILTER (b.run IS NOT NULL) AS more
+  FROM rules a LEFT JOIN rules b ON starts_with(b.run, a.run) AND b.run <> a.run GROUP BY ALL
+), pattern AS (
+  SELECT '\|(' || string_agg(replace(s, ' ', '( |\|\|)'), '|' ORDER BY length(s) DESC, i) || ')\|' AS p FROM known
+), cut AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    replace(regexp_replace('|' || regexp_replace(regexp_replace(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ|', 'abcdefghijklmnopqrstuvwxyz '),
+      '(^|[\r\n]+)[ \t]*((dnl|rem)[ \t]+)?(\(?[0-9a-z][0-9a-z]?[.)][ \t]+)?', '|', 'g'),
+      '[.!?;:]["'')\]]*([ \t\n\x0B\f\r|]|\z)', '|', 'g'),
+      '[^a-z0-9|]+', ' ', 'g') || '|', ' ?\|[ |]*', '|', 'g'), '|', '||') AS t
+  FROM documents
 ), hits AS (
-  SELECT rowid_, doc_id, count(i) AS n, ' ' || coalesce(string_agg(i::VARCHAR, ' ' ORDER BY place), '') || ' ' AS j
-  FROM parts LEFT JOIN known ON trim(regexp_replace(translate(part, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')) = s
-  GROUP BY rowid_, doc_id
+  SELECT r, doc_id, list_transform(regexp_extract_all(t, p), lambda h: trim(regexp_replace(h, '[ |]+', ' ', 'g'))) AS found FROM cut, pattern
+), numbered AS (
+  SELECT r, doc_id, place, found[place] AS s FROM hits, range(1, len(found) + 1) AS places(place)
+), joined AS (
+  SELECT h.r, h.doc_id, count(k.i) AS n, ' ' || coalesce(string_agg(k.i::VARCHAR, ' ' ORDER BY x.place), '') || ' ' AS j
+  FROM hits h LEFT JOIN numbered x ON x.r = h.r LEFT JOIN known k ON k.s = x.s GROUP BY h.r, h.doc_id
+), named AS (
+  SELECT j.r, list(DISTINCT l.name ORDER BY l.name) AS names
+  FROM joined j JOIN longer l ON contains(j.j, l.run) AND len(list_filter(coalesce(l.more, []), lambda m: contains(j.j, m))) = 0 GROUP BY j.r
 )
-SELECT doc_id, n::BIGINT AS n_sentences, trim(j) AS sentence_ids,
-  array_to_string(list_sort(list_distinct(list_filter([{", ".join(cases)}], lambda x: x IS NOT NULL))), ',') AS licences
-FROM hits
+SELECT doc_id, n::BIGINT AS n_sentences, trim(j) AS sentence_ids, coalesce(array_to_string(names, ','), '') AS licences
+FROM joined LEFT JOIN named USING (r)
 """
-
-
-LICENSE_SQL = _oracle()

@@ -3,11 +3,59 @@ import textwrap
 import pytest
 
 from quorate.llm.licenses import SENTENCES as S
-from quorate.llm.licenses import scan_licenses
+from quorate.llm.licenses import LICENSE_SQL, scan_licenses
 
 MIT = f"MIT License\n\nCopyright (c) 2020 A. Person\n\n{S[7]}:\n\n{S[8]}\n\nTHE SOFTWARE IS PROVIDED \"AS IS\"."
 BSD = f"Copyright 2020, A. Person\n\n{S[16]}:\n\n1. {S[17]}\n\n2. {S[18]}\n\n3. {S[19]}\n\nTHIS SOFTWARE IS PROVIDED."
 GPL3 = f"{S[10]}: {S[11]}\n\nThis program is distributed in the hope that it will be useful."
+#: As published, wrapped by hand.
+PUBLISHED_MIT = """MIT License
+
+Copyright (c) 2021 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+PUBLISHED_GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+PUBLISHED_APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
 GPL2 = f"{S[10]}; {S[12]}"
 MPL = f"{S[21]} If a copy of the MPL was not distributed with this file, You can obtain one at x."
 APACHE = f"{S[1]};\n{S[2]}\n{S[3]}\n\n    {S[4]}\n\nUnless required by applicable law"
@@ -34,3 +82,27 @@ def test_notices_at_lines_colons_and_within_sentences(spark):
     ]
     got = {r.doc_id: (r.sentence_ids, r.licences) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("10 11", "GPL-3.0-or-later"), 2: ("23", "MIT"), 3: ("6", "MIT"), 4: ("", ""), 5: ("6", "MIT"), 6: ("", "")}
+
+
+def hard_rows():
+    texts = [MIT, BSD, GPL3, GPL2, S[20], MPL, APACHE, PUBLISHED_MIT, PUBLISHED_GPL, PUBLISHED_APACHE]
+    texts += [wrapped(x, mark=m) for x in texts for m in (" * ", "# ", "dnl ")]
+    texts += [None, "", "a. . b) (2) c", "|||", "..\n\n1. \u2028", ". " + S[6], S[6] + S[6], f"{S[6]}\x0b{S[13]}\u2028", f"(a) {S[24]} b. {S[38]}", f"{S[35]} {S[34]}: {S[35]}", "x. " * 20_000 + S[37]]
+    return [(i % 40, t) for i, t in enumerate(texts)]
+
+
+def test_published_texts(spark):
+    rows = [(1, PUBLISHED_MIT), (2, PUBLISHED_GPL), (3, PUBLISHED_APACHE)]
+    got = {r.doc_id: (r.sentence_ids, r.licences) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("7 8 25 26", "MIT"), 2: ("10 11 30 31 32 33", "GPL-3.0-or-later"), 3: ("1 2 3 4 28 29", "Apache-2.0")}
+
+
+def test_equals_the_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = hard_rows()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.execute(f"SELECT doc_id, n_sentences, sentence_ids, licences FROM ({LICENSE_SQL})").fetchall()
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
