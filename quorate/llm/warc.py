@@ -198,7 +198,9 @@ def read_chunks(manifest: DataFrame, chunk_bytes: int = 1 << 20, with_data: bool
         kind = [*kinds, pa.binary()] if with_data else kinds
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kind)], names=[*names, "data"] if with_data else names)
 
-    return manifest.select("path").repartition("path").mapInArrow(read, schema)
+    # A task for each archive: a stated number of partitions, as adaptive execution merges small ones.
+    archives = manifest.select("path").repartitionByRange(max(1, manifest.count()), "path")
+    return archives.mapInArrow(read, schema)
 
 
 def archive_digests(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:

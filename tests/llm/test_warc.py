@@ -43,5 +43,12 @@ def test_chunks_join_to_the_payload(spark, tmp_path):
     assert chunks.where(F.col("last")).count() == len(pages())
 
 
+def test_archives_are_read_by_a_task_each(spark, tmp_path):
+    manifest = write_archives(record_plan(spark.createDataFrame(pages(), SCHEMA), 10**9).repartition(6), str(tmp_path / "e"))
+    archives = manifest.count()
+    readers = read_chunks(manifest).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert archives > 1 and readers == archives
+
+
 def test_empty_table(spark, tmp_path):
     assert archive_digests(spark.createDataFrame([], SCHEMA), str(tmp_path / "d")).collect() == []
