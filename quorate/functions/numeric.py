@@ -28,8 +28,18 @@ def mean_entropy(positions: Column) -> Column:
 
 
 def round_1(x: Column) -> Column:
-    return F.bround(x, 1)
+    """To one decimal, by the number's exact binary value; exact halves go to the even digit."""
+    size = F.abs(x.cast("double"))
+    tenths = F.floor(size * 10).cast("double")
+    # 20 * size - (2 * tenths + 1) has the sign of what lies beyond the half. Size is divided in two
+    # parts of few digits, so that the products are exact.
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    beyond = (20 * high - (2 * tenths + 1)) + 20 * (size - high)
+    up = (beyond > 0) | ((beyond == 0) & (tenths % 2 == 1))
+    rounded = F.signum(x.cast("double")) * ((tenths + F.when(up, 1.0).otherwise(0.0)) / 10)
+    return F.when(size < 2.0**46, rounded).otherwise(x.cast("double"))
 
 
 def percent(part: Column, whole: Column) -> Column:
-    return F.format_string("%.0f", 100.0 * part / whole)
+    """As text without decimals; exact halves go to the even digit."""
+    return F.bround(100.0 * part / whole, 0).cast("long").cast("string")

@@ -23,12 +23,16 @@ FEEDBACK = ("Code execution output:\n```\n", "\n```\nContinue solving based on t
 NUDGE = "Continue solving. Write Python code if you need to compute something, or put your final integer answer in \\boxed{}."
 
 
+#: The same characters one by one.
+_SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def strip_right(text: Column) -> Column:
-    return F.regexp_replace(text, rf"[{SPACE}]+\z", "")
+    return F.rtrim(text, F.lit(_SPACES))
 
 
 def last_match(text: Column, pattern: str, group: int = 1) -> Column:

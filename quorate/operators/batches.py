@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quorate.sources.scratch import scratch_path
+
 
 class PredictionError(ValueError):
     """A submission that breaks a rule; ``kind`` is its name in ``ERRORS``."""
@@ -28,21 +30,21 @@ ERRORS = {
 }
 
 
-def row_numbers(df: DataFrame, order: list[str], name: str = "row_no", buckets: int = 64) -> DataFrame:
-    """Number rows from 0 in ``order``, without one task that sees them all: rows are dealt by ranges
-    of the first order column, ranked within each range, and shifted by the counts before it."""
-    first = order[0]
-    if dict(df.dtypes)[first] not in ("int", "bigint", "smallint", "tinyint"):
-        raise TypeError("the first order column must be a whole number")
-    low, high = df.agg(F.min(first), F.max(first)).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
-    bucket = F.floor((F.col(first) - F.lit(low or 0)) / width)
-    cut = df.withColumn("_bucket", F.coalesce(bucket, F.lit(-1)))
-    before = Window.partitionBy().orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    # ``starts`` has ``buckets`` + 1 rows at most.
-    return cut.withColumn("_rank", rank).join(F.broadcast(starts), "_bucket").withColumn(name, F.col("_start") + F.col("_rank")).drop("_bucket", "_rank", "_start")
+def row_numbers(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
+    """Number rows from 0 in ``order``, without one task that sees them all.
+
+    Rows are dealt by ranges of the order columns, of any types; the ranges follow a sample of the
+    rows, so a far or frequent value makes none large as long as the order as a whole tells rows apart.
+    The sorted table is written, as ranges may fall otherwise when computed anew; a row's number is its
+    place in its range plus the counts of the ranges before. Nulls come first."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "row-numbers")
+    place = F.monotonically_increasing_id()  # the partition in the upper bits, the place in the lower 33
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place).write.parquet(path)
+    dealt = spark.read.schema(df.withColumn("_place", place).schema).parquet(path).withColumn("_range", F.shiftright("_place", 33))
+    before = Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    # ``starts`` has a row for each shuffle partition.
+    return dealt.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_place").bitwiseAND((1 << 33) - 1)).drop("_range", "_place", "_start")
 
 
 def batch_slices(df: DataFrame, n: int, order: list[str]) -> DataFrame:
@@ -70,12 +72,18 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
 def batch_row_check(expected: DataFrame, received: DataFrame) -> DataFrame:
     """(batch_id, expected, received, kind, message) of every batch; kind is null where all is well.
 
-    ``expected`` and ``received`` have a row for each row with its batch_id; batches known only by
-    name have a null ``id``."""
-    counts = [df.groupBy("batch_id").agg(F.count("id").alias(name)) for df, name in ((expected, "expected"), (received, "received"))]
+    ``expected`` and ``received`` have a row for each row with its batch_id, whatever else it holds. A
+    batch without rows has one row that stands for it, with true in a column ``empty``."""
+
+    def rows_of(df: DataFrame, name: str) -> DataFrame:
+        here = ~F.coalesce("empty", F.lit(False)) if "empty" in df.columns else F.lit(True)
+        return df.groupBy("batch_id").agg(F.count_if(here).alias(name))
+
+    counts = [rows_of(expected, "expected"), rows_of(received, "received")]
     both = counts[0].join(counts[1], "batch_id", "full")
     none, missing = F.col("received").isNull(), F.coalesce("expected", F.lit(0)) == 0
     wrong = F.col("received") != F.col("expected")
+    # The kinds and messages of a batch that fails.
     return both.select(
         "batch_id",
         F.coalesce("expected", F.lit(0)).alias("expected"),
@@ -130,6 +138,7 @@ def outer_union(frames: list[DataFrame]) -> DataFrame:
 
 def classify_error(message: Column, kind: Column, endpoint: Column) -> Column:
     """(kind, details) of a failed call, by the first rule that fits."""
+    # What messages hold, and the details they become.
     raised = F.regexp_extract(message, '(?d)(?i)"Exception calling application: (.*)"', 1)
     has = lambda text: message.contains(text)
 

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from quorate.functions import text as T
 from quorate.operators import batches as B
 from quorate.operators import predict as P
+from quorate.operators.attempts import assemble_trace
 from quorate.operators.manifest import path_manifest_check as check_paths
+from quorate.operators.scoring import accuracy_summary
+from quorate.plans.attempt_queries import _SCORED as SCORED_SQL
 from quorate.plans.attempt_queries import scored
 from quorate.plans.bindings import bound, query, table
 from quorate.plans.text_queries import sql_answer
@@ -32,7 +35,7 @@ def seeded_shuffle(spark, d):
     return B.seeded_shuffle(table(spark, d, "documents").select("doc_id"), "doc_id", 7)
 
 
-_CHECK = """WITH e AS (SELECT batch_id, count(id) AS expected FROM b_expected_rows GROUP BY batch_id), r AS (SELECT batch_id, count(id) AS received FROM b_received_rows GROUP BY batch_id),
+_CHECK = """WITH e AS (SELECT batch_id, count(*) FILTER (id IS NOT NULL) AS expected FROM b_expected_rows GROUP BY batch_id), r AS (SELECT batch_id, count(*) AS received FROM b_received_rows GROUP BY batch_id),
 c AS (SELECT coalesce(e.batch_id, r.batch_id) AS batch_id, coalesce(expected, 0) AS expected, received,
   CASE WHEN received IS NULL THEN 'INVALID_SUBMISSION' WHEN coalesce(expected, 0) = 0 THEN 'GATEWAY_RAISED_EXCEPTION' WHEN received <> expected THEN 'INVALID_SUBMISSION' END AS kind,
   CASE WHEN received IS NULL THEN 'No prediction received' WHEN coalesce(expected, 0) = 0 THEN 'Missing row IDs for batch' WHEN received <> expected THEN 'Invalid predictions: expected ' || expected || ' rows but received ' || received END AS message
@@ -41,7 +44,7 @@ c AS (SELECT coalesce(e.batch_id, r.batch_id) AS batch_id, coalesce(expected, 0)
 
 @query(f"{_CHECK} SELECT * FROM c", "expected_rows", "received_rows")
 def batch_row_check(spark, d):
-    return B.batch_row_check(bound(spark, d, "expected_rows"), bound(spark, d, "received_rows"))
+    return B.batch_row_check(bound(spark, d, "expected_rows").withColumn("empty", F.col("id").isNull()), bound(spark, d, "received_rows"))
 
 
 @query(
@@ -190,20 +193,32 @@ def write_submission_parquet(spark, d):
     return spark.read.parquet(path)
 
 
-@query("SELECT doc_id AS id, text AS problem, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id END AS answer FROM documents")
+@query(
+    """SELECT conv_id AS id, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE conv_id END AS answer, (turn % 2)::INT AS attempt, count(*) OVER w AS turns,
+    (row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) - 1)::INT AS place, role, text AS content FROM conversations WINDOW w AS (PARTITION BY conv_id, turn % 2)"""
+)
 def write_traces(spark, d):
+    said = table(spark, d, "conversations").select(F.col("conv_id").alias("problem_id"), (F.col("turn") % 2).cast("int").alias("attempt"), "turn", "role", F.col("text").alias("content"))
+    attempts = said.groupBy("problem_id", "attempt").agg(F.count("*").alias("turns")).select("problem_id", "attempt", F.lit(None).cast("long").alias("answer"), "turns", F.lit(None).cast("string").alias("error"))
+    problems = said.select("problem_id", F.when(F.col("problem_id") % 3 != 0, F.col("problem_id")).alias("answer")).distinct()
     path = scratch_path(spark, "traces")
-    S.write_traces(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("problem"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")).alias("answer")), path)
-    return spark.read.schema("id long, problem string, answer long").json(path)
+    S.write_traces(assemble_trace(said, attempts, problems).withColumnRenamed("problem_id", "id"), path)
+    attempt = "array<struct<attempt:int,answer:long,turns:long,messages:array<struct<role:string,content:string>>,error:string>>"
+    trace = spark.read.schema(f"id long, answer long, attempts {attempt}").json(path).select("id", "answer", F.explode("attempts").alias("a"))
+    return trace.select("id", "answer", "a.attempt", "a.turns", F.posexplode("a.messages").alias("place", "m")).select("id", "answer", "attempt", "turns", "place", "m.role", "m.content")
 
 
-@query(None)
+@query(
+    f"{SCORED_SQL} SELECT problem_id, answer, (SELECT count(*) FROM scored) AS attempted, (SELECT count(*) FILTER (correct) FROM scored) AS correct, (SELECT CASE WHEN count(expected) > 0 THEN count(*) FILTER (correct) / count(*) END FROM scored) AS accuracy FROM scored",
+    "attempts",
+)
 def write_score_summary(spark, d):
-    from quorate.operators.scoring import accuracy_summary
-
     path = scratch_path(spark, "summary")
-    S.write_score_summary(accuracy_summary(scored(spark, d)), path)
-    return spark.read.schema("attempted long, correct long, accuracy double, accuracy_labelled double, total_time_s double").json(path)
+    found = scored(spark, d)
+    S.write_score_summary(accuracy_summary(found), path, found.select("problem_id", "answer"))
+    metrics = spark.read.schema("attempted long, correct long, accuracy double, accuracy_labelled double, total_time_s double").json(f"{path}/metrics")
+    results = spark.read.schema("problem_id long, answer int").json(f"{path}/results")
+    return results.join(F.broadcast(metrics.select("attempted", "correct", "accuracy")))  # one row
 
 
 # ---- streams: files as a stream, all that is there, then the result as a table ----
@@ -232,8 +247,7 @@ _SEEN = f"""WITH seen AS (SELECT *, string_agg(text, '') OVER (PARTITION BY prob
 @query(_SEEN, "chunks")
 def stream_answer_watch(spark, d):
     recent = _streamed(spark, bound(spark, d, "chunks"), watch.stream_recent_texts, by=["chunk_no"])
-    hits = recent.withColumn("answer", T.extract_answer(F.col("recent"), "strict")).where("answer is not null").drop("recent")
-    return _streamed(spark, hits, watch.first_hits, 1)
+    return _streamed(spark, watch.with_answers(recent), watch.first_hits)
 
 
 @query(
@@ -242,7 +256,8 @@ def stream_answer_watch(spark, d):
     "attempts",
 )
 def stream_early_stop(spark, d):
-    return _streamed(spark, bound(spark, d, "attempts").select("problem_id", "completion_seq", "answer"), lambda s: watch.stream_early_stop(s, 4), 1)
+    completed = bound(spark, d, "attempts").select("problem_id", F.col("attempt").alias("completion_no"), "completion_seq", "answer")
+    return _streamed(spark, completed, lambda s: watch.stream_early_stop(s, 4))
 
 
 @query("WITH dl AS (SELECT user_id, min(ts) + INTERVAL 7 DAY AS deadline FROM events GROUP BY user_id) SELECT event_id, user_id FROM events JOIN dl USING (user_id) WHERE ts <= deadline")

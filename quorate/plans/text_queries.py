@@ -225,14 +225,19 @@ def skip_empty_logprobs(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.size(F.filter(positions, lambda m: F.size(m) > 0)).alias("positions"))
 
 
-@query("SELECT event_id, round_even(value::DECIMAL(18,4), 1)::DOUBLE AS seconds FROM events")
+@query("SELECT event_id, format('{:.1f}', value)::DOUBLE AS seconds, format('{:.1f}', floor(value * 20) / 20)::DOUBLE AS halves FROM events")
 def round_1(spark, d):
-    return table(spark, d, "events").select("event_id", N.round_1(F.col("value").cast("decimal(18,4)")).cast("double").alias("seconds"))
+    return table(spark, d, "events").select("event_id", N.round_1(F.col("value")).alias("seconds"), N.round_1(F.floor(F.col("value") * 20).cast("double") / 20).alias("halves"))
 
 
-@query("SELECT source, printf('%.0f', 100.0 * count(*) FILTER (lang = 'en') / count(*)) AS share FROM documents GROUP BY source")
+@query(
+    """SELECT source, printf('%.0f', 100.0 * count(*) FILTER (lang = 'en') / count(*)) AS share FROM documents GROUP BY source
+    UNION ALL SELECT 'eighths ' || doc_id, printf('%.0f', 100.0 * (doc_id % 9) / 8) FROM documents"""
+)
 def percent(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(N.percent(F.count_if(F.col("lang") == "en"), F.count("*")).alias("share"))
+    docs = table(spark, d, "documents")
+    eighths = docs.select(F.concat(F.lit("eighths "), F.col("doc_id").cast("string")).alias("source"), N.percent(F.col("doc_id") % 9, F.lit(8)).alias("share"))
+    return docs.groupBy("source").agg(N.percent(F.count_if(F.col("lang") == "en"), F.count("*")).alias("share")).unionByName(eighths)
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '<think>' || role || '</think>' || chr(10) || text ELSE text END AS reply FROM conversations")

@@ -51,5 +51,8 @@ def write_traces(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", "false").json(path)
 
 
-def write_score_summary(summary: DataFrame, path: str) -> None:
-    summary.coalesce(1).write.option("ignoreNullFields", "false").json(path)
+def write_score_summary(summary: DataFrame, path: str, results: DataFrame | None = None) -> None:
+    """The one row of metrics to ``path``/metrics, and a record for each problem to ``path``/results."""
+    summary.coalesce(1).write.option("ignoreNullFields", "false").json(f"{path}/metrics")
+    if results is not None:
+        results.write.option("ignoreNullFields", "false").json(f"{path}/results")

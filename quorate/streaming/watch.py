@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -12,19 +14,27 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from quorate.functions import text as T
 from quorate.operators.batches import batch_row_check
 
+# Workers of state processors don't see what the session ships to executors: take the code along.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _mode(expires_ms: int | None) -> str:
+    """With a time after which the state of a silent key is dropped, batches run by the clock and so
+    without end; a stream that is to end when its input is read (availableNow) must keep its state."""
+    return "none" if expires_ms is None else "processingTime"
 
 class _Chunks(StatefulProcessor):
-    """Emits, for a turn, the joined last texts whenever a chunk has a closing brace. Chunks may come
-    out of order: they wait until those before them are there."""
+    """Emits, for a turn, the joined last texts whenever a chunk has a closing brace, numbered from 0.
+    Chunks may come out of order: they wait until those before them are there."""
 
-    def __init__(self, look_back: int) -> None:
-        self._look_back = look_back
+    def __init__(self, look_back: int, expires_ms: int | None) -> None:
+        self._look_back, self._expires = look_back, expires_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("state", "next_no int, texts array<string>, numbers array<int>, tokens array<int>, waiting array<string>")
+        self._state = handle.getValueState("state", "next_no int, braces int, texts array<string>, numbers array<int>, tokens array<int>, waiting array<string>", self._expires)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        next_no, texts, *held = self._state.get() if self._state.exists() else (0, [], [], [], [])
+        next_no, braces, texts, *held = self._state.get() if self._state.exists() else (0, 0, [], [], [], [])
         waiting = {no: (tokens, text) for no, tokens, text in zip(*held)}
         for batch in rows:
             waiting |= {int(no): (int(tokens), text) for no, tokens, text in zip(batch["chunk_no"], batch["n_tokens"], batch["text"])}
@@ -34,82 +44,106 @@ class _Chunks(StatefulProcessor):
             if tokens > 0:
                 texts = [*texts, text][-self._look_back :]
                 if "}" in text:
-                    found.append((*key, next_no, "".join(texts)))
+                    found.append((*key, next_no, braces, "".join(texts)))
+                    braces += 1
             next_no += 1
         left = sorted((no, *w) for no, w in waiting.items())
-        self._state.update((next_no, texts, *([x[i] for x in left] for i in range(3))))
+        self._state.update((next_no, braces, texts, *([x[i] for x in left] for i in range(3))))
         if found:
-            yield pd.DataFrame(found, columns=["problem_id", "attempt", "turn", "chunk_no", "recent"])
+            yield pd.DataFrame(found, columns=["problem_id", "attempt", "turn", "chunk_no", "brace_no", "recent"])
 
     def close(self) -> None:
         pass
 
 
-class _FirstHit(StatefulProcessor):
-    """Passes on the first hit of each turn only."""
+class _InOrder(StatefulProcessor):
+    """Rows of a key in the order of a number that has no gaps, from 0: they wait until those before
+    them are there. ``step`` is called for each; when it returns a row, that is passed on and nothing
+    more. What waits expires with the rest of the state."""
+
+    def __init__(self, number: str, columns: list[str], out: list[str], expires_ms: int | None) -> None:
+        self._number, self._columns, self._out, self._expires = number, columns, out, expires_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._done = handle.getValueState("done", "done boolean")
+        self._state = handle.getValueState("state", "next_no int, done boolean, seen array<int>, counts array<int>, waiting array<int>, a array<long>, b array<int>", self._expires)
+
+    def step(self, counts: dict[int, int], a: int, b: int | None):
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if not self._done.exists():
-            first = pd.concat(list(rows)).sort_values("chunk_no").head(1)
-            self._done.update((True,))
-            yield first[["problem_id", "attempt", "turn", "chunk_no", "answer"]]
+        next_no, done, seen, times, *held = self._state.get() if self._state.exists() else (0, False, [], [], [], [], [])
+        if done:
+            return
+        counts, waiting = dict(zip(seen, times)), {no: (a, b) for no, a, b in zip(*held)}
+        for batch in rows:
+            for no, a, b in zip(batch[self._number], *(batch[c] for c in self._columns)):
+                waiting[int(no)] = (int(a), None if pd.isna(b) else int(b))
+        found = None
+        while found is None and next_no in waiting:
+            found = self.step(counts, *waiting.pop(next_no))
+            next_no += 1
+        if found is not None:
+            self._state.update((next_no, True, [], [], [], [], []))
+            yield pd.DataFrame([(*key, *found)], columns=self._out)
+        else:
+            left = sorted(waiting.items())
+            self._state.update((next_no, False, list(counts), list(counts.values()), [no for no, _ in left], [x[0] for _, x in left], [x[1] for _, x in left]))
 
     def close(self) -> None:
         pass
 
 
-class _Votes(StatefulProcessor):
-    """Counts answers of a problem; emits once, when one has ``k`` votes."""
+class _FirstHit(_InOrder):
+    """The first brace of a turn whose last texts hold an answer."""
 
-    def __init__(self, k: int) -> None:
-        self._k = k
+    def step(self, counts, chunk_no, answer):
+        return None if answer is None else (chunk_no, answer)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._votes = handle.getMapState("votes", "answer int", "n int")
-        self._done = handle.getValueState("done", "done boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("completion_seq")
-        for seq, answer in zip(batch["completion_seq"], batch["answer"]):
-            if self._done.exists():
-                return
-            if pd.isna(answer):
-                continue
-            at = (int(answer),)
-            n = (self._votes.getValue(at)[0] if self._votes.containsKey(at) else 0) + 1
-            self._votes.updateValue(at, (n,))
-            if n >= self._k:
-                self._done.update((True,))
-                yield pd.DataFrame([(key[0], int(seq), int(answer))], columns=["problem_id", "stop_seq", "answer"])
+class _Votes(_InOrder):
+    """Counts answers of a problem, until one has ``k`` votes."""
 
-    def close(self) -> None:
-        pass
+    k = 1
+
+    def step(self, counts, seq, answer):
+        if answer is None:
+            return None
+        counts[answer] = counts.get(answer, 0) + 1
+        return (seq, answer) if counts[answer] >= self.k else None
 
 
-def stream_recent_texts(chunks: DataFrame, look_back: int = 32) -> DataFrame:
-    """A stream of (problem_id, attempt, turn, chunk_no, recent): the last texts at each brace."""
+def stream_recent_texts(chunks: DataFrame, look_back: int = 32, expires_ms: int | None = None) -> DataFrame:
+    """A stream of (problem_id, attempt, turn, chunk_no, brace_no, recent): the last texts at each
+    brace, in whatever order and micro-batches the chunks come."""
     return chunks.groupBy("problem_id", "attempt", "turn").transformWithStateInPandas(
-        _Chunks(look_back), "problem_id long, attempt int, turn int, chunk_no int, recent string", "append", "none"
+        _Chunks(look_back, expires_ms), "problem_id long, attempt int, turn int, chunk_no int, brace_no int, recent string", "append", _mode(expires_ms)
     )
 
 
+def with_answers(recent: DataFrame) -> DataFrame:
+    """The answer that each of the last texts holds, null where none."""
+    return recent.withColumn("answer", T.extract_answer(F.col("recent"), "strict")).drop("recent")
+
+
 def stream_answer_watch(chunks: DataFrame, emit: Callable[[DataFrame, int], None], look_back: int = 32):
     """Write the answers that the last texts hold, batch by batch; see ``first_hits``."""
-    hits = stream_recent_texts(chunks, look_back).withColumn("answer", T.extract_answer(F.col("recent"), "strict")).where("answer is not null")
-    return hits.writeStream.foreachBatch(emit)
+    return with_answers(stream_recent_texts(chunks, look_back)).writeStream.foreachBatch(emit)
 
 
-def first_hits(hits: DataFrame) -> DataFrame:
-    """First hit of each turn, of a stream of hits."""
-    return hits.groupBy("problem_id", "attempt", "turn").transformWithStateInPandas(_FirstHit(), "problem_id long, attempt int, turn int, chunk_no int, answer int", "append", "none")
+def first_hits(answers: DataFrame, expires_ms: int | None = None) -> DataFrame:
+    """First answer of each turn, of a stream of all its braces with or without one."""
+    out = ["problem_id", "attempt", "turn", "chunk_no", "answer"]
+    return answers.groupBy(*out[:3]).transformWithStateInPandas(
+        _FirstHit("brace_no", ["chunk_no", "answer"], out, expires_ms), "problem_id long, attempt int, turn int, chunk_no int, answer int", "append", _mode(expires_ms)
+    )
 
 
-def stream_early_stop(attempts: DataFrame, k: int) -> DataFrame:
-    """A stream of (problem_id, stop_seq, answer): once for each problem that reaches ``k`` votes."""
-    return attempts.groupBy("problem_id").transformWithStateInPandas(_Votes(k), "problem_id long, stop_seq long, answer int", "append", "none")
+def stream_early_stop(attempts: DataFrame, k: int, expires_ms: int | None = None) -> DataFrame:
+    """A stream of (problem_id, stop_seq, answer): once for each problem that reaches ``k`` votes, in the
+    order of completion: ``completion_no`` numbers the completed attempts of a problem from 0."""
+    votes = _Votes("completion_no", ["completion_seq", "answer"], ["problem_id", "stop_seq", "answer"], expires_ms)
+    votes.k = k
+    return attempts.groupBy("problem_id").transformWithStateInPandas(votes, "problem_id long, stop_seq long, answer int", "append", _mode(expires_ms))
 
 
 def stream_deadline_cut(events: DataFrame, deadlines: DataFrame, key: str, delay: str = "1 hour") -> DataFrame:

@@ -25,12 +25,9 @@ def choose(rows, k):
     leading = counts.most_common(2)
     if leading[0][1] >= max(4, k) or len(leading) == 1:
         return leading[0][0]
-    candidates = [a for a, n in leading if n == leading[0][1]]
-    best, found = float("inf"), leading[0][0]
-    for answer, entropy in kept:
-        if answer in candidates and entropy < best:
-            best, found = entropy, answer
-    return found
+    tied = {a for a, n in leading if n == leading[0][1]}
+    surest = min(((entropy, place, answer) for place, (answer, entropy) in enumerate(kept) if answer in tied), default=None)
+    return surest[2] if surest and surest[0] < float("inf") else leading[0][0]
 
 
 @pytest.mark.parametrize("k", [1, 2, 3, 5])
@@ -48,7 +45,7 @@ def test_majority_keeps_the_answer_seen_first(spark):
 
 
 def test_batch_row_check_branches_and_status(spark):
-    expected = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, None), (4, "d")], "batch_id int, id string")
+    expected = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, None), (4, "d")], "batch_id int, id string").withColumn("empty", F.col("batch_id") == 3)
     received = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "c"), (3, "x")], "batch_id int, id string")
     checked = batches.batch_row_check(expected, received)
     got = {r.batch_id: (r.kind, r.message) for r in checked.collect()}
@@ -151,3 +148,60 @@ def test_unlike_errors(spark):
     df = spark.createDataFrame([("Failed to connect to server after waiting 5", "gaierror"), ("No listener for p was registered", "E"), ('z "Exception calling application: a "b" c" d', "E"), ("m", "DeadlineError"), ("m", "other")], "m string, k string")
     got = [r.c.kind for r in df.select(batches.classify_error(F.col("m"), F.col("k"), F.lit("p")).alias("c")).collect()]
     assert got == ["SERVER_NEVER_STARTED", "SERVER_MISSING_ENDPOINT", "SERVER_RAISED_EXCEPTION", "GRPC_DEADLINE_EXCEEDED", "UNSPECIFIED"]
+
+
+def test_rounding_is_by_the_exact_binary_value(spark):
+    from quorate.functions.numeric import percent, round_1
+
+    values = [0.35, 0.25, 0.45, 0.75, 12.25, 0.05, 0.15, 1234567.85, 2.675, -0.35, -0.25, 0.0, 1e15, 1e300, 0.9999999999999999, 99.95, None, float("inf")]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(round_1(F.col("x"))).collect()]
+    assert got == [None if v is None else v if v == float("inf") else round(v, 1) for v in values]
+    halves = spark.createDataFrame([(1, 8), (5, 8), (3, 8), (1, 3), (0, 5), (5, 5)], "a int, b int")
+    assert [r[0] for r in halves.select(percent(F.col("a"), F.col("b"))).collect()] == ["12", "62", "38", "33", "0", "100"]
+
+
+def test_row_numbers_with_a_far_value_and_any_type(spark):
+    ids = [*range(3000), 10**12, *range(-5, 0)]
+    frame = spark.createDataFrame([(i, f"k{i % 7}") for i in ids], "id long, kind string").repartition(5)
+    assert {r.id: r.row_no for r in batches.row_numbers(frame, ["id"]).collect()} == {v: n for n, v in enumerate(sorted(ids))}
+    by_text = sorted(((f"k{i % 7}", i) for i in ids))
+    assert {r.id: r.row_no for r in batches.row_numbers(frame, ["kind", "id"]).collect()} == {v: n for n, (_, v) in enumerate(by_text)}
+    assert batches.row_numbers(frame.limit(0), ["id"]).collect() == []
+
+
+def test_batches_are_checked_by_rows_not_ids(spark):
+    expected = spark.createDataFrame([(1, "a", False), (1, "b", False), (2, None, True)], "batch_id int, id string, empty boolean")
+    received = spark.createDataFrame([(1, None), (1, "b"), (2, "x")], "batch_id int, id string")
+    got = {r.batch_id: (r.expected, r.received, r.kind) for r in batches.batch_row_check(expected, received).collect()}
+    assert got == {1: (2, 2, None), 2: (0, 1, "GATEWAY_RAISED_EXCEPTION")}
+
+
+def test_rollout_values(spark, tmp_path):
+    import pandas as pd
+
+    def model(prompt: pd.Series) -> pd.Series:
+        def reply(text):
+            if "boxed now" in text:
+                return "\\boxed{11}"
+            if "code please" in text:
+                seen = text.count("Code execution output")
+                return f"got \\boxed{{{40 + seen}}}" if "42" in text else "```python\nprint(42)\n```"
+            if "fail" in text:
+                raise ValueError("no reply")
+            return "hm"
+
+        return prompt.map(reply)
+
+    def runner(code: pd.Series) -> pd.Series:
+        return code.str.extract(r"print\((\d+)\)")[0]
+
+    def kept(df):
+        path = str(tmp_path / f"t{len(list(tmp_path.iterdir()))}")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    problems = spark.createDataFrame([(1, 0, "boxed now"), (2, 0, "code please"), (3, 0, "never")], "problem_id int, attempt int, problem string")
+    got = {r.problem_id: (r.answer, r.turns) for r in predict.multi_turn_rollout(problems, model, runner, 3, kept).collect()}
+    assert got == {1: (11, 1), 2: (41, 2), 3: (None, 3)}
+    failing = spark.createDataFrame([(4, 0, "fail")], "problem_id int, attempt int, problem string")
+    assert [(r.answer, r.turns) for r in predict.multi_turn_rollout(failing, model, runner, 3, kept).collect()] == [(None, 1)]
