@@ -77,9 +77,9 @@ class Forest:
 
 
 def grow(sample: np.ndarray, rows: int, radius: float, trees: int, leaf_rows: int, seed: int = 3) -> Forest:
-    """Trees cut at medians of random projections of the sample, as deep as ``leaf_rows`` asks for,
-    but with 16 sampled rows in a leaf at least."""
-    depth = max(0, min(math.ceil(math.log2(max(1, rows / leaf_rows))), int(math.log2(max(1, len(sample) / 16)))))
+    """Trees cut at medians of random projections of the sample, as deep as ``leaf_rows`` asks for and
+    three levels at least, but with 16 sampled rows in a leaf."""
+    depth = max(0, min(max(3, math.ceil(math.log2(max(1, rows / leaf_rows)))), int(math.log2(max(1, len(sample) / 16)))))
     nodes, rng = 2**depth - 1, np.random.default_rng(seed)
     forest = Forest(rng.normal(size=(trees, nodes, sample.shape[1] + 1)), np.zeros((trees, nodes)), depth, radius, sample)
     forest.planes /= np.linalg.norm(forest.planes, axis=2, keepdims=True)

@@ -23,6 +23,11 @@ def _source_offset(source: Column, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 5), 16, 10).cast("long") / F.lit(1048576.0)).cast("double")
 
 
+def _slice_of(key: Column, slices: int) -> Column:
+    """By a hash, so that ids in steps fall in all slices."""
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 4), 16, 10).cast("long") % slices
+
+
 def source_targets(sources: DataFrame, weights: tuple = WEIGHTS, most: int = 3) -> DataFrame:
     """(source, source_size) -> with target: ``sum(source_size)`` shared by weight, where no target
     is above ``most`` times its source's size and what is cut off is shared again by weight.
@@ -74,7 +79,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, seed: int = 17
         docs.withColumn("size", word_count(F.col("text")))
         .withColumn("_source", F.col("source"))
         .withColumn("_class", _size_class(F.col("size")))
-        .withColumn("_slice", F.coalesce(F.pmod(F.col("doc_id"), F.lit(slices)), F.lit(0)).cast("long"))
+        .withColumn("_slice", _slice_of(F.coalesce(F.col("doc_id").cast("string"), F.col("size").cast("string")), slices))
     )
     groups = settle(sized.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mixing-groups")
     totals = groups.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("source_size"))
@@ -108,9 +113,12 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, seed: int = 17
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row repeated as often as it is taken, with the columns of ``docs``."""
-    taken = mix(docs, **options).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mix itself: each row repeated as often as it is taken, with the columns of ``docs``, whatever
+    their names. Nulls, empty texts, ties and repeats are as in ``mix``."""
+    names = docs.columns
+    plain = docs.toDF(*(n if n in ("doc_id", "source", "text") else f"c{i}" for i, n in enumerate(names)))
+    taken = mix(plain, **options).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*plain.columns).toDF(*names)
 
 
 #: DuckDB SQL for what ``op3_source_mixing`` returns.
@@ -118,7 +126,7 @@ MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), keyed AS (
-  SELECT *, lpad(length(bin(size))::VARCHAR, 2, '0') || substr(bin(size), 1, 3) AS class, ((doc_id % 256) + 256) % 256 AS slice FROM sized
+  SELECT *, lpad(length(bin(size))::VARCHAR, 2, '0') || substr(bin(size), 1, 3) AS class, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, size::VARCHAR)), 1, 4))::BIGINT % 256 AS slice FROM sized
 ), totals AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), weighed AS (

@@ -101,12 +101,21 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, missed: float = 1e-
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding"))
     takes_part = usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = rows.withColumn("class", F.when(takes_part, F.xxhash64("label", "embedding")))
+    other = F.xxhash64(F.lit(1), "label", "embedding")  # a second hash, by which a collision of the first is seen
     classes = settle(
         rows.where("class is not null")
         .groupBy("class")
-        .agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")),
+        .agg(
+            F.min("vec_id").alias("first_id"),
+            F.count("*").alias("copies"),
+            F.first("label").alias("label"),
+            F.first("embedding").alias("embedding"),
+            (F.min(other) != F.max(other)).alias("unlike"),
+        ),
         "neardup-classes",
     ).withColumn("dim", F.size("embedding"))
+    if not classes.where("unlike").isEmpty():
+        raise RuntimeError("two unlike vectors have one 64-bit hash")
     n = classes.count()
     bits, bands = band_plan(n, least, missed)
 

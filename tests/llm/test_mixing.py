@@ -55,3 +55,11 @@ def test_targets_and_copies(spark):
 
 def test_empty_table(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_columns_of_any_name_come_back_as_they_were(spark):
+    rows = [(i, "ab"[i % 2], "w " * (i % 9), f"s{i}", f"t{i}", f"x{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, size string, target string, _slice string")
+    want = {r[0]: r for r in rows}
+    got = mixed_rows(docs).collect()
+    assert got and all(tuple(r) == want[r.doc_id] for r in got)

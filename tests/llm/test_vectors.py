@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from quorate.llm.ann import nearest
+from quorate.llm.ann import grow, nearest
 from quorate.llm.neardup import Codes, band_plan, near_duplicates
 
 SCHEMA = "vec_id long, embedding array<float>, label int, links string"
@@ -108,3 +108,19 @@ def test_nearest_with_all_leaves_is_exact(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(empty).collect() == [] and nearest(empty).collect() == []
+
+
+def test_small_tables_have_trees_too(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(25, 16))
+    x = (centre[np.arange(500) % 25] + 0.3 * rng.normal(size=(500, 16))).astype(np.float32)
+    assert grow(x.astype(float), 500, 9.0, 2, 2048).depth >= 3
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    exact = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(exact, -np.inf)
+    want = {i: set(np.argsort(-exact[i])[:20].tolist()) for i in range(0, 500, 20)}
+    for share, least in ((0.3, 0.9), (0.55, 0.95)):
+        found = {}
+        for r in nearest(frame, share=share).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        assert np.mean([len(found[i] & want[i]) / 20 for i in want]) >= least
