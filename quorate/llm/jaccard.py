@@ -16,7 +16,8 @@ from quorate.llm.words import mixed, shingle_set
 
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
 NUM, DEN = 80, 100
-_RANGE_BITS = 20
+#: Leading bits of a hash by which shingles are counted, at most, and those of the slots in a range.
+_SLOT_BITS, _RANGE_BITS = 28, 20
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -28,18 +29,6 @@ def _sets(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int | None, np.n
         yield doc_id, shingle_set(text.as_py() or b"", length)
 
 
-def fingerprints(docs: DataFrame, length: int = 5) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit digest of each document's set of shingles."""
-
-    def digest(batches):
-        for batch in batches:
-            rows = [(i, len(s), xxhash.xxh3_128_digest(s.tobytes())) for i, s in _sets(batch, length)]
-            ids, sizes, digests = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n_shingles", "digest"])
-
-    return _texts(docs).mapInArrow(digest, "doc_id long, n_shingles long, digest binary")
-
-
 def _packed_gaps(sorted_values: np.ndarray) -> bytes:
     """Gaps between sorted numbers in base 255: a byte below 255 ends a gap."""
     gaps = np.diff(sorted_values, prepend=sorted_values.dtype.type(0)).astype(np.int64)
@@ -54,53 +43,74 @@ def _unpacked_gaps(packed: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.int64)[steps != 255]
 
 
-def frequent_slots(docs: DataFrame, bits: int, least: int, length: int = 5) -> np.ndarray:
-    """A map of 2**bits bits over the leading bits of a shingle's hash: set where shingles of at
-    least ``least`` documents fall. Every document counts. The counts are summed in ranges of
-    2**20 slots; the driver gets only the map, of fixed size."""
-    range_bits = min(_RANGE_BITS, bits)
-    shift = np.uint64(64 - bits)
+def sets_and_slots(docs: DataFrame, length: int = 5, together: int = 1 << 22) -> DataFrame:
+    """One pass over the texts gives two kinds of rows. For each document doc_id, n_shingles and a
+    128-bit digest of its set of shingles. And, with a range, what the shingles of many documents add
+    to the counts: the leading 28 bits of their hashes in ranges of 2**20, as packed gaps."""
+    names = ["doc_id", "n_shingles", "digest", "range", "gaps"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    shift = np.uint64(64 - _SLOT_BITS)
 
-    def pack(batches):
+    def rows(*columns):
+        n = max(len(c) for c in columns if c is not None)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    def work(batches):
         held, n = [], 0
 
         def flush():
             slots = np.sort(np.concatenate(held))
-            ranges = (slots >> range_bits).astype(np.int64)
+            ranges = slots >> _RANGE_BITS
             cuts = np.flatnonzero(np.diff(ranges)) + 1
-            starts = np.concatenate([[0], cuts])
-            parts = np.split(slots & ((1 << range_bits) - 1), cuts)
-            return pa.RecordBatch.from_arrays([pa.array(ranges[starts], pa.int64()), pa.array([_packed_gaps(p) for p in parts], pa.binary())], names=["range", "gaps"])
+            parts = np.split(slots & ((1 << _RANGE_BITS) - 1), cuts)
+            return rows(None, None, None, ranges[np.concatenate([[0], cuts])], [_packed_gaps(p) for p in parts])
 
         for batch in batches:
-            for _, s in _sets(batch, length):
+            ids, sizes, digests = [], [], []
+            for doc_id, s in _sets(batch, length):
+                ids.append(doc_id)
+                sizes.append(len(s))
+                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 if len(s):
                     held.append((s >> shift).astype(np.int64))
                     n += len(s)
-                if n >= 1 << 20:
-                    yield flush()
-                    held, n = [], 0
+            if ids:
+                yield rows(ids, sizes, digests, None, None)
+            if n >= together:
+                yield flush()
+                held, n = [], 0
         if n:
             yield flush()
 
+    return _texts(docs).mapInArrow(work, "doc_id long, n_shingles long, digest binary, range int, gaps binary")
+
+
+def frequent_slots(packed: DataFrame, bits: int, least: int) -> np.ndarray:
+    """A map of 2**bits bits over the leading bits of a shingle's hash: set where shingles of at
+    least ``least`` documents fall. Every document counts. The counts are summed in ranges of
+    2**20 slots; the driver gets only the map, of fixed size."""
+    range_bits, fold = min(_RANGE_BITS, bits), _SLOT_BITS - bits
+    apart = _SLOT_BITS - max(_RANGE_BITS, bits)  # ranges of the packed gaps that fall together
+
     def counted(batches):
         """Ranges come sorted within a task: one count table is held at a time."""
         at, total = None, None
         for batch in batches:
             for key, packed in zip(batch.column("range").to_pylist(), batch.column("gaps")):
-                if key != at:
+                if key >> apart != at:
                     if at is not None:
                         yield done(at, total)
-                    at, total = key, np.zeros(1 << range_bits, np.int64)
-                total += np.bincount(_unpacked_gaps(packed.as_py()), minlength=1 << range_bits)
+                    at, total = key >> apart, np.zeros(1 << range_bits, np.int64)
+                slots = ((key & ((1 << apart) - 1)) << _RANGE_BITS) + _unpacked_gaps(packed.as_py())
+                total += np.bincount(slots >> fold, minlength=1 << range_bits)
         if at is not None:
             yield done(at, total)
 
     def done(key, total):
         return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["range", "map"])
 
-    packed = _texts(docs).mapInArrow(pack, "range long, gaps binary")
-    maps = packed.repartition("range").sortWithinPartitions("range").mapInArrow(counted, "range long, map binary")
+    together = F.shiftright("range", apart)
+    maps = packed.select("range", "gaps").withColumn("key", together).repartition("key").sortWithinPartitions("range").select("range", "gaps").mapInArrow(counted, "range long, map binary")
     found = np.zeros(max(1, (1 << bits) // 8), np.uint8)
     width = max(1, (1 << range_bits) // 8)
     for row in maps.collect():
@@ -363,13 +373,14 @@ def jaccard_components(docs: DataFrame, length: int = 5, least_frequent: int = 6
     nothing and have a null component. Rows that share a doc_id are one document, linked with what
     either is. Other columns are ignored."""
     spark = docs.sparkSession
-    info = settle(fingerprints(docs, length), "jaccard-sets")
+    seen = settle(sets_and_slots(docs, length), "jaccard-sets")
+    info = seen.where("range is null").select("doc_id", "n_shingles", "digest")
     some = info.where("doc_id is not null and n_shingles > 0")
     total, n_docs = some.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     classes = settle(some.groupBy("digest").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    bits = min(28, max(16, (max(total, 1) // 2).bit_length()))
+    bits = min(_SLOT_BITS, max(16, (max(total, 1) // 2).bit_length()))
     least = max(least_frequent, 8 * total >> bits)
-    frequent = spark.sparkContext.broadcast(frequent_slots(docs, bits, least, length))
+    frequent = spark.sparkContext.broadcast(frequent_slots(seen.where("range is not null"), bits, least))
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     prefix = settle(prefixes(docs, frequent, bits, length).join(reps.hint("merge"), "doc_id", "left_semi"), "jaccard-prefixes")
     held = prefix.select(F.explode("signatures").alias("signature"), F.col("doc_id").alias("id"), "n")
@@ -409,8 +420,13 @@ def jaccard_components(docs: DataFrame, length: int = 5, least_frequent: int = 6
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the least of its component; of rows that share it the one
-    with the least text. Rows with a null doc_id link with nothing and stay."""
-    kept = settle(jaccard_components(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "jaccard-kept")
-    found = docs.join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    first = found.withColumn("_turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_turn = 1").drop("_turn")
-    return first.unionByName(docs.where("doc_id is null"))
+    with the least text, a null text only where there is no other. Rows with a null doc_id link with
+    nothing and stay. Of rows alike in doc_id and text one stays, whatever their other columns hold.
+    Null and empty texts are groups of their own. An empty table gives an empty result."""
+    names = docs.columns
+    plain = docs.toDF(*(n if n in ("doc_id", "text") else f"c{i}" for i, n in enumerate(names)))
+    kept = settle(jaccard_components(plain, **options).where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows")), "jaccard-kept")
+    found = plain.join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col("kept_id"))
+    once = found.where("kept_rows = 1").select(*plain.columns)
+    repeated = found.where("kept_rows > 1").groupBy("doc_id").agg(F.min_by(F.struct(*plain.columns), F.struct(F.col("text").isNull(), "text")).alias("first")).select("first.*")
+    return once.unionByName(repeated).unionByName(plain.where("doc_id is null")).toDF(*names)
