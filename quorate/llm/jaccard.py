@@ -93,18 +93,29 @@ def frequent_slots(packed: DataFrame, bits: int, least: int) -> np.ndarray:
     apart = _SLOT_BITS - max(_RANGE_BITS, bits)  # ranges of the packed gaps that fall together
 
     def counted(batches):
-        """Ranges come sorted within a task: one count table is held at a time."""
-        at, total = None, None
+        """Ranges come sorted within a task: one count table is held at a time, and the gaps of one
+        range are added to it together."""
+        total, at, held, n = np.zeros(1 << range_bits, np.int64), None, [], 0
+
+        def add():
+            first = (at & ((1 << apart) - 1)) << _RANGE_BITS >> fold
+            found = np.bincount(np.concatenate(held) >> fold)
+            total[first : first + len(found)] += found
+
         for batch in batches:
             for key, packed in zip(batch.column("range").to_pylist(), batch.column("gaps")):
-                if key >> apart != at:
-                    if at is not None:
-                        yield done(at, total)
-                    at, total = key >> apart, np.zeros(1 << range_bits, np.int64)
-                slots = ((key & ((1 << apart) - 1)) << _RANGE_BITS) + _unpacked_gaps(packed.as_py())
-                total += np.bincount(slots >> fold, minlength=1 << range_bits)
+                if held and (key != at or n > 1 << 22):
+                    add()
+                    held, n = [], 0
+                if at is not None and key >> apart != at >> apart:
+                    yield done(at >> apart, total)
+                    total[:] = 0
+                at = key
+                held.append(_unpacked_gaps(packed.as_py()))
+                n += len(held[-1])
         if at is not None:
-            yield done(at, total)
+            add()
+            yield done(at >> apart, total)
 
     def done(key, total):
         return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["range", "map"])
