@@ -9,6 +9,7 @@ from quorate.llm.ann import nearest
 from quorate.llm.common import table
 from quorate.llm.jaccard import jaccard_components
 from quorate.llm.licenses import LICENSE_SQL, scan_licenses
+from quorate.llm.linededup import LINE_DEDUP_SQL, line_dedup_digests
 from quorate.llm.lm import lm_scores
 from quorate.llm.mixing import MIX_SQL, mix
 from quorate.llm.neardup import near_duplicates
@@ -59,6 +60,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_near_dedup, op3_source_mixing, op4_toxicity, op5_warc, op6_packing, op7_lm_scoring, op8_license_scan, op9_nearest_neighbours, op10_sharding)}
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_digests(table(spark, sf_dir, "documents"))
 
-ORACLE = {"op8_license_scan": LICENSE_SQL, "op3_source_mixing": MIX_SQL}
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_near_dedup, op3_source_mixing, op4_toxicity, op5_warc, op6_packing, op7_lm_scoring, op8_license_scan, op9_nearest_neighbours, op10_sharding, op12_line_dedup)}
+
+ORACLE = {"op8_license_scan": LICENSE_SQL, "op3_source_mixing": MIX_SQL, "op12_line_dedup": LINE_DEDUP_SQL}
