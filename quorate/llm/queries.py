@@ -14,6 +14,7 @@ from quorate.llm.lm import lm_scores
 from quorate.llm.mixing import MIX_SQL, mix
 from quorate.llm.neardup import near_duplicates
 from quorate.llm.packing import pack
+from quorate.llm.prefixtrie import PREFIX_TRIE_SQL, prefix_nodes
 from quorate.llm.sharding import shard_by_bytes
 from quorate.llm.toxicity import toxicity_scores
 from quorate.llm.warc import archive_digests
@@ -64,6 +65,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_near_dedup, op3_source_mixing, op4_toxicity, op5_warc, op6_packing, op7_lm_scoring, op8_license_scan, op9_nearest_neighbours, op10_sharding, op12_line_dedup)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_nodes(table(spark, sf_dir, "conversations"))
 
-ORACLE = {"op8_license_scan": LICENSE_SQL, "op3_source_mixing": MIX_SQL, "op12_line_dedup": LINE_DEDUP_SQL}
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_near_dedup, op3_source_mixing, op4_toxicity, op5_warc, op6_packing, op7_lm_scoring, op8_license_scan, op9_nearest_neighbours, op10_sharding, op12_line_dedup, op13_prefix_trie)}
+
+ORACLE = {"op8_license_scan": LICENSE_SQL, "op3_source_mixing": MIX_SQL, "op12_line_dedup": LINE_DEDUP_SQL, "op13_prefix_trie": PREFIX_TRIE_SQL}
