@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quorate.llm.ann import nearest
 from quorate.llm.common import table
 from quorate.llm.jaccard import jaccard_components
+from quorate.llm.lexical import RANKED_SEARCH_SQL, ranked_search
 from quorate.llm.licenses import LICENSE_SQL, scan_licenses
 from quorate.llm.linededup import LINE_DEDUP_SQL, line_dedup_digests
 from quorate.llm.lm import lm_scores
@@ -61,6 +62,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digests(table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,6 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_nodes(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_near_dedup, op3_source_mixing, op4_toxicity, op5_warc, op6_packing, op7_lm_scoring, op8_license_scan, op9_nearest_neighbours, op10_sharding, op12_line_dedup, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_embedding_near_dedup, op3_source_mixing, op4_toxicity, op5_warc, op6_packing, op7_lm_scoring, op8_license_scan, op9_nearest_neighbours, op10_sharding, op11_ranked_search, op12_line_dedup, op13_prefix_trie)}
 
-ORACLE = {"op8_license_scan": LICENSE_SQL, "op3_source_mixing": MIX_SQL, "op12_line_dedup": LINE_DEDUP_SQL, "op13_prefix_trie": PREFIX_TRIE_SQL}
+ORACLE = {"op8_license_scan": LICENSE_SQL, "op3_source_mixing": MIX_SQL, "op11_ranked_search": RANKED_SEARCH_SQL, "op12_line_dedup": LINE_DEDUP_SQL, "op13_prefix_trie": PREFIX_TRIE_SQL}
