@@ -200,7 +200,7 @@ def _knapsack(values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return best, last
 
 
-def configuration_lp(counts: np.ndarray, capacity: int, rounds: int = 6, slack: float = 0.01, rate: float = 3.0) -> dict[tuple[int, ...], float]:
+def configuration_lp(counts: np.ndarray, capacity: int, rounds: int = 12, slack: float = 0.002, rate: float = 1.0) -> dict[tuple[int, ...], float]:
     """Patterns of lengths (largest first) with the fractional number of sequences of each.
 
     Multiplicative weights: the price of a length is its size times exp(rate * lag), where lag is
@@ -243,22 +243,24 @@ def configuration_lp(counts: np.ndarray, capacity: int, rounds: int = 6, slack:
 
 def packing_plan(counts: np.ndarray, capacity: int, **options) -> dict[tuple[int, ...], int]:
     """Whole numbers of sequences by pattern, covering ``counts`` exactly: the linear program's
-    patterns rounded down, and best-fit decreasing for the rest (at most a few for each pattern)."""
-    left, plan = counts.astype(np.int64).copy(), Counter()
-    for pattern, times in sorted(configuration_lp(counts, capacity, **options).items(), key=lambda x: (-x[1], x[0])):
+    patterns rounded down, and best-fit decreasing for the rest (at most a few for each pattern). Where
+    best-fit decreasing alone needs fewer sequences than that, its plan."""
+    counts = counts.astype(np.int64)
+    left, plan = counts.copy(), Counter()
+    # A length that fills a sequence alone needs no search, however many there are.
+    if left[capacity]:
+        plan[(capacity,)] += int(left[capacity])
+        left[capacity] = 0
+    plain = plan + _best_fit_runs(left, capacity)
+    for pattern, times in sorted(configuration_lp(left, capacity, **options).items(), key=lambda x: (-x[1], x[0])):
         need = Counter(pattern)
         whole = min(int(times + 1e-6), *(int(left[k]) // a for k, a in need.items()))
-        if whole > 0 and sum(pattern) >= 0.98 * capacity:
+        if whole > 0:
             plan[pattern] += whole
             for k, a in need.items():
                 left[k] -= a * whole
-    # A length that fills a sequence alone needs no search, however many there are.
-    if left[capacity]:
-        plan[(capacity,)] += int(left[capacity])
-        left[capacity] = 0
-    for pattern, times in _best_fit_runs(left, capacity).items():
-        plan[pattern] += times
-    return dict(plan)
+    plan += _best_fit_runs(left, capacity)
+    return dict(min(plan, plain, key=Counter.total))
 
 
 def _best_fit_runs(left: np.ndarray, capacity: int) -> Counter:

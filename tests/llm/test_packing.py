@@ -43,6 +43,16 @@ def test_plan_covers_the_counts_and_is_near_the_bound():
         assert sum(plan.values()) <= 1.005 * (counts * np.arange(2049)).sum() / 2048 + 2
 
 
+@pytest.mark.parametrize("lengths, weights, most", [((1055, 619, 558, 375), (1, 1, 1, 2), 9000), ((1025, 700, 683, 340, 300), (1, 1, 1, 1, 1), 9000), ((1500, 600, 540), (1, 1, 1), 8000), ((2048, 1, 2047), (1, 1, 1), 12_000)])
+def test_patterns_that_leave_room_are_used_too(lengths, weights, most):
+    for times in (6000, 60, 1):
+        counts = np.zeros(2049, int)
+        counts[list(lengths)] = np.array(weights) * times
+        plan = packing_plan(counts, 2048)
+        made = sum(n * np.bincount(pattern, minlength=2049) for pattern, n in plan.items())
+        assert (made == counts).all() and sum(plan.values()) <= -(-most * times // 6000)
+
+
 def test_linear_program_never_covers_more_than_there_is():
     counts = np.zeros(101, int)
     counts[[60, 40, 30, 10]] = [10, 10, 7, 3]
