@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorate.functions import text as T
+from quorate.operators.prefix import ordered_segments, prefix_sums
 
 
 def fan_out_attempts(problems: DataFrame, n: int) -> DataFrame:
@@ -34,15 +35,21 @@ def ordered_texts(df: DataFrame, keys: list[str], order: str, text: Column, name
     return df.groupBy(*keys).agg(F.transform(parts, lambda p: p["t"]).alias(name))
 
 
-def full_response(replies: DataFrame, keys: list[str], order: str = "turn") -> DataFrame:
-    """All replies of an attempt, each followed by a line end."""
+def full_response(replies: DataFrame, keys: list[str], order: str = "turn", limit: int | None = None) -> DataFrame:
+    """All replies of an attempt, each followed by a line end. With ``limit`` in segments of so many
+    bytes, see ``ordered_segments``: (keys, segment, text)."""
+    if limit is not None:
+        return ordered_segments(replies, keys, order, F.concat("content", F.lit("\n")), limit)
     return ordered_texts(replies, keys, order, F.concat("content", F.lit("\n"))).select(*keys, F.array_join("texts", "").alias("full_response"))
 
 
-def render_chat_prompt(messages: DataFrame, keys: list[str], order: str = "turn") -> DataFrame:
-    """The conversation as text with role marks, open for the assistant; other roles are dropped."""
+def render_chat_prompt(messages: DataFrame, keys: list[str], order: str = "turn", limit: int | None = None) -> DataFrame:
+    """The conversation as text with role marks, open for the assistant; other roles are dropped. With
+    ``limit`` in segments of so many bytes, see ``ordered_segments``: (keys, segment, text)."""
     known = messages.where(F.col("role").isin("system", "user", "assistant"))
     part = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("content"))
+    if limit is not None:
+        return ordered_segments(known, keys, order, part, limit, "\n", "\n<|assistant|>\n")
     return ordered_texts(known, keys, order, part).select(*keys, F.concat(F.array_join("texts", "\n"), F.lit("\n<|assistant|>\n")).alias("prompt"))
 
 
@@ -92,21 +99,54 @@ def assemble_trace(messages: DataFrame, attempts: DataFrame, problems: DataFrame
     return problems.join(outer, "problem_id", "left")
 
 
+def trace_segments(messages: DataFrame, limit: int = 16 << 20) -> DataFrame:
+    """(problem_id, attempt, segment, messages): an attempt's messages in order, cut to segments of some
+    ``limit`` bytes of content, for attempts too long to be one value of ``assemble_trace``."""
+    keys = ["problem_id", "attempt"]
+    size = F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")
+    summed = prefix_sums(messages.select(*keys, "turn", "role", "content"), keys, ["turn"], {"_before": size, "_row": F.lit(1).cast("long")}, "trace-segments")
+    cut = summed.groupBy(*keys, F.floor(F.col("_before") / limit).alias("_segment")).agg(F.array_sort(F.collect_list(F.struct("_row", "role", "content"))).alias("m"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_segment")) - 1
+    return cut.withColumn("segment", number).select(*keys, "segment", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+
+
 def rolling_chunk_scan(chunks: DataFrame, keys: list[str], look_back: int = 32) -> DataFrame:
     """Per turn the first chunk, with tokens and a closing brace, whose last ``look_back`` texts hold
-    an answer: keys, chunk_no, answer."""
-    within = Window.partitionBy(*keys).orderBy("chunk_no").rowsBetween(-(look_back - 1), 0)
-    seen = chunks.where("n_tokens > 0").withColumn("recent", F.array_join(F.collect_list("text").over(within), ""))
-    hits = seen.where(F.col("text").contains("}")).withColumn("answer", T.extract_answer(F.col("recent"), "strict")).where("answer is not null")
-    return hits.groupBy(*keys).agg(F.min(F.struct("chunk_no", "answer")).alias("h")).select(*keys, "h.chunk_no", "h.answer")
+    an answer: keys, chunk_no, answer. A null text is empty.
+
+    A turn's chunks with tokens are put together in blocks of ``look_back``; a block and the one before
+    it hold all that its braces look back on. So texts are copied twice at most, and only braces make
+    windows, each scanned once. Windows, blocks and the first hit share one shuffle, by ``keys``."""
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("chunk_no")) - 1
+    seen = chunks.where("n_tokens > 0").select(*keys, "chunk_no", F.coalesce("text", F.lit("")).alias("text")).withColumn("_no", number)
+    parts = F.sort_array(F.collect_list(F.struct("_no", "chunk_no", "text")))
+    blocks = seen.groupBy(*keys, F.floor(F.col("_no") / look_back).alias("_block")).agg(parts.alias("_parts"))
+    earlier = F.lag("_parts").over(Window.partitionBy(*keys).orderBy("_block"))
+    nothing = F.slice("_parts", 1, 0)
+    blocks = blocks.withColumn("_all", F.concat(F.coalesce(earlier, nothing), "_parts")).withColumn("_first", F.size("_all") - F.size("_parts"))
+    braces = F.filter(F.sequence(F.col("_first"), F.size("_all") - 1), lambda i: F.get("_all", i)["text"].contains("}"))
+
+    def scanned(i: Column) -> Column:
+        from_place = F.greatest(i - (look_back - 1), F.lit(0))
+        recent = F.array_join(F.transform(F.slice("_all", from_place + 1, i - from_place + 1), lambda p: p["text"]), "")
+        return F.struct(F.get("_all", i)["chunk_no"].alias("chunk_no"), T.extract_answer(recent, "strict").alias("answer"))
+
+    hits = F.filter(F.transform(braces, scanned), lambda h: h["answer"].isNotNull())
+    found = blocks.groupBy(*keys).agg(F.min(F.try_element_at(hits, F.lit(1))).alias("h"))
+    return found.where("h is not null").select(*keys, "h.chunk_no", "h.answer")
 
 
 def time_budget(timings: DataFrame, limit: float, base: float = 270.0, high: float = 900.0, problems: int = 50, keys: list[str] = ()) -> DataFrame:
-    """Seconds that the next problem of each run may take; ``problem_no`` counts from 0."""
-    before = Window.partitionBy(*keys).orderBy("problem_no").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.lit(float(limit)) - F.coalesce(F.sum("elapsed_s").over(before), F.lit(0.0))
+    """Seconds that the next problem of each run may take; ``problem_no`` counts from 0. Without
+    ``keys`` all is one run, whose earlier seconds are summed range by range, not in one task."""
+    if keys:
+        before = Window.partitionBy(*keys).orderBy("problem_no").rowsBetween(Window.unboundedPreceding, -1)
+        timed = timings.withColumn("_used", F.coalesce(F.sum("elapsed_s").over(before), F.lit(0.0)))
+    else:
+        timed = prefix_sums(timings, [], ["problem_no"], {"_used": F.col("elapsed_s").cast("double")})
+    left = F.lit(float(limit)) - F.col("_used")
     others = F.greatest(F.lit(problems) - F.col("problem_no") - 1, F.lit(0))
-    return timings.withColumn("budget", F.greatest(F.lit(float(base)), F.least(F.lit(float(high)), left - others * base)))
+    return timed.withColumn("budget", F.greatest(F.lit(float(base)), F.least(F.lit(float(high)), left - others * base))).drop("_used")
 
 
 def context_budget(turns: DataFrame, keys: list[str], context: int = 65_536, least: int = 512) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorate.sources.scratch import scratch_path
+from quorate.operators.prefix import dealt_by_ranges
 
 
 class PredictionError(ValueError):
@@ -31,20 +31,13 @@ ERRORS = {
 
 
 def row_numbers(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
-    """Number rows from 0 in ``order``, without one task that sees them all.
-
-    Rows are dealt by ranges of the order columns, of any types; the ranges follow a sample of the
-    rows, so a far or frequent value makes none large as long as the order as a whole tells rows apart.
-    The sorted table is written, as ranges may fall otherwise when computed anew; a row's number is its
-    place in its range plus the counts of the ranges before. Nulls come first."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, "row-numbers")
-    place = F.monotonically_increasing_id()  # the partition in the upper bits, the place in the lower 33
-    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place).write.parquet(path)
-    dealt = spark.read.schema(df.withColumn("_place", place).schema).parquet(path).withColumn("_range", F.shiftright("_place", 33))
+    """Number rows from 0 in ``order``, without one task that sees them all, even where all rows tie:
+    a row's number is its place in its range plus the counts of the ranges before. Nulls come first."""
+    dealt = dealt_by_ranges(df, order, "row-numbers")
     before = Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     # ``starts`` has a row for each shuffle partition.
-    return dealt.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_place").bitwiseAND((1 << 33) - 1)).drop("_range", "_place", "_start")
+    return dealt.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")
 
 
 def batch_slices(df: DataFrame, n: int, order: list[str]) -> DataFrame:
@@ -79,12 +72,15 @@ def batch_row_check(expected: DataFrame, received: DataFrame) -> DataFrame:
         here = ~F.coalesce("empty", F.lit(False)) if "empty" in df.columns else F.lit(True)
         return df.groupBy("batch_id").agg(F.count_if(here).alias(name))
 
-    counts = [rows_of(expected, "expected"), rows_of(received, "received")]
-    both = counts[0].join(counts[1], "batch_id", "full")
+    return check_counts(rows_of(expected, "expected").join(rows_of(received, "received"), "batch_id", "full"))
+
+
+def check_counts(counts: DataFrame) -> DataFrame:
+    """The same from (batch_id, expected, received); null where a side has no such batch."""
     none, missing = F.col("received").isNull(), F.coalesce("expected", F.lit(0)) == 0
     wrong = F.col("received") != F.col("expected")
     # The kinds and messages of a batch that fails.
-    return both.select(
+    return counts.select(
         "batch_id",
         F.coalesce("expected", F.lit(0)).alias("expected"),
         "received",

@@ -12,19 +12,20 @@ from pyspark.sql import functions as F
 from quorate.functions import text as T
 
 
-def _checked(fn: Callable) -> Callable:
+def checked(fn: Callable) -> Callable:
     if not inspect.isfunction(fn) or fn.__name__ == "<lambda>":
         raise TypeError("predict must be a named function")
     return fn
 
 
-def batch_predict(df: DataFrame, fn: Callable, inputs: list[str], schema: str, keep: list[str]) -> DataFrame:
-    """Call ``fn(**columns)`` for each Arrow batch; it returns a frame with a row for each row.
+def batch_predict(df: DataFrame, fn: Callable, inputs: list[str], schema: str, keep: list[str], made: list[str] | None = None) -> DataFrame:
+    """Call ``fn(**columns)`` for each Arrow batch; it returns a frame with a row for each row, with the
+    columns of ``schema`` (their names are ``made``, where its types have commas).
 
     A batch that fails, or returns another number of rows, does not fail the job: its rows have null
     predictions and the reason in ``error``."""
-    _checked(fn)
-    made = [c.strip().split()[0] for c in schema.split(",")]
+    checked(fn)
+    made = made or [c.strip().split()[0] for c in schema.split(",")]
     kept = df.select(*keep).schema
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields), schema, "error string"])
 
@@ -48,7 +49,7 @@ def batch_predict(df: DataFrame, fn: Callable, inputs: list[str], schema: str, k
 
 def capture_failures(df: DataFrame, fn: Callable, inputs: list[str], schema: str, keep: list[str]) -> DataFrame:
     """As ``batch_predict``, row by row: a row that fails does not touch its neighbours."""
-    _checked(fn)
+    checked(fn)
 
     def each(**columns):
         rows, names = [], list(columns)

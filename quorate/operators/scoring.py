@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorate.functions.numeric import round_1
+
 
 def join_expected(answers: DataFrame, expected: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """Add expected and correct; of expected rows that repeat a key the last in ``order`` counts, and
@@ -16,8 +18,10 @@ def join_expected(answers: DataFrame, expected: DataFrame, key: str, order: str
     return answers.join(truth.withColumnRenamed("answer", "expected"), key, "left").withColumn("correct", F.col("answer") == F.col("expected"))
 
 
-def count_correct(answers: DataFrame, expected: DataFrame, key: str) -> DataFrame:
-    return answers.join(expected, [key, "answer"]).agg(F.count("*").alias("correct"))
+def count_correct(answers: DataFrame, expected: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """(correct): how many answers equal what is expected of their key, which is the last row in
+    ``order`` where a key is repeated; see ``join_expected``."""
+    return join_expected(answers, expected, key, order).agg(F.count_if("correct").alias("correct"))
 
 
 def accuracy_summary(scored: DataFrame) -> DataFrame:
@@ -40,3 +44,18 @@ def throughput_summary(runs: DataFrame, keys: list[str]) -> DataFrame:
         F.when(seconds > 0, tokens / seconds).otherwise(F.lit(0.0)).alias("tokens_per_s"),
         F.when((prompt > 0) & (seconds > 0), (tokens + prompt) / seconds).alias("overall_per_s"),
     )
+
+
+def score_record(scored: DataFrame, settings: dict, problems_total: int | None = None) -> DataFrame:
+    """One row as a run's summary has it: the settings, problems_attempted, problems_total, correct and
+    accuracy (null without any label), total_time_s to one decimal."""
+    found = accuracy_summary(scored)
+    labelled = F.col("accuracy").isNotNull()
+    return found.select(
+        *(F.lit(v).alias(k) for k, v in settings.items()),
+        F.col("attempted").alias("problems_attempted"),
+        (F.col("attempted") if problems_total is None else F.lit(problems_total).cast("long")).alias("problems_total"),
+        F.when(labelled, F.col("correct")).alias("correct"),
+        "accuracy",
+        round_1(F.coalesce("total_time_s", F.lit(0.0))).alias("total_time_s"),
+    )

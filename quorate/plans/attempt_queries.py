@@ -89,11 +89,17 @@ def accuracy_summary(spark, d):
     return scoring.accuracy_summary(scored(spark, d)).withColumn("total_time_s", F.round("total_time_s", 3))
 
 
-@query(f"{_SCORED} SELECT count(*) FILTER (correct) AS correct FROM scored", "attempts")
+# Labels come twice: a later row overrides an earlier one.
+_TWICE = "SELECT doc_id AS problem_id, (1 - quality)::INT AS answer, 0 AS line FROM labels UNION ALL SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE quality END, 1 FROM labels"
+
+
+@query(f"WITH {_cut(4)}, {_selected('cut', 4)}, twice AS ({_TWICE}) SELECT count(*) AS correct FROM selected s WHERE s.answer = (SELECT arg_max(t.answer, t.line) FROM twice t WHERE t.problem_id = s.problem_id)", "attempts")
 def count_correct(spark, d):
     kept = votes.early_stop_cut(bound(spark, d, "attempts"), 4)
-    expected = table(spark, d, "labels").select(F.col("doc_id").alias("problem_id"), F.col("quality").alias("answer"))
-    return scoring.count_correct(votes.select_answer(kept, 4), expected, "problem_id")
+    labels = table(spark, d, "labels")
+    early = labels.select(F.col("doc_id").alias("problem_id"), (1 - F.col("quality")).cast("int").alias("answer"), F.lit(0).alias("line"))
+    late = labels.select(F.col("doc_id").alias("problem_id"), F.when(F.col("doc_id") % 7 == 0, 2).otherwise(F.col("quality")).cast("int").alias("answer"), F.lit(1).alias("line"))
+    return scoring.count_correct(votes.select_answer(kept, 4), early.unionByName(late), "problem_id", "line")
 
 
 @query("SELECT l_suppkey, sum(generated_tokens)::BIGINT AS generated, CASE WHEN sum(elapsed_s) > 0 THEN sum(generated_tokens) / sum(elapsed_s) ELSE 0.0 END AS tokens_per_s, CASE WHEN sum(prompt_tokens) > 0 AND sum(elapsed_s) > 0 THEN (sum(generated_tokens) + sum(prompt_tokens)) / sum(elapsed_s) END AS overall_per_s FROM b_runs GROUP BY l_suppkey", "runs")
@@ -252,3 +258,40 @@ def merge_page_text(spark, d):
     from quorate.sources.tables import merge_page_text as merge
 
     return merge(bound(spark, d, "pages"), ["doc"])
+
+
+# Segments of a run: the joined text is that of the whole, and no segment but the last is short of the limit.
+_SEGMENTS = "SELECT conv_id, md5(string_agg({}, '{}' ORDER BY turn) || {}) AS whole FROM conversations {} GROUP BY conv_id"
+
+
+def _rejoined(segments, key):
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("segment", "text"))), lambda p: p["text"])
+    return segments.groupBy(key).agg(F.md5(F.array_join(parts, "").cast("binary")).alias("whole"))
+
+
+@query(_SEGMENTS.format("text || chr(10)", "", "''", "WHERE role = 'assistant'"))
+def full_response_segments(spark, d):
+    return _rejoined(A.full_response(table(spark, d, "conversations").where("role = 'assistant'").withColumnRenamed("text", "content"), ["conv_id"], limit=500), "conv_id")
+
+
+@query("SELECT conv_id, md5(string_agg('<|' || role || '|>' || chr(10) || text, chr(10) ORDER BY turn) || chr(10) || '<|assistant|>' || chr(10)) AS whole FROM conversations WHERE role IN ('system', 'user', 'assistant') GROUP BY conv_id")
+def render_chat_prompt_segments(spark, d):
+    return _rejoined(A.render_chat_prompt(table(spark, d, "conversations").withColumnRenamed("text", "content"), ["conv_id"], limit=500), "conv_id")
+
+
+@query("SELECT doc, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY page_no)) AS whole FROM b_pages GROUP BY doc", "pages")
+def merge_page_text_segments(spark, d):
+    from quorate.sources.tables import merge_page_text as merge
+
+    return _rejoined(merge(bound(spark, d, "pages"), ["doc"], limit=500), "doc")
+
+
+@query(
+    """SELECT event_id, round(greatest(270.0::DOUBLE, least(900.0::DOUBLE, 1e6::DOUBLE - used - greatest(50 - i - 1, 0) * 270.0::DOUBLE)), 4) AS budget FROM (
+    SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i, coalesce(sum(value) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS used FROM events)"""
+)
+def time_budget_one_run(spark, d):
+    from quorate.operators.batches import row_numbers
+
+    runs = row_numbers(table(spark, d, "events").select("event_id", F.col("value").alias("elapsed_s")), ["event_id"], "problem_no")
+    return A.time_budget(runs, 1e6).select("event_id", F.round("budget", 4).alias("budget"))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from quorate.functions import text as T
 from quorate.operators import batches as B
 from quorate.operators import predict as P
-from quorate.operators.attempts import assemble_trace
+from quorate.operators import rollout as R
 from quorate.operators.manifest import path_manifest_check as check_paths
-from quorate.operators.scoring import accuracy_summary
+from quorate.operators.scoring import join_expected, score_record
 from quorate.plans.attempt_queries import _SCORED as SCORED_SQL
 from quorate.plans.attempt_queries import scored
 from quorate.plans.bindings import bound, query, table
@@ -154,6 +154,54 @@ def multi_turn_rollout(spark, d):
     return P.multi_turn_rollout(problems, stub_model, stub_runner, 4, written)
 
 
+def stub_tool_model(prompt: pd.Series, seed: pd.Series, max_tokens: pd.Series) -> pd.DataFrame:
+    """Acts by problem p, attempt a and turn: (p + 3 a) % 7 says how, (p + a) % 3 is the answer."""
+    found = []
+    for text, s in zip(prompt, seed):
+        p, a, turn = int(text.split("#", 2)[1]), round(s**0.5) - 42, text.count("<|assistant|>")
+        kind, answer = (p + 3 * a) % 7, str((p + a) % 3)
+        box = [(1, "so \\boxed{"), (0, "x"), (1, answer), (2, "}"), (5, " and more")]
+        said, channel, recipient, content = [(2, "thinking ")], "analysis", None, ""
+        if kind in (0, 1) and turn == kind or kind == 4 and turn == 2:
+            said = box
+        elif kind == 2:
+            said = []
+        elif kind in (3, 4):
+            said, recipient, content = [(3, "call ")], "python", f"{kind} {turn}"
+            if kind == 3 and turn == 1:
+                said, channel, recipient, content = [(1, "it is")], "final", None, f"The final answer is {answer}" if p % 2 else "none"
+        found.append(([{"n_tokens": n, "text": t, "top_logprobs": None} for n, t in said], channel, recipient, content, 1.0))
+    return pd.DataFrame(found, columns=["chunks", "channel", "recipient", "content", "took_s"])
+
+
+def stub_tool(content: pd.Series) -> pd.Series:
+    return content.map(lambda c: "[ERROR] bad" if c.startswith("4 0") else f"out {c}")
+
+
+_TOOL_SQL = """WITH tries AS (SELECT doc_id AS problem_id, attempt::INT AS attempt, (doc_id + 3 * attempt) % 7 AS kind, ((doc_id + attempt) % 3)::INT AS value FROM documents, range(0, 6) r(attempt)),
+ends AS (SELECT *, CASE kind WHEN 0 THEN 1 WHEN 2 THEN 1 WHEN 1 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 4 END AS last_turn,
+  CASE WHEN kind IN (0, 1, 4) OR (kind = 3 AND problem_id % 2 = 1) THEN value END AS said FROM tries),
+votes AS (SELECT *, CASE WHEN said IS NOT NULL THEN count(*) OVER (PARTITION BY problem_id, said ORDER BY last_turn, attempt) END AS n FROM ends),
+cuts AS (SELECT problem_id, min((last_turn, attempt)) FILTER (n >= 2) AS cut FROM votes GROUP BY problem_id),
+played AS (SELECT v.*, cut IS NOT NULL AND (last_turn, attempt) > cut AS stopped, CASE WHEN cut IS NULL THEN last_turn ELSE least(last_turn, cut[1]) END AS turns FROM votes v JOIN cuts USING (problem_id))
+SELECT problem_id, attempt, CASE WHEN NOT stopped THEN said END AS answer, turns::INT AS turns, CASE WHEN kind = 3 THEN 1 WHEN kind = 4 THEN least(turns, 2) ELSE 0 END::BIGINT AS python_calls, CASE WHEN kind = 4 THEN 1 ELSE 0 END::BIGINT AS python_errors,
+  CASE WHEN stopped THEN 'stopped' WHEN kind IN (0, 1, 4) THEN 'early' WHEN kind = 2 THEN 'silent' WHEN kind = 3 THEN 'final' ELSE 'turns' END AS status,
+  (CASE kind WHEN 0 THEN 4 WHEN 1 THEN 2 + CASE WHEN turns >= 2 THEN 4 ELSE 0 END WHEN 2 THEN 0 WHEN 3 THEN 3 + CASE WHEN turns >= 2 THEN 1 ELSE 0 END WHEN 4 THEN 3 * least(turns, 2) + CASE WHEN turns >= 3 THEN 4 ELSE 0 END ELSE 2 * turns END)::BIGINT AS response_length FROM played"""
+
+
+@query(_TOOL_SQL)
+def tool_rollout(spark, d):
+    problems = table(spark, d, "documents").select(F.col("doc_id").alias("problem_id"), F.concat(F.lit("#"), "doc_id", F.lit("# solve it")).alias("prompt"))
+
+    def written(df):
+        path = scratch_path(spark, "turn")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    found = R.tool_rollout(problems, stub_tool_model, stub_tool, written, attempts=6, early_stop=2, max_turns=4)
+    return found.select("problem_id", "attempt", "answer", "turns", "python_calls", "python_errors", "status", "response_length")
+
+
 # ---- sources and sinks: written, and read back ----
 
 
@@ -193,34 +241,47 @@ def write_submission_parquet(spark, d):
     return spark.read.parquet(path)
 
 
+_TRACE = """WITH runs AS (SELECT conv_id, 'Conversation ' || conv_id AS problem, conv_id % 3 AS answer, conv_id * 0.5::DOUBLE AS time_s FROM (SELECT DISTINCT conv_id FROM conversations))"""
+
+
 @query(
-    """SELECT conv_id AS id, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE conv_id END AS answer, (turn % 2)::INT AS attempt, count(*) OVER w AS turns,
-    (row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) - 1)::INT AS place, role, text AS content FROM conversations WINDOW w AS (PARTITION BY conv_id, turn % 2)"""
+    f"""{_TRACE} SELECT c.conv_id AS id, problem, r.answer, l.quality AS expected, r.answer = l.quality AS correct, time_s, (turn % 2)::INT AS attempt, count(*) OVER w AS turns,
+    (row_number() OVER (PARTITION BY c.conv_id, turn % 2 ORDER BY turn) - 1)::INT AS place, role, text AS content
+    FROM conversations c JOIN runs r ON r.conv_id = c.conv_id LEFT JOIN labels l ON l.doc_id = c.conv_id WINDOW w AS (PARTITION BY c.conv_id, turn % 2)"""
 )
 def write_traces(spark, d):
     said = table(spark, d, "conversations").select(F.col("conv_id").alias("problem_id"), (F.col("turn") % 2).cast("int").alias("attempt"), "turn", "role", F.col("text").alias("content"))
     attempts = said.groupBy("problem_id", "attempt").agg(F.count("*").alias("turns")).select("problem_id", "attempt", F.lit(None).cast("long").alias("answer"), "turns", F.lit(None).cast("string").alias("error"))
-    problems = said.select("problem_id", F.when(F.col("problem_id") % 3 != 0, F.col("problem_id")).alias("answer")).distinct()
+    problems = said.select("problem_id", F.concat(F.lit("Conversation "), "problem_id").alias("problem")).distinct()
+    answers = problems.select("problem_id", (F.col("problem_id") % 3).alias("answer"), (F.col("problem_id") * 0.5 + 0.01).alias("time_s"))
+    expected = table(spark, d, "labels").select(F.col("doc_id").alias("problem_id"), F.col("quality").alias("answer"))
     path = scratch_path(spark, "traces")
-    S.write_traces(assemble_trace(said, attempts, problems).withColumnRenamed("problem_id", "id"), path)
+    S.write_traces(S.trace_records(problems, join_expected(answers, expected, "problem_id"), said, attempts), path)
     attempt = "array<struct<attempt:int,answer:long,turns:long,messages:array<struct<role:string,content:string>>,error:string>>"
-    trace = spark.read.schema(f"id long, answer long, attempts {attempt}").json(path).select("id", "answer", F.explode("attempts").alias("a"))
-    return trace.select("id", "answer", "a.attempt", "a.turns", F.posexplode("a.messages").alias("place", "m")).select("id", "answer", "attempt", "turns", "place", "m.role", "m.content")
+    of_problem = ["id", "problem", "answer", "expected", "correct", "time_s"]
+    trace = spark.read.schema(f"id long, problem string, answer long, expected int, correct boolean, time_s double, attempts {attempt}").json(path).select(*of_problem, F.explode("attempts").alias("a"))
+    return trace.select(*of_problem, "a.attempt", "a.turns", F.posexplode("a.messages").alias("place", "m")).select(*of_problem, "attempt", "turns", "place", "m.role", "m.content")
 
 
 @query(
-    f"{SCORED_SQL} SELECT problem_id, answer, (SELECT count(*) FROM scored) AS attempted, (SELECT count(*) FILTER (correct) FROM scored) AS correct, (SELECT CASE WHEN count(expected) > 0 THEN count(*) FILTER (correct) / count(*) END FROM scored) AS accuracy FROM scored",
+    f"""{SCORED_SQL}, total AS (SELECT count(*) AS problems_attempted, (SELECT count(*) FROM labels) AS problems_total, count(*) FILTER (correct) AS correct, CASE WHEN count(expected) > 0 THEN count(*) FILTER (correct) / count(*) END AS accuracy, round(sum(time_s), 1) AS total_time_s FROM scored)
+    SELECT problem_id, answer, 'events' AS model, 12 AS attempts, total.* FROM scored, total""",
     "attempts",
 )
 def write_score_summary(spark, d):
     path = scratch_path(spark, "summary")
     found = scored(spark, d)
-    S.write_score_summary(accuracy_summary(found), path, found.select("problem_id", "answer"))
-    metrics = spark.read.schema("attempted long, correct long, accuracy double, accuracy_labelled double, total_time_s double").json(f"{path}/metrics")
-    results = spark.read.schema("problem_id long, answer int").json(f"{path}/results")
-    return results.join(F.broadcast(metrics.select("attempted", "correct", "accuracy")))  # one row
+    record = score_record(found, {"model": "events", "attempts": 12}, table(spark, d, "labels").count())
+    within = S.write_score_summary(record, path, found.select("problem_id", "answer"))
+    columns = ["model", "attempts", "problems_attempted", "problems_total", "correct", "accuracy", "total_time_s"]
+    summary = spark.read.schema("model string, attempts int, problems_attempted long, problems_total long, correct long, accuracy double, total_time_s double, results array<struct<problem_id:long,answer:int>>").json(f"{path}/summary")
+    if within:
+        return summary.select(F.explode("results").alias("r"), *columns).select("r.*", *columns)
+    return spark.read.schema("problem_id long, answer int").json(f"{path}/results").join(F.broadcast(summary.select(*columns)))  # one row
 
 
+_START_MS = 1_700_000_000_000
+
 # ---- streams: files as a stream, all that is there, then the result as a table ----
 
 
@@ -246,8 +307,8 @@ _SEEN = f"""WITH seen AS (SELECT *, string_agg(text, '') OVER (PARTITION BY prob
 
 @query(_SEEN, "chunks")
 def stream_answer_watch(spark, d):
-    recent = _streamed(spark, bound(spark, d, "chunks"), watch.stream_recent_texts, by=["chunk_no"])
-    return _streamed(spark, watch.with_answers(recent), watch.first_hits)
+    chunks = bound(spark, d, "chunks").withColumn("ts", F.timestamp_millis(_START_MS + F.col("chunk_no")))
+    return _streamed(spark, chunks, watch.stream_answer_watch, by=["chunk_no"])
 
 
 @query(
@@ -256,7 +317,7 @@ def stream_answer_watch(spark, d):
     "attempts",
 )
 def stream_early_stop(spark, d):
-    completed = bound(spark, d, "attempts").select("problem_id", F.col("attempt").alias("completion_no"), "completion_seq", "answer")
+    completed = bound(spark, d, "attempts").select("problem_id", F.col("attempt").alias("completion_no"), "completion_seq", "answer", F.timestamp_millis(_START_MS + F.col("completion_seq")).alias("ts"))
     return _streamed(spark, completed, lambda s: watch.stream_early_stop(s, 4))
 
 
@@ -264,15 +325,26 @@ def stream_early_stop(spark, d):
 def stream_deadline_cut(spark, d):
     events = table(spark, d, "events")
     deadlines = events.groupBy("user_id").agg((F.min("ts") + F.expr("interval 7 days")).alias("deadline"))
-    return _streamed(spark, events, lambda s: watch.stream_deadline_cut(s, deadlines, "user_id").select("event_id", "user_id"))
+    return _streamed(spark, events, lambda s: watch.stream_deadline_cut(s, deadlines, "user_id", delay="1000 days").select("event_id", "user_id"))
 
 
-@query("SELECT doc_id AS id, length(text)::BIGINT AS answer FROM documents")
-def stream_predict(spark, d):
+def _predicted(spark, d):
+    """Where a stream of predictions, and its counts, were written."""
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 10).alias("batch_id"), "text")
-    source, target, checks, state = (scratch_path(spark, f"predict-{x}") for x in ("in", "out", "checks", "state"))
+    source, target, counts, state = (scratch_path(spark, f"predict-{x}") for x in ("in", "out", "counts", "state"))
     rows.repartition(3).write.parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     predict = lambda batch: P.batch_predict(batch, text_length, ["text"], "answer long", ["id", "batch_id"])
-    watch.stream_predict(stream, predict, target, checks).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("id long, batch_id long, answer long, error string").parquet(target).select("id", "answer")
+    watch.stream_predict(stream, predict, target, counts).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return target, counts
+
+
+@query("SELECT doc_id AS id, length(text)::BIGINT AS answer FROM documents")
+def stream_predict(spark, d):
+    return watch.predictions(spark, *_predicted(spark, d), "id long, batch_id long, answer long, error string").select("id", "answer")
+
+
+@query("SELECT doc_id % 10 AS batch_id, count(*) AS expected, count(*) AS received, NULL::VARCHAR AS kind, NULL::VARCHAR AS message FROM documents GROUP BY doc_id % 10")
+def stream_predict_checks(spark, d):
+    """Each batch_id is spread over all micro-batches."""
+    return watch.prediction_checks(spark, _predicted(spark, d)[1])

@@ -1,165 +1,259 @@
-"""Structured Streaming forms of the operators that decide while attempts run."""
+"""Structured Streaming forms of the operators that decide while attempts run.
+
+State is kept by event time and ends: what a key waits for is given up once the watermark has passed what
+stands after it, and a key that is silent for ``idle`` leaves nothing behind. Rows without a time, and rows
+behind the watermark, don't count."""
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quorate.functions import text as T
-from quorate.operators.batches import batch_row_check
-
-# Workers of state processors don't see what the session ships to executors: take the code along.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def _mode(expires_ms: int | None) -> str:
-    """With a time after which the state of a silent key is dropped, batches run by the clock and so
-    without end; a stream that is to end when its input is read (availableNow) must keep its state."""
-    return "none" if expires_ms is None else "processingTime"
+from quorate.operators.batches import check_counts
 
-class _Chunks(StatefulProcessor):
-    """Emits, for a turn, the joined last texts whenever a chunk has a closing brace, numbered from 0.
-    Chunks may come out of order: they wait until those before them are there."""
-
-    def __init__(self, look_back: int, expires_ms: int | None) -> None:
-        self._look_back, self._expires = look_back, expires_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("state", "next_no int, braces int, texts array<string>, numbers array<int>, tokens array<int>, waiting array<string>", self._expires)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        next_no, braces, texts, *held = self._state.get() if self._state.exists() else (0, 0, [], [], [], [])
-        waiting = {no: (tokens, text) for no, tokens, text in zip(*held)}
-        for batch in rows:
-            waiting |= {int(no): (int(tokens), text) for no, tokens, text in zip(batch["chunk_no"], batch["n_tokens"], batch["text"])}
-        texts, found = list(texts), []
-        while next_no in waiting:
-            tokens, text = waiting.pop(next_no)
-            if tokens > 0:
-                texts = [*texts, text][-self._look_back :]
-                if "}" in text:
-                    found.append((*key, next_no, braces, "".join(texts)))
-                    braces += 1
-            next_no += 1
-        left = sorted((no, *w) for no, w in waiting.items())
-        self._state.update((next_no, braces, texts, *([x[i] for x in left] for i in range(3))))
-        if found:
-            yield pd.DataFrame(found, columns=["problem_id", "attempt", "turn", "chunk_no", "brace_no", "recent"])
-
-    def close(self) -> None:
-        pass
+def _with_state(df: DataFrame, keys: list[str], processor: StatefulProcessor, out: str, time: str, delay: str, initial: DataFrame | None = None) -> DataFrame:
+    """``df`` by event time, through a processor. Workers of state processors don't see what the session
+    ships to executors, so the processor's code is pickled with it."""
+    timed = df.withColumn(time, F.col(time).cast("timestamp")).where(F.col(time).isNotNull()).withColumn("time_ms", F.unix_millis(time)).withWatermark(time, delay)
+    here = sys.modules[__name__]
+    cloudpickle.register_pickle_by_value(here)
+    try:
+        return timed.groupBy(*keys).transformWithStateInPandas(processor, out, "append", "eventTime", initial.groupBy(*keys) if initial is not None else None)
+    finally:
+        cloudpickle.unregister_pickle_by_value(here)
 
 
 class _InOrder(StatefulProcessor):
-    """Rows of a key in the order of a number that has no gaps, from 0: they wait until those before
-    them are there. ``step`` is called for each; when it returns a row, that is passed on and nothing
-    more. What waits expires with the rest of the state."""
+    """Rows of a key in the order of a number from 0: they wait until those before them are there, or
+    until the watermark has passed the first that waits, as a missing one would be late by then.
+    ``step`` takes each; when it returns a row, that is passed on and nothing more, and what was
+    gathered goes at once. A key without rows for ``idle_ms`` ends; rows that still come begin anew."""
 
-    def __init__(self, number: str, columns: list[str], out: list[str], expires_ms: int | None) -> None:
-        self._number, self._columns, self._out, self._expires = number, columns, out, expires_ms
+    number, columns, waits, memory, out = "", (), "", "", ()
+
+    def __init__(self, idle_ms: int) -> None:
+        self._idle = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("state", "next_no int, done boolean, seen array<int>, counts array<int>, waiting array<int>, a array<long>, b array<int>", self._expires)
+        self._handle = handle
+        self._state = handle.getValueState("state", f"next_no long, done boolean, last_ms long, timer_ms long, numbers array<long>, times array<long>, {self.waits}, {self.memory}")
 
-    def step(self, counts: dict[int, int], a: int, b: int | None):
+    def begin(self) -> tuple:
+        """What is remembered at first: one value for each column of ``memory``."""
         raise NotImplementedError
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        next_no, done, seen, times, *held = self._state.get() if self._state.exists() else (0, False, [], [], [], [], [])
-        if done:
-            return
-        counts, waiting = dict(zip(seen, times)), {no: (a, b) for no, a, b in zip(*held)}
-        for batch in rows:
-            for no, a, b in zip(batch[self._number], *(batch[c] for c in self._columns)):
-                waiting[int(no)] = (int(a), None if pd.isna(b) else int(b))
+    def step(self, memory: list, no: int, *values):
+        """Take a row; return what is to be passed on, or None. ``memory`` may be changed."""
+        raise NotImplementedError
+
+    def _read(self) -> tuple[int, bool, int, int | None, dict, list]:
+        if not self._state.exists():
+            return 0, False, 0, None, {}, list(self.begin())
+        next_no, done, last_ms, timer_ms, numbers, times, *rest = self._state.get()
+        held, memory = rest[: len(self.columns)], rest[len(self.columns) :]
+        return next_no, done, last_ms, timer_ms, {no: (ms, *values) for no, ms, *values in zip(numbers, times, *held)}, list(memory)
+
+    def _go_on(self, key, next_no, done, last_ms, timer_ms, waiting, memory, watermark) -> Iterator[pd.DataFrame]:
         found = None
-        while found is None and next_no in waiting:
-            found = self.step(counts, *waiting.pop(next_no))
+        while found is None and waiting:
+            if next_no not in waiting:
+                first = min(waiting)
+                if waiting[first][0] > watermark:
+                    break
+                next_no = first
+            found = self.step(memory, next_no, *waiting.pop(next_no)[1:])
             next_no += 1
         if found is not None:
-            self._state.update((next_no, True, [], [], [], [], []))
-            yield pd.DataFrame([(*key, *found)], columns=self._out)
-        else:
-            left = sorted(waiting.items())
-            self._state.update((next_no, False, list(counts), list(counts.values()), [no for no, _ in left], [x[0] for _, x in left], [x[1] for _, x in left]))
+            done, waiting, memory = True, {}, list(self.begin())
+        wake = waiting[min(waiting)][0] if waiting else last_ms + self._idle
+        if wake != timer_ms:
+            if timer_ms is not None:
+                self._handle.deleteTimer(timer_ms)
+            self._handle.registerTimer(wake)
+        left = sorted((no, *row) for no, row in waiting.items())
+        self._state.update((next_no, done, last_ms, wake, *([row[i] for row in left] for i in range(2 + len(self.columns))), *memory))
+        if found is not None:
+            yield pd.DataFrame([(*key, *found)], columns=list(self.out))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        next_no, done, last_ms, timer_ms, waiting, memory = self._read()
+        for batch in rows:
+            last_ms = max(last_ms, int(batch["time_ms"].max()))
+            if not done:
+                for no, ms, *values in zip(batch[self.number], batch["time_ms"], *(batch[c] for c in self.columns)):
+                    if no >= next_no:
+                        waiting[int(no)] = (int(ms), *(None if pd.isna(v) else v if isinstance(v, str) else int(v) for v in values))  # a column with nulls comes as floats
+        yield from self._go_on(key, next_no, done, last_ms, timer_ms, waiting, memory, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self._state.exists():
+            return
+        next_no, done, last_ms, _, waiting, memory = self._read()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if not waiting and last_ms + self._idle <= watermark:
+            self._state.clear()
+            return
+        yield from self._go_on(key, next_no, done, last_ms, None, waiting, memory, watermark)
 
     def close(self) -> None:
         pass
 
 
 class _FirstHit(_InOrder):
-    """The first brace of a turn whose last texts hold an answer."""
+    """The first chunk of a turn, with tokens and a closing brace, whose last texts hold an answer."""
 
-    def step(self, counts, chunk_no, answer):
-        return None if answer is None else (chunk_no, answer)
+    number, columns, waits, memory = "chunk_no", ("n_tokens", "text"), "tokens array<int>, waiting array<string>", "texts array<string>"
+    out = ("problem_id", "attempt", "turn", "chunk_no", "answer")
+
+    def __init__(self, look_back: int, idle_ms: int, patterns: list[str]) -> None:
+        super().__init__(idle_ms)
+        self._look_back, self._patterns = look_back, patterns
+
+    def begin(self) -> tuple:
+        return ([],)
+
+    def step(self, memory, no, tokens, text):
+        if not tokens or tokens <= 0 or text is None:
+            return None
+        memory[0] = [*memory[0], text][-self._look_back :]
+        answer = last_answer("".join(memory[0]), self._patterns) if "}" in text else None
+        return None if answer is None else (no, answer)
 
 
 class _Votes(_InOrder):
     """Counts answers of a problem, until one has ``k`` votes."""
 
-    k = 1
+    number, columns, waits, memory = "completion_no", ("completion_seq", "answer"), "seqs array<long>, votes array<int>", "seen array<int>, times_seen array<int>"
+    out = ("problem_id", "stop_seq", "answer")
 
-    def step(self, counts, seq, answer):
+    def __init__(self, k: int, idle_ms: int) -> None:
+        super().__init__(idle_ms)
+        self._k = k
+
+    def begin(self) -> tuple:
+        return [], []
+
+    def step(self, memory, no, seq, answer):
         if answer is None:
             return None
-        counts[answer] = counts.get(answer, 0) + 1
-        return (seq, answer) if counts[answer] >= self.k else None
-
+        counts = dict(zip(*memory))
+        counts[int(answer)] = counts.get(int(answer), 0) + 1
+        memory[:] = list(counts), list(counts.values())
+        return (seq, int(answer)) if counts[int(answer)] >= self._k else None
 
-def stream_recent_texts(chunks: DataFrame, look_back: int = 32, expires_ms: int | None = None) -> DataFrame:
-    """A stream of (problem_id, attempt, turn, chunk_no, brace_no, recent): the last texts at each
-    brace, in whatever order and micro-batches the chunks come."""
-    return chunks.groupBy("problem_id", "attempt", "turn").transformWithStateInPandas(
-        _Chunks(look_back, expires_ms), "problem_id long, attempt int, turn int, chunk_no int, brace_no int, recent string", "append", _mode(expires_ms)
-    )
 
+def answer_patterns() -> list[str]:
+    """The patterns of ``extract_answer``, strict, as Python writes them."""
+    return [re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: rf"\u{int(m[1], 16):04x}", p) for p in (T.BOXED, T.STATED_STRICT)]
 
-def with_answers(recent: DataFrame) -> DataFrame:
-    """The answer that each of the last texts holds, null where none."""
-    return recent.withColumn("answer", T.extract_answer(F.col("recent"), "strict")).drop("recent")
 
+def last_answer(text: str, patterns: list[str]) -> int | None:
+    """As ``extract_answer``, strict: of each pattern the last match, if it is in range."""
+    for pattern in patterns:
+        found = re.findall(pattern, text, re.IGNORECASE)
+        digits = found[-1].replace(",", "") if found else ""
+        if digits and len(digits.lstrip("0")) <= 5:
+            return int(digits)
+    return None
 
-def stream_answer_watch(chunks: DataFrame, emit: Callable[[DataFrame, int], None], look_back: int = 32):
-    """Write the answers that the last texts hold, batch by batch; see ``first_hits``."""
-    return with_answers(stream_recent_texts(chunks, look_back)).writeStream.foreachBatch(emit)
 
+def stream_answer_watch(chunks: DataFrame, look_back: int = 32, time: str = "ts", delay: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
+    """A stream of (problem_id, attempt, turn, chunk_no, answer): the first answer of each turn, once.
 
-def first_hits(answers: DataFrame, expires_ms: int | None = None) -> DataFrame:
-    """First answer of each turn, of a stream of all its braces with or without one."""
-    out = ["problem_id", "attempt", "turn", "chunk_no", "answer"]
-    return answers.groupBy(*out[:3]).transformWithStateInPandas(
-        _FirstHit("brace_no", ["chunk_no", "answer"], out, expires_ms), "problem_id long, attempt int, turn int, chunk_no int, answer int", "append", _mode(expires_ms)
-    )
+    Chunks may come in any order and micro-batches: they wait for those before them, but for a missing
+    one only until the watermark (``delay`` behind ``time``) has passed the chunk after it. The first
+    hit drops all that was gathered of the turn."""
+    hit = _FirstHit(look_back, idle_ms, answer_patterns())
+    return _with_state(chunks, ["problem_id", "attempt", "turn"], hit, "problem_id long, attempt int, turn int, chunk_no int, answer int", time, delay)
 
 
-def stream_early_stop(attempts: DataFrame, k: int, expires_ms: int | None = None) -> DataFrame:
+def stream_early_stop(attempts: DataFrame, k: int, time: str = "ts", delay: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
     """A stream of (problem_id, stop_seq, answer): once for each problem that reaches ``k`` votes, in the
-    order of completion: ``completion_no`` numbers the completed attempts of a problem from 0."""
-    votes = _Votes("completion_no", ["completion_seq", "answer"], ["problem_id", "stop_seq", "answer"], expires_ms)
-    votes.k = k
-    return attempts.groupBy("problem_id").transformWithStateInPandas(votes, "problem_id long, stop_seq long, answer int", "append", _mode(expires_ms))
+    order of completion: ``completion_no`` numbers the completed attempts of a problem from 0. A number
+    that is missing is passed over once the watermark has passed the attempt after it."""
+    return _with_state(attempts, ["problem_id"], _Votes(k, idle_ms), "problem_id long, stop_seq long, answer int", time, delay)
 
 
-def stream_deadline_cut(events: DataFrame, deadlines: DataFrame, key: str, delay: str = "1 hour") -> DataFrame:
-    """Events up to the deadline of their key. The watermark lets later state expire."""
-    joined = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).join(deadlines, key, "left")
-    return joined.where(F.col("deadline").isNull() | (F.col("ts") <= F.col("deadline"))).drop("deadline")
+class _Deadline(StatefulProcessor):
+    """Passes on a key's rows up to its deadline, which is its state until the watermark is past it."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._state = handle.getValueState("deadline", "deadline_ms long")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        deadline = initialState["deadline_ms"].min()
+        if pd.isna(deadline):
+            self._state.update((None,))
+        elif deadline > timerValues.getCurrentWatermarkInMs():
+            self._state.update((int(deadline),))
+            self._handle.registerTimer(int(deadline))
 
-def stream_predict(rows: DataFrame, predict: Callable[[DataFrame], DataFrame], path: str, checks_path: str):
-    """Each micro-batch: predict, check row counts, append both; the order of input is kept in
-    batch_id and row_in_batch."""
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self._state.exists()
+        deadline = self._state.get()[0] if known else None
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for batch in rows:
+            if known:
+                late = (batch["time_ms"] <= watermark) & (watermark > 0)  # Spark lets rows of the last micro-batch's lag through
+                yield batch[~late & (deadline is None or batch["time_ms"] <= deadline)].drop(columns="time_ms")
 
-    def each(batch: DataFrame, _: int) -> None:
-        done = predict(batch).persist()
-        done.write.mode("append").parquet(path)
-        batch_row_check(batch, done).write.mode("append").parquet(checks_path)
-        done.unpersist()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_deadline_cut(events: DataFrame, deadlines: DataFrame, key: str, time: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """Events up to the deadline of their key, from ``deadlines`` (``key``, deadline), such as
+    ``deadlines_of`` makes them of time budgets. A null deadline never comes; of repeated ones the
+    first holds. A key that ``deadlines`` doesn't have, or whose deadline the watermark has passed, has
+    no state, and none of its events count: so a late one never does."""
+    first = deadlines.select(key, F.unix_millis(F.col("deadline").cast("timestamp")).alias("deadline_ms"))
+    out = ", ".join(f"`{f.name}` {'timestamp' if f.name == time else f.dataType.simpleString()}" for f in events.schema.fields)
+    return _with_state(events, [key], _Deadline(), out, time, delay, first)
+
+
+def deadlines_of(budgets: DataFrame, key: str, start: Column) -> DataFrame:
+    """(key, deadline) from the time budgets of ``time_budget``: seconds after ``start``."""
+    return budgets.select(key, F.timestamp_millis(F.unix_millis(start) + F.round(F.col("budget") * 1000).cast("long")).alias("deadline"))
+
+
+def stream_predict(rows: DataFrame, predict: Callable[[DataFrame], DataFrame], path: str, counts_path: str):
+    """Each micro-batch: predict, count rows by batch_id, write both under the number of the micro-batch.
+    One that is replayed, whole or half done, overwrites what it wrote: nothing is there twice. Read
+    the two with ``predictions`` and ``prediction_checks``."""
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        spark, here = batch.sparkSession, f"{path}/epoch={epoch}"
+        done = predict(batch)
+        done.write.mode("overwrite").parquet(here)
+        written = spark.read.schema(done.schema).parquet(here)
+        counts = batch.groupBy("batch_id").agg(F.count("*").alias("expected")).join(written.groupBy("batch_id").agg(F.count("*").alias("received")), "batch_id", "full")
+        counts.write.mode("overwrite").parquet(f"{counts_path}/epoch={epoch}")  # last: with it the micro-batch is there
 
     return rows.writeStream.foreachBatch(each)
+
+
+def predictions(spark: SparkSession, path: str, counts_path: str, schema: str) -> DataFrame:
+    """What ``stream_predict`` wrote, of micro-batches that are complete."""
+    complete = spark.read.schema("batch_id long, expected long, received long, epoch long").parquet(counts_path).select("epoch").distinct()
+    return spark.read.schema(f"{schema}, epoch long").parquet(path).join(complete.hint("merge"), "epoch", "left_semi").drop("epoch")
+
+
+def prediction_checks(spark: SparkSession, counts_path: str) -> DataFrame:
+    """``batch_row_check`` of what ``stream_predict`` wrote, over all its micro-batches: a batch may be
+    spread over several."""
+    counts = spark.read.schema("batch_id long, expected long, received long, epoch long").parquet(counts_path)
+    return check_counts(counts.groupBy("batch_id").agg(F.coalesce(F.sum("expected"), F.lit(0)).alias("expected"), F.sum("received").alias("received")))
