@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from quorate.llm.common import settle
 from quorate.llm.components import components
-from quorate.llm.words import mixed, shingle_set
+from quorate.llm.words import at_rest, mixed, shingle_set
 
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
 NUM, DEN = 80, 100
 #: Leading bits of a hash by which shingles are counted, at most, and those of the slots in a range.
-_SLOT_BITS, _RANGE_BITS = 28, 20
+_SLOT_BITS, _RANGE_BITS = 28, 16
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def _unpacked_gaps(packed: bytes) -> np.ndarray:
 def sets_and_slots(docs: DataFrame, length: int = 5, together: int = 1 << 22) -> DataFrame:
     """One pass over the texts gives two kinds of rows. For each document doc_id, n_shingles and a
     128-bit digest of its set of shingles. And, with a range, what the shingles of many documents add
-    to the counts: the leading 28 bits of their hashes in ranges of 2**20, as packed gaps."""
+    to the counts: the leading 28 bits of their hashes in ranges of 2**16, as packed gaps."""
     names = ["doc_id", "n_shingles", "digest", "range", "gaps"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
     shift = np.uint64(64 - _SLOT_BITS)
@@ -59,7 +59,8 @@ def sets_and_slots(docs: DataFrame, length: int = 5, together: int = 1 << 22) ->
         held, n = [], 0
 
         def flush():
-            slots = np.sort(np.concatenate(held))
+            slots = np.concatenate(held)
+            slots.sort()
             ranges = slots >> _RANGE_BITS
             cuts = np.flatnonzero(np.diff(ranges)) + 1
             parts = np.split(slots & ((1 << _RANGE_BITS) - 1), cuts)
@@ -72,7 +73,7 @@ def sets_and_slots(docs: DataFrame, length: int = 5, together: int = 1 << 22) ->
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 if len(s):
-                    held.append((s >> shift).astype(np.int64))
+                    held.append((s >> shift).astype(np.int32))
                     n += len(s)
             if ids:
                 yield rows(ids, sizes, digests, None, None)
@@ -81,6 +82,7 @@ def sets_and_slots(docs: DataFrame, length: int = 5, together: int = 1 << 22) ->
                 held, n = [], 0
         if n:
             yield flush()
+        at_rest()
 
     return _texts(docs).mapInArrow(work, "doc_id long, n_shingles long, digest binary, range int, gaps binary")
 
@@ -88,7 +90,7 @@ def sets_and_slots(docs: DataFrame, length: int = 5, together: int = 1 << 22) ->
 def frequent_slots(packed: DataFrame, bits: int, least: int) -> np.ndarray:
     """A map of 2**bits bits over the leading bits of a shingle's hash: set where shingles of at
     least ``least`` documents fall. Every document counts. The counts are summed in ranges of
-    2**20 slots; the driver gets only the map, of fixed size."""
+    2**16 slots, so by 4,096 tasks at most; the driver gets only the map, of fixed size."""
     range_bits, fold = min(_RANGE_BITS, bits), _SLOT_BITS - bits
     apart = _SLOT_BITS - max(_RANGE_BITS, bits)  # ranges of the packed gaps that fall together
 
@@ -206,6 +208,7 @@ def prefixes(docs: DataFrame, bitmap, bits: int, length: int = 5) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             values = np.concatenate(lists) if lists else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array(bits_of, pa.binary())], names=["doc_id", "n", "signatures", "parity"])
+        at_rest()
 
     return _texts(docs).mapInArrow(sign, "doc_id long, n long, signatures array<long>, parity binary")
 
@@ -343,6 +346,7 @@ def linked(docs: DataFrame, pairs: DataFrame, n_docs: int, length: int = 5) -> D
                 ids.append(doc_id)
                 packed.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["id", "tokens"])
+        at_rest()
 
     of = near.where("doc_id is not null").mapInArrow(sets, "id long, tokens binary")
     first = pairs.join(of.select(F.col("id").alias("a"), F.col("tokens").alias("x")).hint("merge"), "a")

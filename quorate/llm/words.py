@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _digest = xxhash.xxh3_64_digest
@@ -19,6 +20,9 @@ class WordTable:
         self._known: dict[bytes, bytes] = {}
         self._most, self._longest = most, longest
 
+    def forget(self) -> None:
+        self._known.clear()
+
     def __call__(self, text: bytes) -> np.ndarray:
         words, known = text.lower().split(), self._known
         try:
@@ -35,9 +39,15 @@ class WordTable:
         return found if self._width == 1 else found.reshape(-1, self._width)
 
 
-#: One for each Python worker, so that what it remembers serves later tasks.
+#: One for each Python worker.
 word_hashes = WordTable(_digest)
 
+
+def at_rest() -> None:
+    """Give memory back at the end of a task: workers stay, and the next stage may need it."""
+    word_hashes.forget()
+    pa.default_memory_pool().release_unused()
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
