@@ -100,22 +100,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, missed: float = 1e-
     other columns are ignored. Returns vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding"))
     takes_part = usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    rows = rows.withColumn("class", F.when(takes_part, F.xxhash64("label", "embedding")))
-    other = F.xxhash64(F.lit(1), "label", "embedding")  # a second hash, by which a collision of the first is seen
+    # Two 64-bit hashes: at 10^10 vectors one alone would meet by chance.
+    both = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64("label", "embedding"), F.xxhash64(F.lit(1), "label", "embedding"))]
+    rows = rows.withColumn("class", F.when(takes_part, F.unhex(F.concat(*both))))
     classes = settle(
-        rows.where("class is not null")
-        .groupBy("class")
-        .agg(
-            F.min("vec_id").alias("first_id"),
-            F.count("*").alias("copies"),
-            F.first("label").alias("label"),
-            F.first("embedding").alias("embedding"),
-            (F.min(other) != F.max(other)).alias("unlike"),
-        ),
+        rows.where("class is not null").groupBy("class").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")),
         "neardup-classes",
     ).withColumn("dim", F.size("embedding"))
-    if not classes.where("unlike").isEmpty():
-        raise RuntimeError("two unlike vectors have one 64-bit hash")
     n = classes.count()
     bits, bands = band_plan(n, least, missed)
 
@@ -132,7 +123,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, missed: float = 1e-
                         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                         yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), pa.array(np.full(len(part), band, np.int32)), part.column("class")], names=["bucket", "band", "class"])
 
-    buckets = classes.mapInArrow(banded, "bucket long, band int, class long")
+    buckets = classes.mapInArrow(banded, "bucket long, band int, class binary")
     crowded = settle(buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "neardup-buckets")
     blocks = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
@@ -183,8 +174,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, missed: float = 1e-
             links = np.bincount(i, copies[j], len(table)) + np.bincount(j, copies[i], len(table))
             root = _local_roots(len(table), i, j)
             has = np.flatnonzero(links)
-            names = table.column("class").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(names[has]), pa.array(links[has].astype(np.int64)), pa.array(names[root[has]])], names=["class", "links", "with"])
+            names = table.column("class").combine_chunks()
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(has)), pa.array(links[has].astype(np.int64)), names.take(pa.array(root[has]))], names=["class", "links", "with"])
 
         held = None
         for batch in batches:
@@ -198,7 +189,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, missed: float = 1e-
         if held is not None and len(held):
             yield from compare(held)
 
-    found = settle(placed.mapInArrow(compared, "class long, links long, with long"), "neardup-found")
+    found = settle(placed.mapInArrow(compared, "class binary, links long, with binary"), "neardup-found")
     degree = found.groupBy("class").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("class").alias("a"), F.col("with").alias("b")))
     joined = settle(
