@@ -71,9 +71,11 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, seed: int = 17
     Size is the number of words; a null text has none, and such rows and empty texts are taken as
     others are, to the same expectation, at no cost. A null source is a source, the last one. Ties
     go by doc_id; rows alike in all of these are interchangeable. Sources without any words have
-    target 0 and no row is taken. An empty table gives an empty result. The input's columns stay;
-    those named size, source_size, target, copies or taken are replaced.
+    target 0 and no row is taken. An empty table gives an empty result. The input's columns stay,
+    whatever their names; those named size, source_size, target, copies or taken are replaced.
     """
+    names = docs.columns
+    docs = docs.toDF(*(n if n in ("doc_id", "source", "text") else f"c{i}" for i, n in enumerate(names)))
     keys = ["_source", "_class", "_slice"]
     sized = (
         docs.withColumn("size", word_count(F.col("text")))
@@ -101,7 +103,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, seed: int = 17
         .withColumn("_offset", _source_offset(F.col("_source"), seed))
     )
     crossed = F.floor(F.col("_offset") + F.col("_each") * (F.col("_k") + 1)) - F.floor(F.col("_offset") + F.col("_each") * F.col("_k"))
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    kept = [F.col(c).alias(n) for c, n in zip(docs.columns, names) if n not in ("size", "source_size", "target", "copies", "taken")]
     return joined.withColumn("copies", F.least(crossed, F.lit(most)).cast("long")).select(
         *kept,
         "size",

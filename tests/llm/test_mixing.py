@@ -63,3 +63,13 @@ def test_columns_of_any_name_come_back_as_they_were(spark):
     want = {r[0]: r for r in rows}
     got = mixed_rows(docs).collect()
     assert got and all(tuple(r) == want[r.doc_id] for r in got)
+
+
+def test_mix_keeps_columns_named_like_its_own(spark):
+    names = ["_rank", "_class", "_source", "_slice", "_k", "_each", "_offset", "_start", "_target", "c0"]
+    rows = [(i, "ab"[i % 2], "w " * (i % 9), *(f"{n}{i}" for n in names)) for i in range(60)]
+    docs = spark.createDataFrame(rows, ["doc_id", "source", "text", *names])
+    got = mix(docs)
+    assert got.columns == ["doc_id", "source", "text", *names, "size", "source_size", "target", "copies", "taken"]
+    want = {r[0]: r for r in rows}
+    assert all(tuple(r)[:13] == want[r.doc_id] for r in got.collect())
