@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +31,6 @@ SENTENCES = {
     19: "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     20: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     21: "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    22: "SPDX-License-Identifier: Apache-2.0",
-    23: "SPDX-License-Identifier: MIT",
     24: "This is free and unencumbered software released into the public domain.",
     25: "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     26: "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
@@ -45,190 +46,207 @@ SENTENCES = {
     36: "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     37: "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
     38: "Distributed under the Boost Software License, Version 1.0.",
-    39: "SPDX-License-Identifier: BSD-3-Clause",
-    40: "SPDX-License-Identifier: GPL-2.0-only",
+    41: "Apache License Version 2.0, January 2004",
+    42: "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    43: "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    44: "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    45: "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    46: "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    47: "Mozilla Public License Version 2.0",
+    48: "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    49: "Licensed under the MIT License.",
+    50: "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.",
+    51: "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    52: "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    53: "Licensed under the BSD 3-Clause License.",
+    54: "Licensed under the GNU General Public License v3.0.",
+    55: "Licensed under the Apache License 2.0.",
+    56: "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    57: "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer in this position and unchanged.",
+    58: "Boost Software License - Version 1.0 - August 17th, 2003",
+    59: "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    60: "Licensed under the Creative Commons CC0 1.0 Universal license.",
 }
 
-# Which sentences, in this order, make which licence; a longer rule replaces those it holds.
+# Which sentences, in this order, make which licence; a longer rule replaces those it begins.
 RULES = [
     ("Apache-2.0", (1, 2)),
     ("Apache-2.0", (1, 3, 4)),
     ("Apache-2.0", (5,)),
-    ("Apache-2.0", (22,)),
+    ("Apache-2.0", (41,)),
+    ("Apache-2.0", (55,)),
     ("MIT", (6,)),
     ("MIT", (7, 8)),
-    ("MIT", (23,)),
+    ("MIT", (49,)),
     ("GPL-3.0-only", (9,)),
+    ("GPL-3.0-only", (42,)),
+    ("GPL-3.0-only", (54,)),
+    ("GPL-2.0-only", (43,)),
     ("GPL-3.0-or-later", (10, 11)),
     ("GPL-2.0-or-later", (10, 12)),
     ("CC-BY-NC-4.0", (13,)),
     ("CC-BY-4.0", (14,)),
     ("CC-BY-SA-4.0", (15,)),
+    ("CC0-1.0", (60,)),
     ("BSD-3-Clause", (16, 17, 18, 19)),
+    ("BSD-3-Clause", (16, 17, 18, 50)),
+    ("BSD-3-Clause", (53,)),
     ("BSD-2-Clause", (16, 17, 18)),
     ("ISC", (20,)),
+    ("ISC", (48,)),
     ("MPL-2.0", (21,)),
+    ("MPL-2.0", (47,)),
     ("Unlicense", (24,)),
+    ("LGPL-2.1-only", (44,)),
     ("LGPL-2.1-or-later", (34, 35)),
+    ("LGPL-3.0-only", (45,)),
+    ("LGPL-3.0-or-later", (34, 56)),
+    ("AGPL-3.0-only", (46,)),
     ("AGPL-3.0-or-later", (10, 36)),
     ("Zlib", (37,)),
     ("BSL-1.0", (38,)),
-    ("BSD-3-Clause", (39,)),
-    ("GPL-2.0-only", (40,)),
+    ("BSL-1.0", (58,)),
+]
+
+# Where a sentence names someone or something, with the words that stand for it.
+GAPS = [
+    (r"^neither the names? of .{1,200}? nor the names? of (its|any|their) contributors may", "neither the name of the copyright holder nor the names of its contributors may"),
+    (r"^the names? of .{1,200}? may not be used to endorse", "the name of the author may not be used to endorse"),
+    (r"^this software is provided by .{1,200}? as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
+    (r"^(this|the|these|all) [a-z0-9 ]{1,60}? (is|are) (licensed|distributed) under ", "licensed under "),
 ]
+# A clause that no two-clause licence has.
+ENDORSE = "endorse or promote products derived from this software"
+#: A text without any of these in a word holds no known sentence.
+ANCHORS = "licen|permi|redistribut|software|conditions|copyright|warrant"
+#: Into how many parts, lines mostly, a known sentence may be broken.
+MOST_PARTS = 24
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _plain(sentence: str) -> str:
-    """Letters and digits of ASCII in lower case, one space for everything else."""
-    return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence).lower().split())
+    """Letters and digits of ASCII in lower case, one space for everything else; gaps as ``GAPS`` has them."""
+    words = " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence).lower().split())
+    for pattern, filled in GAPS:
+        words = re.sub(pattern, filled, words)
+    return words
 
 
+KNOWN = {_plain(s): i for i, s in SENTENCES.items()}
 # Where a sentence may begin or end. A known sentence may hold any of these inside. Line ends, with the
 # mark of a comment or of a list after them:
 _LINES = r"(^|[\r\n]+)[ \t]*((dnl|rem)[ \t]+)?(\(?[0-9a-z][0-9a-z]?[.)][ \t]+)?"
-# and sentence signs before white space.
+# sentence signs before white space,
 _SIGNS = r"""[.!?;:]["')\]]*([ \t\n\x0B\f\r|]|\z)"""
+# and tags of HTML.
+_TAGS = r"<[a-z/!][^<>]{0,200}>"
+# A licence expression after its mark, and what in it is no licence.
+_SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]+)"
+_EXCEPTION = r"(?i)(^|[() \t])WITH[ \t]+[A-Za-z0-9.-]+"
 
 
-def _patterns() -> list[tuple[str, int]]:
-    """Each known sentence as plain words, longest first."""
-    return sorted(((_plain(s), i) for i, s in SENTENCES.items()), key=lambda x: (-len(x[0]), x[1]))
+def _first_words(sentence: str) -> str:
+    return " ".join(sentence.split(" ")[:2])
 
 
-def _cut_column(text: Column) -> Column:
-    """Plain words with one character between them: a bar at a cut, else a blank; a bar at both ends."""
+def sentence_parts(text: Column) -> Column:
+    """The text as plain words, in parts: what stands between two places where a sentence may begin or end."""
     lower = F.translate(text, _UPPER + "|", _LOWER + " ")
-    cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(lower, _LINES, "|"), _SIGNS, "|"), "[^a-z0-9|]+", " ")
-    return F.regexp_replace(F.concat(F.lit("|"), cut, F.lit("|")), r" ?\|[ |]*", "|")
+    cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(lower, _TAGS, "\n"), _LINES, "|"), _SIGNS, "|")
+    parts = F.split(F.regexp_replace(cut, "[^a-z0-9|]+", " "), r" *[|][ |]*")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+
+
+def _known_at(parts: Column, known: Column) -> Column:
+    """Numbers of the known sentences, in order: at each part that may begin one, the longest run of
+    parts that is one."""
+    firsts = sorted({w for s in KNOWN for w in (_first_words(s), s.split(" ")[0])})
+    heads = r"^(neither the|the names?|this|the|these|all)( |$)"
+    starts = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.substring_index(F.get(parts, i), " ", 2).isin(firsts) | F.get(parts, i).rlike(heads))
+
+    def words(i: Column, n: Column) -> Column:
+        joined = F.array_join(F.slice(parts, i + 1, n), " ")
+        for pattern, filled in GAPS:
+            joined = F.regexp_replace(joined, pattern, filled)
+        return joined
+
+    def number(i: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(MOST_PARTS), F.lit(1), F.lit(-1)), lambda n: F.try_element_at(known, words(i, n)))
+        return F.try_element_at(F.filter(runs, lambda x: x.isNotNull()), F.lit(1))
+
+    return F.when(F.size(parts) > 0, F.filter(F.transform(starts, number), lambda x: x.isNotNull())).otherwise(F.array().cast("array<int>"))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """The known licence sentences of each whole text, in order, and the licences they make.
 
-    Texts are compared as ASCII letters and digits in lower case. A known sentence counts where it
-    stands whole between two cuts: line ends, and sentence signs (colons too) before white space. It
-    may be wrapped over lines, with comment marks. The sentences' numbers are matched against the
-    rules: the numbers of a rule must follow each other, with any unknown text between. All within a
-    row, without a shuffle; the known sentences are a literal of the plan.
+    Texts are compared as ASCII letters and digits in lower case. A text is cut once into parts: at line
+    ends, sentence signs (colons too) before white space, and tags. A run of up to ``MOST_PARTS`` parts
+    is looked up among the known sentences, longest first, so one may be wrapped over lines, with
+    comment marks; names of holders are gaps (``GAPS``). The sentences' numbers are matched against the
+    rules: the numbers of a rule must follow each other, with any unknown text between. A BSD text with
+    the clause of names is BSD-3-Clause, whatever way it has it. Licences of SPDX expressions are
+    taken as they are written, without exceptions (WITH). All within a row, without a shuffle; the known
+    sentences are a literal of the plan, and a text that has none of their words is not cut.
 
     Null and empty texts have no licence. Rows that repeat are scanned each. Columns besides doc_id
-    and text are ignored. Returns doc_id, n_sentences, sentence_ids (joined by spaces, in order) and
-    licences (joined by commas, in the order of names), both empty strings where there is none."""
-    known = F.create_map(*(F.lit(x) for pair in _patterns() for x in pair))
-    pattern = r"(?<=\|)(?:" + "|".join(s.replace(" ", "[ |]") for s, _ in _patterns()) + r")(?=\|)"
-    hits = F.regexp_extract_all(_cut_column(F.coalesce("text", F.lit(""))), F.lit(pattern), F.lit(0))
-    numbers = F.transform(hits, lambda s: F.try_element_at(known, F.translate(s, "|", " ")))
-    found = docs.select("doc_id", numbers.alias("ids"))
+    and text are ignored. Returns doc_id, n_sentences, sentence_ids (joined by spaces, in order), spdx
+    (expressions in order, joined by semicolons) and licences (joined by commas, in the order of names),
+    empty strings where there is none."""
+    known = F.create_map(*(F.lit(x) for pair in sorted(KNOWN.items()) for x in pair))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    may = F.col("text").rlike(f"(?i){ANCHORS}")
+    nothing = F.array().cast("array<string>")
+    cut = docs.select("doc_id", F.when(may, sentence_parts(text)).otherwise(nothing).alias("parts"), F.when(may, F.transform(F.regexp_extract_all(text, F.lit(_SPDX), F.lit(1)), lambda x: F.btrim(x, F.lit(" \t.")))).otherwise(nothing).alias("spdx"))
+    found = cut.select("doc_id", "spdx", _known_at(F.col("parts"), known).alias("ids"), F.array_join("parts", " ").contains(ENDORSE).alias("endorse"))
     joined = F.concat(F.lit(" "), F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), F.lit(" "))
     holds = {rule: joined.contains(" " + " ".join(map(str, rule)) + " ") for _, rule in RULES}
-    names = [
-        F.when(holds[rule] & ~F.greatest(F.lit(False), *(holds[more] for _, more in RULES if len(more) > len(rule) and more[: len(rule)] == rule)), F.lit(name))
-        if any(len(more) > len(rule) and more[: len(rule)] == rule for _, more in RULES)
-        else F.when(holds[rule], F.lit(name))
-        for name, rule in RULES
-    ]
+    names = []
+    for name, rule in RULES:
+        longer = [holds[more] for _, more in RULES if len(more) > len(rule) and more[: len(rule)] == rule]
+        alone = reduce(lambda c, h: c & ~h, longer, holds[rule])
+        names.append(F.when(alone, F.when(F.col("endorse"), "BSD-3-Clause").otherwise(name) if name == "BSD-2-Clause" else F.lit(name)))
+    tokens = F.split(F.regexp_replace(F.array_join("spdx", " "), _EXCEPTION, " "), r"[() \t]+")
+    operands = F.filter(tokens, lambda x: ~F.lower(x).isin("", "or", "and", "with"))
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_sentences"),
         F.trim(joined).alias("sentence_ids"),
-        F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*names)))), ",").alias("licences"),
+        F.array_join("spdx", ";").alias("spdx"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*names)), operands))), ",").alias("licences"),
     )
 
 
-#: DuckDB SQL for ``op8_license_scan``, with tables of its own and without looking around: bars are
-#: doubled, so that neighbours each have their own.
-# The sentences as plain words, and the rules as runs of numbers.
-LICENSE_SQL = r"""
-WITH known(s, i) AS (VALUES
-  ('licensed under the apache license version 2 0 the license', 1),
-  ('you may not use this file except in compliance with the license', 2),
-  ('you may obtain a copy of the license at', 3),
-  ('http www apache org licenses license 2 0', 4),
-  ('licensed under the apache license version 2 0', 5),
-  ('released under the mit license', 6),
-  ('permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions', 7),
-  ('the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software', 8),
-  ('this work is licensed under the gnu general public license version 3', 9),
-  ('this program is free software', 10),
-  ('you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version', 11),
-  ('you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version', 12),
-  ('licensed under cc by nc 4 0', 13),
-  ('this work is licensed under a creative commons attribution 4 0 international license', 14),
-  ('this work is licensed under a creative commons attribution sharealike 4 0 international license', 15),
-  ('redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met', 16),
-  ('redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer', 17),
-  ('redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution', 18),
-  ('neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission', 19),
-  ('permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies', 20),
-  ('this source code form is subject to the terms of the mozilla public license v 2 0', 21),
-  ('spdx license identifier apache 2 0', 22),
-  ('spdx license identifier mit', 23),
-  ('this is free and unencumbered software released into the public domain', 24),
-  ('the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement', 25),
-  ('in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software', 26),
-  ('this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed', 27),
-  ('unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied', 28),
-  ('see the license for the specific language governing permissions and limitations under the license', 29),
-  ('this program is distributed in the hope that it will be useful but without any warranty', 30),
-  ('without even the implied warranty of merchantability or fitness for a particular purpose', 31),
-  ('see the gnu general public license for more details', 32),
-  ('you should have received a copy of the gnu general public license along with this program', 33),
-  ('this library is free software', 34),
-  ('you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version', 35),
-  ('you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version', 36),
-  ('permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions', 37),
-  ('distributed under the boost software license version 1 0', 38),
-  ('spdx license identifier bsd 3 clause', 39),
-  ('spdx license identifier gpl 2 0 only', 40)
-), rules(name, run) AS (VALUES
-  ('Apache-2.0', ' 1 2 '),
-  ('Apache-2.0', ' 1 3 4 '),
-  ('Apache-2.0', ' 5 '),
-  ('Apache-2.0', ' 22 '),
-  ('MIT', ' 6 '),
-  ('MIT', ' 7 8 '),
-  ('MIT', ' 23 '),
-  ('GPL-3.0-only', ' 9 '),
-  ('GPL-3.0-or-later', ' 10 11 '),
-  ('GPL-2.0-or-later', ' 10 12 '),
-  ('CC-BY-NC-4.0', ' 13 '),
-  ('CC-BY-4.0', ' 14 '),
-  ('CC-BY-SA-4.0', ' 15 '),
-  ('BSD-3-Clause', ' 16 17 18 19 '),
-  ('BSD-2-Clause', ' 16 17 18 '),
-  ('ISC', ' 20 '),
-  ('MPL-2.0', ' 21 '),
-  ('Unlicense', ' 24 '),
-  ('LGPL-2.1-or-later', ' 34 35 '),
-  ('AGPL-3.0-or-later', ' 10 36 '),
-  ('Zlib', ' 37 '),
-  ('BSL-1.0', ' 38 '),
-  ('BSD-3-Clause', ' 39 '),
-  ('GPL-2.0-only', ' 40 ')
-), longer AS (
-  SELECT a.name, a.run, list(b.run) FILTER (b.run IS NOT NULL) AS more
-  FROM rules a LEFT JOIN rules b ON starts_with(b.run, a.run) AND b.run <> a.run GROUP BY ALL
-), pattern AS (
-  SELECT '\|(' || string_agg(replace(s, ' ', '( |\|\|)'), '|' ORDER BY length(s) DESC, i) || ')\|' AS p FROM known
-), cut AS (
-  SELECT row_number() OVER () AS r, doc_id,
-    replace(regexp_replace('|' || regexp_replace(regexp_replace(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ|', 'abcdefghijklmnopqrstuvwxyz '),
-      '(^|[\r\n]+)[ \t]*((dnl|rem)[ \t]+)?(\(?[0-9a-z][0-9a-z]?[.)][ \t]+)?', '|', 'g'),
-      '[.!?;:]["'')\]]*([ \t\n\x0B\f\r|]|\z)', '|', 'g'),
-      '[^a-z0-9|]+', ' ', 'g') || '|', ' ?\|[ |]*', '|', 'g'), '|', '||') AS t
-  FROM documents
-), hits AS (
-  SELECT r, doc_id, list_transform(regexp_extract_all(t, p), lambda h: trim(regexp_replace(h, '[ |]+', ' ', 'g'))) AS found FROM cut, pattern
-), numbered AS (
-  SELECT r, doc_id, place, found[place] AS s FROM hits, range(1, len(found) + 1) AS places(place)
-), joined AS (
-  SELECT h.r, h.doc_id, count(k.i) AS n, ' ' || coalesce(string_agg(k.i::VARCHAR, ' ' ORDER BY x.place), '') || ' ' AS j
-  FROM hits h LEFT JOIN numbered x ON x.r = h.r LEFT JOIN known k ON k.s = x.s GROUP BY h.r, h.doc_id
-), named AS (
-  SELECT j.r, list(DISTINCT l.name ORDER BY l.name) AS names
-  FROM joined j JOIN longer l ON contains(j.j, l.run) AND len(list_filter(coalesce(l.more, []), lambda m: contains(j.j, m))) = 0 GROUP BY j.r
-)
-SELECT doc_id, n::BIGINT AS n_sentences, trim(j) AS sentence_ids, coalesce(array_to_string(names, ','), '') AS licences
-FROM joined LEFT JOIN named USING (r)
+def _filled(column: str) -> str:
+    for pattern, filled in GAPS:
+        column = f"regexp_replace({column}, '{pattern}', '{filled}')"
+    return column
+
+
+#: DuckDB SQL for ``op8_license_scan``. It goes the other way about: lines first, then the marks at their
+#: heads, then signs; each part joined with those after it; rules held against lists of numbers.
+LICENSE_SQL = rf"""
+WITH known(s, i) AS (VALUES {", ".join(f"('{s}', {i})" for s, i in KNOWN.items())}),
+rules(name, run) AS (VALUES {", ".join(f"('{name}', ' {' '.join(map(str, rule))} ')" for name, rule in RULES)}),
+longer AS (SELECT a.name, a.run, list(b.run) FILTER (b.run IS NOT NULL) AS more FROM rules a LEFT JOIN rules b ON starts_with(b.run, a.run) AND b.run <> a.run GROUP BY ALL),
+texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+  string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ|', 'abcdefghijklmnopqrstuvwxyz '), '<[a-z/!][^<>]{{0,200}}>', chr(10), 'g'), '[\r\n]+') AS lines FROM documents),
+lines AS (SELECT r, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM texts),
+bare AS (SELECT r, n, string_split_regex(regexp_replace(line, '^[ \t]*((dnl|rem)[ \t]+)?(\(?[0-9a-z][0-9a-z]?[.)][ \t]+)?', ''), '[.!?;:]["'')\]]*([ \t\x0B\f]|\z)') AS cut FROM lines),
+cut AS (SELECT r, n, unnest(cut) AS part, generate_subscripts(cut, 1) AS m FROM bare),
+parts AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY n, m) AS place, part FROM (SELECT r, n, m, trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) AS part FROM cut) WHERE part <> ''),
+ahead AS (SELECT r, place, list(part) OVER (PARTITION BY r ORDER BY place ROWS BETWEEN CURRENT ROW AND {MOST_PARTS - 1} FOLLOWING) AS next FROM parts),
+-- A run begins as a known sentence or a gap does.
+likely AS (SELECT * FROM ahead WHERE string_split(next[1], ' ')[1] IN (SELECT string_split(s, ' ')[1] FROM known UNION ALL SELECT unnest(['neither', 'the', 'this', 'these', 'all']))),
+runs AS (SELECT r, place, n, {_filled("array_to_string(next[1:n], ' ')")} AS s FROM likely, range(1, {MOST_PARTS + 1}) AS lengths(n) WHERE n <= len(next)),
+hits AS (SELECT r, place, arg_max(i, n) AS i FROM runs JOIN known USING (s) GROUP BY r, place),
+numbered AS (SELECT r, count(*) AS n, string_agg(i::VARCHAR, ' ' ORDER BY place) AS ids FROM hits GROUP BY r),
+endorsed AS (SELECT r, contains(string_agg(part, ' ' ORDER BY place), '{ENDORSE}') AS e FROM parts GROUP BY r),
+named AS (SELECT n.r, CASE WHEN l.name = 'BSD-2-Clause' AND e THEN 'BSD-3-Clause' ELSE l.name END AS name FROM numbered n JOIN endorsed USING (r) JOIN longer l ON contains(' ' || ids || ' ', l.run)
+  AND len(list_filter(coalesce(l.more, []), lambda m: contains(' ' || ids || ' ', m))) = 0),
+spdx AS (SELECT r, list_transform(regexp_extract_all(text, '(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]+)', 1), lambda x: trim(x, chr(32) || chr(9) || '.')) AS e FROM texts),
+operands AS (SELECT r, unnest(string_split_regex(regexp_replace(array_to_string(e, ' '), '(?i)(^|[() \t])WITH[ \t]+[A-Za-z0-9.-]+', ' ', 'g'), '[() \t]+')) AS name FROM spdx),
+every AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS licences FROM (SELECT * FROM named UNION ALL SELECT * FROM operands WHERE lower(name) NOT IN ('', 'or', 'and', 'with')) GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, array_to_string(e, ';') AS spdx, coalesce(licences, '') AS licences
+FROM texts JOIN spdx USING (r) LEFT JOIN numbered USING (r) LEFT JOIN every USING (r)
 """
