@@ -20,23 +20,29 @@ _CHUNKS = "page_id long, url string, record_type string, refers_to long, chunk_n
 _BLOCK = 1 << 16
 
 
-def record_plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def record_plan(pages: DataFrame, least_bytes: int = 0, most_sent: int = 500_000) -> DataFrame:
     """Pages with the record each becomes: of those with equal payloads of at least ``least_bytes``
-    bytes the one with the largest page_id is a response and the others are revisits of it.
-
-    One aggregate by digest (partly done before the shuffle), written out; then a merge join, whose
-    skewed partitions adaptive execution splits, so a payload that fills a third of the table is no
-    single task's."""
-    digest = F.concat(F.sha1(F.col("payload")), F.lit("-"), F.octet_length("payload").cast("string"))
+    bytes the one with the largest page_id is a response and the others are revisits of it. Returns
+    page_id, url, record_type, refers_to, sha1, size, payload (null for a revisit).
+
+    Only digests that repeat are joined, and only with page ids, so revisits are found without their
+    payloads, and a payload that fills a third of the table is pre-aggregated to one row. Responses
+    are the pages that are no revisits: where these are ``most_sent`` at most, of 28 bytes each, they are
+    sent to the tasks and no payload moves; else a merge join, whose skewed partitions adaptive
+    execution splits, moves each payload once."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    paid = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", digest)
-    heads = settle(paid.groupBy("digest").agg(F.max("page_id").alias("head")), "warc-heads")
-    same = (F.octet_length("payload") >= least_bytes) & F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))
-    return (
-        paid.join(heads.hint("merge"), "digest", "left")
-        .withColumn("refers_to", F.when(same, F.col("head")))
-        .select("page_id", "url", F.when(same, "revisit").otherwise("response").alias("record_type"), "refers_to", "payload")
-    )
+    paid = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
+    paid = paid.select("page_id", "url", F.unhex(F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("size"), "payload")
+    keys = paid.select("page_id", "url", "sha1", "size")
+    heads = keys.where(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("head"), F.count("*").alias("n"))
+    heads = settle(heads.where("n > 1 and head is not null").select("sha1", "size", "head"), "warc-heads")
+    revisits = keys.join(heads.hint("merge"), ["sha1", "size"]).where(~F.col("page_id").eqNullSafe(F.col("head")))
+    revisits = settle(revisits.select("page_id", "url", F.lit("revisit").alias("record_type"), F.col("head").alias("refers_to"), "sha1", "size"), "warc-revisits")
+    drop = revisits.select(F.col("page_id").alias("_page"), F.col("sha1").alias("_sha1"))
+    drop = F.broadcast(drop) if revisits.count() <= most_sent else drop.hint("merge")
+    responses = paid.join(drop, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha1") == F.col("_sha1")), "left_anti")
+    responses = responses.select("page_id", "url", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "sha1", "size", "payload")
+    return responses.unionByName(revisits.withColumn("payload", F.lit(None).cast("binary")))
 
 
 def _base32(digest) -> str:
@@ -47,30 +53,46 @@ def _record_id(page_id: int | None) -> str:
     return f"<urn:page:{'none' if page_id is None else page_id}>"
 
 
-def _write_record(out, row: dict, payload: memoryview) -> int:
-    """One gzip member: headers, then the payload block by block (none for a revisit)."""
-    digest = hashlib.sha1()
-    for at in range(0, len(payload), _BLOCK):
-        digest.update(payload[at : at + _BLOCK])
-    body = payload if row["record_type"] == "response" else payload[:0]
-    lines = [
-        "WARC/1.1",
-        f"WARC-Type: {row['record_type']}",
-        f"WARC-Record-ID: {_record_id(row['page_id'])}",
-        "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Payload-Digest: sha1:{_base32(digest)}",
-        "Content-Type: text/html; charset=utf-8",
-    ]
-    if row["url"] is not None:
-        lines.append("WARC-Target-URI: " + row["url"].encode("unicode_escape").decode())
-    if row["refers_to"] is not None:
-        lines += [f"WARC-Refers-To: {_record_id(row['refers_to'])}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    lines.append(f"Content-Length: {len(body)}")
-    squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
-    written = out.write(squeeze.compress(("\r\n".join(lines) + "\r\n\r\n").encode()))
-    for at in range(0, len(body), _BLOCK):
-        written += out.write(squeeze.compress(body[at : at + _BLOCK]))
-    return written + out.write(squeeze.compress(b"\r\n\r\n")) + out.write(squeeze.flush())
+class _Writer:
+    """Writes records to an archive, a gzip member each, from their chunks in order."""
+
+    def __init__(self, path: str) -> None:
+        self.path, self.records, self.bytes, self._out, self._squeeze = path, 0, 0, None, None
+
+    def chunk(self, row: dict, data: memoryview | None) -> None:
+        if row["chunk_no"] == 0:
+            self._begin(row)
+        if data is not None:
+            self._put(data)
+        if row["last"]:
+            self._put(b"\r\n\r\n")
+            self.bytes += self._out.write(self._squeeze.flush())
+            self.records += 1
+
+    def _put(self, data) -> None:
+        self.bytes += self._out.write(self._squeeze.compress(data))
+
+    def _begin(self, row: dict) -> None:
+        self._out = self._out or _opened(self.path)
+        self._squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
+        lines = [
+            "WARC/1.1",
+            f"WARC-Type: {row['record_type']}",
+            f"WARC-Record-ID: {_record_id(row['page_id'])}",
+            "WARC-Date: 1970-01-01T00:00:00Z",
+            f"WARC-Payload-Digest: sha1:{base64.b32encode(row['sha1']).decode()}",
+            "Content-Type: text/html; charset=utf-8",
+        ]
+        if row["url"] is not None:
+            lines.append("WARC-Target-URI: " + row["url"].encode("unicode_escape").decode())
+        if row["refers_to"] is not None:
+            lines += [f"WARC-Refers-To: {_record_id(row['refers_to'])}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines.append(f"Content-Length: {row['size'] if row['record_type'] == 'response' else 0}")
+        self._put(("\r\n".join(lines) + "\r\n\r\n").encode())
+
+    def close(self) -> None:
+        if self._out is not None:
+            self._out.close()
 
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
@@ -83,24 +105,33 @@ def _opened(path: str):
     return store.open_output_stream(at)
 
 
+def chunked(records: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
+    """The chunked record table to be written: a row for each (record, chunk number), cut before any of
+    it goes to Python. A record's chunks follow each other in one task; a revisit has one, without
+    data."""
+    n = F.greatest(F.ceil(F.octet_length("payload") / chunk_bytes), F.lit(1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1), lambda i: F.struct((i + 1 == F.coalesce(n, F.lit(1))).alias("last"), F.substring(F.col("payload"), i * chunk_bytes + 1, F.lit(chunk_bytes)).alias("data")))
+    fixed = ["page_id", "url", "record_type", "refers_to", "sha1", "size"]
+    return records.select(*fixed, F.posexplode(pieces).alias("chunk_no", "piece")).select(*fixed, "chunk_no", "piece.last", "piece.data")
+
+
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """Write a .warc.gz for each task to a shared folder; return the written table of their paths.
 
-    A task that is run again writes another file; only files of finished tasks are in the table."""
+    Payloads come in chunks and are written as they come, so no task holds a whole record in Python. A
+    task that is run again writes another file; only files of finished tasks are in the table."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, out, n, size = f"{folder}/{uuid.uuid4().hex}.warc.gz", None, 0, 0
+        out = _Writer(f"{folder}/{uuid.uuid4().hex}.warc.gz")
         for batch in batches:
-            plain = batch.select(["page_id", "url", "record_type", "refers_to"]).to_pylist()
-            for row, payload in zip(plain, batch.column("payload")):
-                out = out or _opened(path)
-                size += _write_record(out, row, memoryview(payload.as_buffer()))
-                n += 1
-        if out:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"path": [path], "records": [n], "bytes": [size]})
-
-    return settle(records.mapInArrow(write, _MANIFEST), "warc-manifest")
+            plain = batch.drop_columns(["data"]).to_pylist()
+            for row, data in zip(plain, batch.column("data")):
+                out.chunk(row, memoryview(data.as_buffer()) if data.is_valid else None)
+        out.close()
+        if out.records:
+            yield pa.RecordBatch.from_pydict({"path": [out.path], "records": [out.records], "bytes": [out.bytes]})
+
+    return settle(chunked(records).mapInArrow(write, _MANIFEST), "warc-manifest")
 
 
 class _Members:

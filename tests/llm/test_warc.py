@@ -1,9 +1,10 @@
 import base64
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
-from quorate.llm.warc import archive_digests, read_chunks, record_plan, write_archives
+from quorate.llm.warc import archive_digests, chunked, read_chunks, record_plan, write_archives
 
 SCHEMA = "page_id long, url string, html string, digest string, head long"
 
@@ -52,3 +53,23 @@ def test_archives_are_read_by_a_task_each(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert archive_digests(spark.createDataFrame([], SCHEMA), str(tmp_path / "d")).collect() == []
+
+
+def test_payloads_beyond_an_arrow_batch_are_cut_before_python(spark, tmp_path):
+    long = random.Random(1).randbytes(13_000_000).hex()
+    df = spark.createDataFrame([(1, "u", long), (2, "u", "short"), (3, "u", long)], "page_id long, url string, html string").repartition(1)
+    table = chunked(record_plan(df))
+    sizes = {(r.page_id, r.chunk_no): r.n for r in table.select("page_id", "chunk_no", F.octet_length("data").alias("n")).collect()}
+    assert sizes == {(1, 0): None, (2, 0): 5} | {(3, i): min(1 << 20, 26_000_000 - (i << 20)) for i in range(25)}
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to, r.payload_digest) for r in archive_digests(df, str(tmp_path / "f")).collect()}
+    sha = base64.b32encode(hashlib.sha1(long.encode()).digest()).decode()
+    assert got[1] == (26_000_000, "revisit", 3, sha) and got[3] == (26_000_000, "response", None, sha) and got[2][:3] == (5, "response", None)
+
+
+def test_many_revisits_are_joined_not_sent(spark):
+    df = spark.createDataFrame(pages(), SCHEMA)
+    plain = [c for c in record_plan(df).columns]
+    sent, joined = (sorted(map(str, record_plan(df, most_sent=n).collect())) for n in (10**6, 0))
+    assert sent == joined and plain == ["page_id", "url", "record_type", "refers_to", "sha1", "size", "payload"]
+    plan = record_plan(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
