@@ -76,6 +76,27 @@ class Forest:
         return seen
 
 
+def share_for(forest: Forest, k: int, recall: float, queries: int = 128) -> float:
+    """The share of all trees' rows that visits must hold to find ``recall`` of the true neighbours: as
+    measured on the first ``queries`` sampled vectors against the whole sample. Of more rows the k
+    nearest are nearer, so it errs to the safe side."""
+    sample = forest.sample
+    leaf_of = forest.leaves(sample)
+    population = np.stack([np.bincount(leaves, minlength=2**forest.depth) for leaves in leaf_of])
+    asked = np.arange(min(queries, len(sample)))
+    scores = sample[asked] @ sample.T
+    scores[asked, asked] = -np.inf
+    found_at = []
+    for i in asked:
+        near = np.argpartition(-scores[i], min(k, len(sample) - 1) - 1)[: min(k, len(sample) - 1)]
+        held, at = 0, np.ones((len(forest.planes), 2**forest.depth))
+        for tree, leaf in forest.visits(sample[i], population, np.inf):
+            held += population[tree, leaf]
+            at[tree, leaf] = held / population.sum()
+        found_at.append(np.take_along_axis(at, leaf_of[:, near], axis=1).min(axis=0))
+    return float(np.quantile(np.concatenate(found_at), recall)) if len(sample) > 1 else 1.0
+
+
 def grow(sample: np.ndarray, rows: int, radius: float, trees: int, leaf_rows: int, seed: int = 3) -> Forest:
     """Trees cut at medians of random projections of the sample, as deep as ``leaf_rows`` asks for and
     three levels at least, but with 16 sampled rows in a leaf."""
@@ -95,15 +116,16 @@ def grow(sample: np.ndarray, rows: int, radius: float, trees: int, leaf_rows: in
 
 
 def nearest(
-    vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 2, share: float = 0.55, sample_rows: int = 16_000, leaf_rows: int = 2048, block: int = 4096
+    vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 2, share: float | None = None, recall: float = 0.96, sample_rows: int = 16_000, leaf_rows: int = 2048, block: int = 4096
 ) -> DataFrame:
     """For each vector whose vec_id is divisible by ``every``, its ``k`` neighbours of largest inner
     product among the candidates found.
 
     The trees are fitted on a sample of at most ``sample_rows`` vectors (those whose hashed vec_id is
     least); every vector is put in a leaf of each. A query visits leaves until they hold ``share`` of
-    all trees' rows. 0.55 is for vectors without any structure, whose neighbours are hardly nearer
-    than other vectors; clustered ones need far less. Visited leaves are compared exactly: leaves and
+    all trees' rows; by default the share at which sampled queries find ``recall`` of their neighbours
+    in the sample. Vectors without any structure, whose neighbours are hardly nearer than others, need
+    more than half of all; clustered ones far less. Visited leaves are compared exactly: leaves and
     their visits are cut to blocks of ``block`` rows, and each pair of blocks is a group, so a leaf
     full of copies is not one task's. Each group returns at most ``k`` rows for a query, and none below
     the k-th score among the sampled vectors of the leaves visited.
@@ -124,7 +146,9 @@ def nearest(
     radius = rows.agg(F.max(norm)).first()[0]
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()  # at most sample_rows
     _, once = np.unique(sample.column("vec_id").to_numpy(), return_index=True)
-    forest = spark.sparkContext.broadcast(grow(matrix(sample.column("embedding").combine_chunks())[once], lengths[1], radius, trees, leaf_rows))
+    grown = grow(matrix(sample.column("embedding").combine_chunks())[once], lengths[1], radius, trees, leaf_rows)
+    share = share_for(grown, k, recall) if share is None else share
+    forest = spark.sparkContext.broadcast(grown)
 
     def put(batches):
         for batch in batches:
