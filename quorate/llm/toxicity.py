@@ -84,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, settings: Ftrl =
 
     Whole texts are turned to slots where they lie; one task reads the slots of these rows and
     learns. Only the sparse weights reach the driver. Rows with a null label or doc_id are not used,
-    and of labels that repeat a doc_id the largest counts. Without rows of both labels all scores
+    of labels that repeat a doc_id the largest counts, and of documents that do the least text. Without rows of both labels all scores
     are equal."""
     sample = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -96,7 +96,8 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, settings: Ftrl =
     )
     sample = settle(sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")), "toxicity-sample")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    labelled = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")  # most_rows rows at most
+    labelled = texts.join(F.broadcast(sample), "doc_id")  # most_rows rows at most
+    labelled = labelled.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one for each, however often a doc_id is repeated
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -44,3 +44,19 @@ def test_stages(spark, folder):
     packed = corpus_pipeline.run(spark, folder).collect()
     assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
     assert sum(r.piece == 0 for r in packed) == mixed.count()
+
+
+def test_stages_take_empty_long_null_and_oddly_named_rows(spark, folder):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size string, signature string, _rank string, score string, copy string"
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 150}" for j in range(20)), "en", "a", 1, "s", "g", f"r{i}", "c", "p") for i in range(40)]
+    rows += [(None, None, None, None, None, *"sgrcp"), (50, None, "en", None, 1, *"sgrcp"), (51, "", "en", "b", 1, *"sgrcp"), (52, "very long " * 60_000, "en", "b", 1, *"sgrcp"), (53, "tie", "en", "b", 1, *"sgrcp"), (53, "tie", "en", "b", 1, *"sgrcp")]
+    for n, docs in enumerate((spark.createDataFrame(rows, schema), spark.createDataFrame([], schema))):
+        names, want = docs.columns, {r[7] for r in rows}
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            docs = stage(spark, docs, folder)
+            assert docs.columns == names
+            docs.write.parquet(f"{folder}/odd{n}-{k}")
+            docs = spark.read.schema(docs.schema).parquet(f"{folder}/odd{n}-{k}")
+            assert {r[0] for r in docs.select("_rank").collect()} <= want
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+        assert bool(packed) == (n == 0) and sum(r.piece == 0 for r in packed) == docs.count()
