@@ -2,6 +2,9 @@
 
 Each stage works on all rows that the one before it kept. A stage takes (spark, docs, sf_dir) and
 returns a DataFrame; ``run`` writes it as Parquet to the shared folder, and the next one reads it.
+
+All stages take texts of any length whole, rows with nulls in any column, tables without rows (which
+stay so) and further columns under any name, which come back as they were from all but the last.
 """
 
 from __future__ import annotations
@@ -17,22 +20,27 @@ from quorate.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.7."""
+    """Documents whose toxicity score is below 0.7. Null and empty texts have the score of the bias
+    alone; equal texts stay or go together, and rows that repeat stay as often as they are there."""
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at 0.8, the one with the least id."""
+    """Of each group of documents linked by five-word shingles at 0.8, the one with the least id. Null
+    and empty texts link with nothing, and so do rows without doc_id, which all stay; of rows of one
+    doc_id the one with the least text stays, a null one only where there is no other."""
     return one_of_each_group(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of the sources takes it."""
+    """Each document as often as the mix of the sources takes it, three times at most. A null source is
+    one, the last. Texts without words weigh nothing and are taken as others are. Ties go by doc_id."""
     return mixed_rows(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes in sequences of 2048 tokens."""
+    """Where each piece of each document goes in sequences of 2048 tokens. Null and empty texts are the
+    id 0 alone; rows that repeat are packed each; other columns are left out."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
