@@ -63,34 +63,86 @@ def drop_foreign_messages(log: DataFrame, requests: DataFrame) -> DataFrame:
     return log.join(requests.select("exec_id", "parent_id"), ["exec_id", "parent_id"], "left_semi")
 
 
+def _log_parts(log: DataFrame, variant: str) -> tuple[Column, Column]:
+    """What a message adds to its run's output, and to its errors; null where nothing."""
+    stream = F.when(F.col("msg_type") == "stream", F.col("text")).when(F.col("msg_type").isin("execute_result", "display_data") & (F.coalesce("plain_text", F.lit("")) != ""), T.ensure_trailing_newline(F.col("plain_text")))
+    to_out = (F.col("msg_type") != "stream") | (F.col("stream_name") == "stdout")
+    error = F.when(F.col("msg_type") == "error", T.filter_traceback(F.coalesce("traceback", F.array().cast("array<string>")), variant)).when((F.col("msg_type") == "stream") & (F.col("stream_name") != "stdout"), F.col("text"))
+    return F.when(to_out, stream), error
+
+
+def _idle(log: DataFrame) -> Column:
+    """The number of a message that says the run is idle."""
+    return F.when((F.col("msg_type") == "status") & (F.col("execution_state") == "idle"), F.col("seq"))
+
+
+def _timed_out(variant: str, timeout_s: float) -> str:
+    return (f"[ERROR] Timed out after {timeout_s:g}s", f"[ERROR] Execution timed out after {timeout_s:g} seconds")[variant == "tool"]
+
+
 def fold_exec_log(log: DataFrame, variant: str = "plain", timeout_s: float | None = None) -> DataFrame:
     """(exec_id, output): messages up to the first idle status folded to one text.
 
-    A run that is not idle within ``timeout_s`` gets an error instead."""
-    until = F.min(F.when((F.col("msg_type") == "status") & (F.col("execution_state") == "idle"), F.col("seq"))).over(Window.partitionBy("exec_id"))
+    A run that is not idle within ``timeout_s`` gets an error instead. A run's output is one value; for
+    runs of any length see ``fold_exec_log_segments``."""
+    until = F.min(_idle(log)).over(Window.partitionBy("exec_id"))
     cut = log.withColumn("_idle", until)
     used = F.col("_idle").isNull() | (F.col("seq") < F.col("_idle"))
-    stream = F.when(F.col("msg_type") == "stream", F.col("text")).when(F.col("msg_type").isin("execute_result", "display_data") & (F.coalesce("plain_text", F.lit("")) != ""), T.ensure_trailing_newline(F.col("plain_text")))
-    to_out = (F.col("msg_type") != "stream") | (F.col("stream_name") == "stdout")
-    error = F.when(F.col("msg_type") == "error", T.filter_traceback(F.coalesce("traceback", F.array().cast("array<string>")), variant)).when((F.col("msg_type") == "stream") & (F.col("stream_name") != "stdout"), F.col("text"))
+    out, error = _log_parts(log, variant)
 
-    def gathered(kept: Column, text: Column) -> Column:
-        parts = F.array_sort(F.collect_list(F.when(used & kept & text.isNotNull(), F.struct(F.col("seq").alias("o"), text.alias("t")))))
+    def gathered(text: Column) -> Column:
+        parts = F.array_sort(F.collect_list(F.when(used & text.isNotNull(), F.struct(F.col("seq").alias("o"), text.alias("t")))))
         return F.array_join(F.transform(parts, lambda p: p["t"]), "")
 
-    folded = cut.groupBy("exec_id").agg(
-        gathered(to_out, stream).alias("out"),
-        gathered(F.lit(True), error).alias("err"),
-        F.max("_idle").alias("idle"),
-        F.max("elapsed_s").alias("elapsed_s"),
-    )
+    folded = cut.groupBy("exec_id").agg(gathered(out).alias("out"), gathered(error).alias("err"), F.max("_idle").alias("idle"), F.max("elapsed_s").alias("elapsed_s"))
     output = T.format_exec_output(F.col("out"), F.col("err"), variant)
     if timeout_s is not None:
-        words = (f"[ERROR] Timed out after {timeout_s:g}s", f"[ERROR] Execution timed out after {timeout_s:g} seconds")[variant == "tool"]
-        output = F.when(F.col("idle").isNull() | (F.col("elapsed_s") > timeout_s), F.lit(words)).otherwise(output)
+        output = F.when(F.col("idle").isNull() | (F.col("elapsed_s") > timeout_s), F.lit(_timed_out(variant, timeout_s))).otherwise(output)
     return folded.select("exec_id", output.alias("output"))
 
 
+def fold_exec_log_segments(log: DataFrame, variant: str = "plain", timeout_s: float | None = None, limit: int = 16 << 20) -> DataFrame:
+    """(exec_id, segment, text): what ``fold_exec_log`` gives, in segments of some ``limit`` bytes, however
+    long a run's log is. Messages of one number are in no certain order.
+
+    What a run's messages come to (idle, where its output and its errors end in something other than white
+    space) is an aggregate of few bytes, joined back; white space at the ends goes message by message."""
+    idle = log.groupBy("exec_id").agg(F.min(_idle(log)).alias("_idle"), F.max("elapsed_s").alias("_took"))
+    known = log.join(idle.hint("merge"), "exec_id")
+    out, error = _log_parts(log, variant)
+    used = F.col("_idle").isNull() | (F.col("seq") < F.col("_idle"))
+    both = known.select("exec_id", "seq", F.explode(F.array(F.struct(F.lit(0).alias("stream"), out.alias("text")), F.struct(F.lit(1).alias("stream"), error.alias("text")))).alias("p"), used.alias("_used"))
+    parts = both.where("_used").select("exec_id", F.struct("p.stream", "seq").alias("at"), F.col("p.stream").alias("stream"), F.col("p.text").alias("text")).where("text <> ''")
+
+    def last(stream: int, kept: Column) -> Column:
+        return F.max(F.when((F.col("stream") == stream) & kept, F.col("at")))
+
+    full = T.strip(F.col("text")) != ""
+    ends = parts.groupBy("exec_id").agg(last(0, full).alias("out_end"), last(1, full).alias("err_end"), last(0, F.lit(True)).alias("out_last"), last(1, F.lit(True)).alias("err_last"))
+    # Which errors and which output there are: with white space only they count in one variant.
+    has_err = F.col("err_end" if variant == "plain" else "err_last").isNotNull()
+    has_out = F.col("out_end").isNotNull()
+    bare_out = F.lit(True) if variant == "plain" else has_err
+    out_until = F.when(bare_out, F.col("out_end")).otherwise(F.when(has_out, F.col("out_last")))
+    err_until = F.col("err_end" if variant == "plain" else "err_last")
+    met = parts.join(ends.hint("merge"), "exec_id")
+    stays = F.when(F.col("stream") == 0, F.col("at") <= out_until).otherwise(F.col("at") <= err_until)
+    strips = F.when(F.col("stream") == 0, bare_out & (F.col("at") == F.col("out_end"))).otherwise(F.lit(variant == "plain") & (F.col("at") == F.col("err_end")))
+    # In the tool variant output that is all white space still parts from the errors by a line end.
+    text = F.when(strips, T.strip_right(F.col("text"))).otherwise(F.col("text"))
+    text = F.when((F.col("stream") == 0) & (F.col("at") == F.col("out_end")) & has_err, F.concat(text, F.lit("\n"))).otherwise(text)
+    told = met.where(stays).select("exec_id", "at", text.alias("text"))
+    if variant == "tool":
+        blank = ends.where(F.col("out_end").isNull() & F.col("out_last").isNotNull() & has_err).select("exec_id", F.struct(F.lit(0).alias("stream"), F.col("out_last.seq").alias("seq")).alias("at"), F.lit("\n").alias("text"))
+        told = told.unionByName(blank)
+    late = F.lit(False) if timeout_s is None else F.col("_idle").isNull() | (F.col("_took") > timeout_s)
+    state = idle.join(ends.hint("merge"), "exec_id", "left").select("exec_id", F.coalesce(late, F.lit(False)).alias("late"), (~has_err & ~has_out).alias("silent"))
+    fixed = F.when(F.col("late"), F.lit(_timed_out(variant, timeout_s or 0.0))).otherwise(F.lit(T.NO_OUTPUT[variant]))
+    whole = state.where("late or silent").select("exec_id", F.lit(0).alias("segment"), fixed.alias("text"))
+    told = told.join(state.where("not late and not silent").hint("merge"), "exec_id", "left_semi")
+    return ordered_segments(told, ["exec_id"], "at", F.col("text"), limit).unionByName(whole)
+
+
 def assemble_trace(messages: DataFrame, attempts: DataFrame, problems: DataFrame) -> DataFrame:
     """Problems with their attempts, and these with their messages, in order."""
     inner = messages.groupBy("problem_id", "attempt").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("m"))

@@ -171,6 +171,25 @@ def fold_exec_log_tool(spark, d):
     return A.fold_exec_log(_log(spark, d), "tool", 300.0)
 
 
+for _variant, _words in (("plain", "[ERROR] Timed out after 300s"), ("tool", "[ERROR] Execution timed out after 300 seconds")):
+
+    def _fold_segments(spark, d, variant=_variant):
+        segments = A.fold_exec_log_segments(_log(spark, d), variant, 300.0, 40)
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("segment", "text"))), lambda p: p["text"])
+        return segments.groupBy("exec_id").agg(F.array_join(parts, "").alias("output"))
+
+    _fold_segments.__name__ = "fold_exec_log_segments" + ("_tool" if _variant == "tool" else "")
+    query(_fold_sql(_variant, _words), "exec_log")(_fold_segments)
+
+
+@query("SELECT conv_id AS problem_id, (turn % 2)::INT AS attempt, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS whole, count(*) AS turns FROM conversations GROUP BY ALL")
+def trace_segments(spark, d):
+    said = table(spark, d, "conversations").select(F.col("conv_id").alias("problem_id"), (F.col("turn") % 2).cast("int").alias("attempt"), "turn", "role", F.col("text").alias("content"))
+    segments = A.trace_segments(said, 500).groupBy("problem_id", "attempt").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("segment", "messages"))), lambda s: s["messages"])).alias("m"))
+    joined = F.array_join(F.transform("m", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
+    return segments.select("problem_id", "attempt", F.md5(joined.cast("binary")).alias("whole"), F.size("m").cast("long").alias("turns"))
+
+
 @query("SELECT source, doc_id // 1000 AS part, sum(1)::BIGINT AS attempts, string_agg(doc_id || ':' || lang, ' ' ORDER BY doc_id) AS digest FROM documents GROUP BY source, doc_id // 1000")
 def assemble_trace(spark, d):
     docs = table(spark, d, "documents").select("source", F.expr("doc_id div 1000").alias("part"), "doc_id", "lang").withColumn("problem_id", F.concat_ws("/", "source", "part"))

@@ -93,3 +93,26 @@ def test_a_csv_file_cut_in_blocks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     with pytest.raises(ValueError, match="has the columns"):
         tables.scan_problems(spark, str(path), "id string, question string")
+
+
+@pytest.mark.parametrize("variant", ["plain", "tool"])
+@pytest.mark.parametrize("timeout", [None, 6.0])
+def test_folded_logs_in_segments(spark, variant, timeout):
+    said = [["out  ", " \n"], [" \n", "\t"], ["a\n", "b ", "  "], [], ["", "x"]]
+    errs = [["bad ", " \n"], [" "], [], ["e1\n", "e2 \n", " "]]
+    rows = []
+    for i, out in enumerate(said):
+        for j, err in enumerate(errs):
+            texts = [("stdout", t) for t in out] + [("stderr", t) for t in err]
+            texts = texts[::2] + texts[1::2] if (i + j) % 2 else texts
+            rows += [(f"{i}{j}", n, "stream", name, t, None, None, None, float(i + j)) for n, (name, t) in enumerate(texts)]
+            rows += [(f"{i}{j}", 50, "execute_result", None, None, None, "7" if (i + j) % 3 == 0 else "", None, 1.0)]
+            rows += [(f"{i}{j}", 60, "error", None, None, ["tb", 'File "lib"'], None, None, 1.0)] if (i + j) % 4 == 0 else []
+            rows += [(f"{i}{j}", 70 if j % 2 else 55, "status", None, None, None, None, "idle", 1.0)] if i != 1 else []
+    log = spark.createDataFrame(rows, "exec_id string, seq int, msg_type string, stream_name string, text string, traceback array<string>, plain_text string, execution_state string, elapsed_s double")
+    want = {r.exec_id: r.output for r in attempts.fold_exec_log(log, variant, timeout).collect()}
+    for limit in (1, 1 << 20):
+        found = defaultdict(dict)
+        for r in attempts.fold_exec_log_segments(log, variant, timeout, limit).collect():
+            found[r.exec_id][r.segment] = r.text
+        assert {k: "".join(v[i] for i in range(len(v))) for k, v in found.items()} == want
