@@ -166,16 +166,16 @@ def rolling_chunk_scan(chunks: DataFrame, keys: list[str], look_back: int = 32)
     """Per turn the first chunk, with tokens and a closing brace, whose last ``look_back`` texts hold
     an answer: keys, chunk_no, answer. A null text is empty.
 
-    A turn's chunks with tokens are put together in blocks of ``look_back``; a block and the one before
-    it hold all that its braces look back on. So texts are copied twice at most, and only braces make
-    windows, each scanned once. Windows, blocks and the first hit share one shuffle, by ``keys``."""
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("chunk_no")) - 1
-    seen = chunks.where("n_tokens > 0").select(*keys, "chunk_no", F.coalesce("text", F.lit("")).alias("text")).withColumn("_no", number)
-    parts = F.sort_array(F.collect_list(F.struct("_no", "chunk_no", "text")))
-    blocks = seen.groupBy(*keys, F.floor(F.col("_no") / look_back).alias("_block")).agg(parts.alias("_parts"))
-    earlier = F.lag("_parts").over(Window.partitionBy(*keys).orderBy("_block"))
-    nothing = F.slice("_parts", 1, 0)
-    blocks = blocks.withColumn("_all", F.concat(F.coalesce(earlier, nothing), "_parts")).withColumn("_first", F.size("_all") - F.size("_parts"))
+    A turn's chunks with tokens are put together in blocks by number, partly before the one shuffle, by
+    ``keys``. A block and those before it that end within twice ``look_back`` chunks hold all that its
+    braces look back on. So texts are copied a few times only, and only braces make windows, each
+    scanned once."""
+    seen = chunks.where("n_tokens > 0").select(*keys, "chunk_no", F.coalesce("text", F.lit("")).alias("text"))
+    blocks = seen.groupBy(*keys, F.floor(F.col("chunk_no") / look_back).alias("_block")).agg(F.sort_array(F.collect_list(F.struct("chunk_no", "text"))).alias("_parts"))
+    by_block = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.withColumn("_end", F.sum(F.size("_parts")).over(by_block))  # of the chunks with tokens so far
+    near = Window.partitionBy(*keys).orderBy("_end").rangeBetween(1 - 2 * look_back, 0)
+    blocks = blocks.withColumn("_all", F.flatten(F.collect_list("_parts").over(near))).withColumn("_first", F.size("_all") - F.size("_parts"))
     braces = F.filter(F.sequence(F.col("_first"), F.size("_all") - 1), lambda i: F.get("_all", i)["text"].contains("}"))
 
     def scanned(i: Column) -> Column:
