@@ -77,6 +77,7 @@ def _idle(log: DataFrame) -> Column:
 
 
 def _timed_out(variant: str, timeout_s: float) -> str:
+    # What a run that takes too long writes.
     return (f"[ERROR] Timed out after {timeout_s:g}s", f"[ERROR] Execution timed out after {timeout_s:g} seconds")[variant == "tool"]
 
 

@@ -8,6 +8,7 @@ from quorate.functions import numeric as N
 from quorate.functions import text as T
 from quorate.plans.bindings import bound, query, table
 
+# The patterns of answers, think blocks and code, as the oracle's engine writes them.
 _S = T.SPACE
 _STRIP = rf"regexp_replace(@, '\A[{_S}]+|[{_S}]+$', '', 'g')"
 _RSTRIP = rf"regexp_replace(@, '[{_S}]+$', '')"
