@@ -163,6 +163,13 @@ def encoder(tokenizer_path: str) -> ChunkIds:
     return _encoders[tokenizer_path]
 
 
+def encoder_at_rest() -> None:
+    """Forget what this worker's encoders remember, and give memory back: for stages that are followed by
+    others with large tables of their own."""
+    _encoders.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
     """Documents as runs of ids, each ended by id 0, cut only where longer than ``capacity``.
 
