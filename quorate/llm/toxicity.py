@@ -103,6 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, settings: Ftrl =
         for batch in batches:
             found = [np.unique(features(t.as_py() or b"", settings.bits)).astype(np.int32).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())], names=["doc_id", "toxic", "slots"])
+        _words.forget()
 
     rows = settle(labelled.mapInArrow(slots, "doc_id long, toxic int, slots binary"), "toxicity-slots")
 
@@ -138,6 +139,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: in
                 at = features(text.as_py() or b"", bits)
                 total[i] += table[np.unique(at[used[at]])].sum()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=[*names, "score"])
+        _words.forget()  # workers stay, and the next stage may need the memory
 
     return kept.mapInArrow(scored, schema)
 
