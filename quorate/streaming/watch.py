@@ -6,11 +6,15 @@ behind the watermark, don't count."""
 
 from __future__ import annotations
 
+import pickle
 import re
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,49 +24,86 @@ from quorate.functions import text as T
 from quorate.operators.batches import check_counts
 
 
-def _with_state(df: DataFrame, keys: list[str], processor: StatefulProcessor, out: str, time: str, delay: str, initial: DataFrame | None = None) -> DataFrame:
-    """``df`` by event time, through a processor. Workers of state processors don't see what the session
-    ships to executors, so the processor's code is pickled with it."""
-    timed = df.withColumn(time, F.col(time).cast("timestamp")).where(F.col(time).isNotNull()).withColumn("time_ms", F.unix_millis(time)).withWatermark(time, delay)
+def _with_state(df: DataFrame, buckets: int, keys: list[str], processor: StatefulProcessor, out: str, time: str, delay: str, initial: DataFrame | None = None) -> DataFrame:
+    """``df`` by event time, through a processor that holds the state of all keys of a bucket at once: a
+    call of Python, its frames and its state cost more than the rows of most keys. Workers of state
+    processors don't see what the session ships to executors, so the processor's code is pickled with it."""
+    bucket = F.pmod(F.hash(*keys), F.lit(buckets)).alias("bucket_no")  # pandas renames what begins with _
+    timed = df.withWatermark(time, delay).select("*", bucket)
     here = sys.modules[__name__]
     cloudpickle.register_pickle_by_value(here)
     try:
-        return timed.groupBy(*keys).transformWithStateInPandas(processor, out, "append", "eventTime", initial.groupBy(*keys) if initial is not None else None)
+        return timed.groupBy("bucket_no").transformWithStateInPandas(processor, out, "append", "eventTime", initial.select("*", bucket).groupBy("bucket_no") if initial is not None else None)
     finally:
         cloudpickle.unregister_pickle_by_value(here)
 
 
+def _timed(df: DataFrame, time: str) -> DataFrame:
+    return df.withColumn(time, F.col(time).cast("timestamp")).where(F.col(time).isNotNull()).withColumn("time_ms", F.unix_millis(time))
+
+
+def _folded(df: DataFrame, keys: list[str], time: str, columns: list[str]) -> DataFrame:
+    """Rows of a key that stand together become one: lists of ``columns``, and the latest time. A row
+    that is late stays in its list, with its own time in ``time_ms``."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            begins = np.ones(n, bool)
+            begins[1:] = False
+            for column in (batch.column(k) for k in keys):
+                begins[1:] |= pc.fill_null(pc.not_equal(column.slice(0, n - 1), column.slice(1)), True).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(begins)
+            offsets = pa.array(np.append(starts, n).astype("int32"))
+            times = batch.column(time)
+            latest = pa.array(np.maximum.reduceat(times.cast(pa.int64()).to_numpy(zero_copy_only=False), starts)).cast(times.type)
+            lists = [pa.ListArray.from_arrays(offsets, batch.column(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(starts)) for k in keys), latest, *lists], [*keys, time, *columns])
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    out = [*(f"`{c}` {types[c]}" for c in [*keys, time]), *(f"`{c}` array<{types[c]}>" for c in columns)]
+    return df.select(*keys, time, *columns).mapInArrow(fold, ", ".join(out))
+
+
 class _InOrder(StatefulProcessor):
     """Rows of a key in the order of a number from 0: they wait until those before them are there, or
     until the watermark has passed the first that waits, as a missing one would be late by then.
-    ``step`` takes each; when it returns a row, that is passed on and nothing more, and what was
-    gathered goes at once. A key without rows for ``idle_ms`` ends; rows that still come begin anew."""
+    ``steps`` takes those that follow each other; when it returns a row, that is passed on and nothing
+    more, and what was gathered goes at once. A key without rows for ``idle_ms`` ends; rows that still
+    come begin anew. A bucket's state is one value, with one timer, for the first key that is due."""
 
-    number, columns, waits, memory, out = "", (), "", "", ()
+    number, columns, out = "", (), ()
 
     def __init__(self, idle_ms: int) -> None:
         self._idle = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._state = handle.getValueState("state", f"next_no long, done boolean, last_ms long, timer_ms long, numbers array<long>, times array<long>, {self.waits}, {self.memory}")
+        self._state = handle.getValueState("state", "timer_ms long, held binary")
 
-    def begin(self) -> tuple:
-        """What is remembered at first: one value for each column of ``memory``."""
+    def begin(self) -> list:
+        """What is remembered at first."""
         raise NotImplementedError
 
-    def step(self, memory: list, no: int, *values):
-        """Take a row; return what is to be passed on, or None. ``memory`` may be changed."""
+    def steps(self, memory: list, rows: list[tuple]):
+        """Take rows (number, values); return what is to be passed on, or None. ``memory`` may be changed."""
         raise NotImplementedError
 
-    def _read(self) -> tuple[int, bool, int, int | None, dict, list]:
+    def _read(self) -> tuple[int | None, dict[str, list]]:
+        """By key: next number, whether it is done, time of its last row, rows that wait, memory."""
         if not self._state.exists():
-            return 0, False, 0, None, {}, list(self.begin())
-        next_no, done, last_ms, timer_ms, numbers, times, *rest = self._state.get()
-        held, memory = rest[: len(self.columns)], rest[len(self.columns) :]
-        return next_no, done, last_ms, timer_ms, {no: (ms, *values) for no, ms, *values in zip(numbers, times, *held)}, list(memory)
+            return None, {}
+        timer_ms, held = self._state.get()
+        return timer_ms, pickle.loads(held)
+
+    def _wake(self, of_key: list) -> int:
+        _, _, last_ms, waiting, _ = of_key
+        return waiting[min(waiting)][0] if waiting else last_ms + self._idle
 
-    def _go_on(self, key, next_no, done, last_ms, timer_ms, waiting, memory, watermark) -> Iterator[pd.DataFrame]:
+    def _go_on(self, of_key: list, watermark: int):
+        next_no, _, _, waiting, memory = of_key
         found = None
         while found is None and waiting:
             if next_no not in waiting:
@@ -70,85 +111,118 @@ class _InOrder(StatefulProcessor):
                 if waiting[first][0] > watermark:
                     break
                 next_no = first
-            found = self.step(memory, next_no, *waiting.pop(next_no)[1:])
-            next_no += 1
+            rows = []
+            while next_no in waiting:
+                rows.append((next_no, *waiting.pop(next_no)[1:]))
+                next_no += 1
+            found = self.steps(memory, rows)
+        of_key[0] = next_no
         if found is not None:
-            done, waiting, memory = True, {}, list(self.begin())
-        wake = waiting[min(waiting)][0] if waiting else last_ms + self._idle
-        if wake != timer_ms:
-            if timer_ms is not None:
+            of_key[1], of_key[3], of_key[4] = True, {}, self.begin()
+        return found
+
+    def _write(self, held: dict[str, list], timer_ms: int | None, expired: bool = False) -> None:
+        wake = min(map(self._wake, held.values()), default=None)
+        if timer_ms != wake or expired:
+            if timer_ms is not None and not expired:
                 self._handle.deleteTimer(timer_ms)
-            self._handle.registerTimer(wake)
-        left = sorted((no, *row) for no, row in waiting.items())
-        self._state.update((next_no, done, last_ms, wake, *([row[i] for row in left] for i in range(2 + len(self.columns))), *memory))
-        if found is not None:
-            yield pd.DataFrame([(*key, *found)], columns=list(self.out))
+            if wake is not None:
+                self._handle.registerTimer(wake)
+        if held:
+            self._state.update((wake, pickle.dumps(held, protocol=5)))
+        else:
+            self._state.clear()
+
+    def _rows(self, hits: list[tuple]) -> Iterator[pd.DataFrame]:
+        if hits:
+            yield pd.DataFrame(hits, columns=["of_key", *self.out])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        next_no, done, last_ms, timer_ms, waiting, memory = self._read()
+        timer_ms, held = self._read()
+        watermark, seen = timerValues.getCurrentWatermarkInMs(), set()
         for batch in rows:
-            last_ms = max(last_ms, int(batch["time_ms"].max()))
-            if not done:
-                for no, ms, *values in zip(batch[self.number], batch["time_ms"], *(batch[c] for c in self.columns)):
-                    if no >= next_no:
-                        waiting[int(no)] = (int(ms), *(None if pd.isna(v) else v if isinstance(v, str) else int(v) for v in values))  # a column with nulls comes as floats
-        yield from self._go_on(key, next_no, done, last_ms, timer_ms, waiting, memory, timerValues.getCurrentWatermarkInMs())
+            for who, numbers, times, *values in zip(batch["of_key"], batch[self.number], batch["time_ms"], *(batch[c] for c in self.columns)):
+                in_time = [(no, ms, *row) for no, ms, *row in zip(numbers.tolist(), times.tolist(), *(v.tolist() for v in values)) if no is not None and no == no and not 0 < watermark >= ms]
+                if not in_time:
+                    continue
+                of_key = held.setdefault(who, [0, False, 0, {}, self.begin()])
+                of_key[2] = max(of_key[2], max(row[1] for row in in_time))
+                if not of_key[1]:
+                    of_key[3].update((int(no), row) for no, *row in in_time if no >= of_key[0])
+                    seen.add(who)
+        hits = [(who, *found) for who in seen if (found := self._go_on(held[who], watermark)) is not None]
+        if held:
+            self._write(held, timer_ms)
+        yield from self._rows(hits)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self._state.exists():
             return
-        next_no, done, last_ms, _, waiting, memory = self._read()
-        watermark = timerValues.getCurrentWatermarkInMs()
-        if not waiting and last_ms + self._idle <= watermark:
-            self._state.clear()
-            return
-        yield from self._go_on(key, next_no, done, last_ms, None, waiting, memory, watermark)
+        _, held = self._read()
+        watermark, hits = timerValues.getCurrentWatermarkInMs(), []
+        for who, of_key in list(held.items()):
+            if not of_key[3] and of_key[2] + self._idle <= watermark:
+                del held[who]
+            elif of_key[3] and (found := self._go_on(of_key, watermark)) is not None:
+                hits.append((who, *found))
+        self._write(held, None, expired=True)
+        yield from self._rows(hits)
 
     def close(self) -> None:
         pass
 
 
+def _in_order(df: DataFrame, keys: list[str], processor: _InOrder, out: str, time: str, delay: str, buckets: int) -> DataFrame:
+    folded = _folded(_timed(df, time), keys, time, [processor.number, "time_ms", *processor.columns])
+    of_keys = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    one = folded.withColumn("of_key", F.to_json(F.struct(*keys))).drop(*keys)
+    found = _with_state(one, buckets, ["of_key"], processor, f"of_key string, {out}", time, delay)
+    return found.select(F.from_json("of_key", of_keys).alias("of_key"), *processor.out).select("of_key.*", *processor.out)
+
+
 class _FirstHit(_InOrder):
     """The first chunk of a turn, with tokens and a closing brace, whose last texts hold an answer."""
 
-    number, columns, waits, memory = "chunk_no", ("n_tokens", "text"), "tokens array<int>, waiting array<string>", "texts array<string>"
-    out = ("problem_id", "attempt", "turn", "chunk_no", "answer")
+    number, columns, out = "chunk_no", ("n_tokens", "text"), ("chunk_no", "answer")
 
     def __init__(self, look_back: int, idle_ms: int, patterns: list[str]) -> None:
         super().__init__(idle_ms)
         self._look_back, self._patterns = look_back, patterns
 
-    def begin(self) -> tuple:
-        return ([],)
+    def begin(self) -> list:
+        return []
 
-    def step(self, memory, no, tokens, text):
-        if not tokens or tokens <= 0 or text is None:
-            return None
-        memory[0] = [*memory[0], text][-self._look_back :]
-        answer = last_answer("".join(memory[0]), self._patterns) if "}" in text else None
-        return None if answer is None else (no, answer)
+    def steps(self, memory, rows):
+        carrying = [(no, text) for no, tokens, text in rows if tokens and tokens > 0 and text is not None]
+        texts = memory + [text for _, text in carrying]
+        for at, (no, text) in enumerate(carrying, len(memory)):
+            if "}" in text:
+                answer = last_answer("".join(texts[max(0, at + 1 - self._look_back) : at + 1]), self._patterns)
+                if answer is not None:
+                    return no, answer
+        memory[:] = texts[-self._look_back :]
+        return None
 
 
 class _Votes(_InOrder):
     """Counts answers of a problem, until one has ``k`` votes."""
 
-    number, columns, waits, memory = "completion_no", ("completion_seq", "answer"), "seqs array<long>, votes array<int>", "seen array<int>, times_seen array<int>"
-    out = ("problem_id", "stop_seq", "answer")
+    number, columns, out = "completion_no", ("completion_seq", "answer"), ("stop_seq", "answer")
 
     def __init__(self, k: int, idle_ms: int) -> None:
         super().__init__(idle_ms)
         self._k = k
 
-    def begin(self) -> tuple:
-        return [], []
+    def begin(self) -> list:
+        return []  # the answers so far
 
-    def step(self, memory, no, seq, answer):
-        if answer is None:
-            return None
-        counts = dict(zip(*memory))
-        counts[int(answer)] = counts.get(int(answer), 0) + 1
-        memory[:] = list(counts), list(counts.values())
-        return (seq, int(answer)) if counts[int(answer)] >= self._k else None
+    def steps(self, memory, rows):
+        for _, seq, answer in rows:
+            if answer is not None and answer == answer:  # a list with nulls comes as floats
+                memory.append(int(answer))
+                if memory.count(int(answer)) >= self._k:
+                    return int(seq), int(answer)
+        return None
 
 
 def answer_patterns() -> list[str]:
@@ -166,63 +240,93 @@ def last_answer(text: str, patterns: list[str]) -> int | None:
     return None
 
 
-def stream_answer_watch(chunks: DataFrame, look_back: int = 32, time: str = "ts", delay: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
+def stream_answer_watch(chunks: DataFrame, look_back: int = 32, time: str = "ts", delay: str = "1 hour", idle_ms: int = 3_600_000, buckets: int = 4096) -> DataFrame:
     """A stream of (problem_id, attempt, turn, chunk_no, answer): the first answer of each turn, once.
 
     Chunks may come in any order and micro-batches: they wait for those before them, but for a missing
     one only until the watermark (``delay`` behind ``time``) has passed the chunk after it. The first
-    hit drops all that was gathered of the turn."""
+    hit drops all that was gathered of the turn. Turns are held in ``buckets``; chunks of a turn that
+    come one after the other travel as one row."""
     hit = _FirstHit(look_back, idle_ms, answer_patterns())
-    return _with_state(chunks, ["problem_id", "attempt", "turn"], hit, "problem_id long, attempt int, turn int, chunk_no int, answer int", time, delay)
+    return _in_order(chunks, ["problem_id", "attempt", "turn"], hit, "chunk_no int, answer int", time, delay, buckets)
 
 
-def stream_early_stop(attempts: DataFrame, k: int, time: str = "ts", delay: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
+def stream_early_stop(attempts: DataFrame, k: int, time: str = "ts", delay: str = "1 hour", idle_ms: int = 3_600_000, buckets: int = 4096) -> DataFrame:
     """A stream of (problem_id, stop_seq, answer): once for each problem that reaches ``k`` votes, in the
     order of completion: ``completion_no`` numbers the completed attempts of a problem from 0. A number
-    that is missing is passed over once the watermark has passed the attempt after it."""
-    return _with_state(attempts, ["problem_id"], _Votes(k, idle_ms), "problem_id long, stop_seq long, answer int", time, delay)
+    that is missing is passed over once the watermark has passed the attempt after it. Attempts that
+    come later than ``delay`` don't count, so it must cover the disorder of what is streamed."""
+    return _in_order(attempts, ["problem_id"], _Votes(k, idle_ms), "stop_seq long, answer int", time, delay, buckets)
 
 
 class _Deadline(StatefulProcessor):
-    """Passes on a key's rows up to its deadline, which is its state until the watermark is past it."""
+    """Passes on rows up to the deadline of their key. A bucket's state are the deadlines of its keys
+    that the watermark has not passed."""
+
+    def __init__(self, key: str) -> None:
+        self._key = key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._state = handle.getValueState("deadline", "deadline_ms long")
+        self._state = handle.getValueState("deadline", "timer_ms long, held binary")
+
+    def _read(self) -> tuple[int | None, dict]:
+        if not self._state.exists():
+            return None, {}
+        timer_ms, held = self._state.get()
+        return timer_ms, pickle.loads(held)
+
+    def _write(self, held: dict, timer_ms: int | None) -> None:
+        wake = min((ms for ms in held.values() if ms is not None), default=None)
+        if wake != timer_ms:
+            if timer_ms is not None:
+                self._handle.deleteTimer(timer_ms)
+            if wake is not None:
+                self._handle.registerTimer(wake)
+        if held:
+            self._state.update((wake, pickle.dumps(held, protocol=5)))
+        else:
+            self._state.clear()
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        deadline = initialState["deadline_ms"].min()
-        if pd.isna(deadline):
-            self._state.update((None,))
-        elif deadline > timerValues.getCurrentWatermarkInMs():
-            self._state.update((int(deadline),))
-            self._handle.registerTimer(int(deadline))
+        timer_ms, held = self._read()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        first = initialState.groupby(self._key)["deadline_ms"].min()
+        for who, ms in zip(first.index.tolist(), first.tolist()):
+            if not pd.isna(ms):
+                held[who] = int(ms) if held.get(who) is None else min(held[who], int(ms))
+            else:
+                held.setdefault(who, None)
+        self._write({who: ms for who, ms in held.items() if ms is None or ms > watermark}, timer_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self._state.exists()
-        deadline = self._state.get()[0] if known else None
+        _, held = self._read()
+        deadlines = pd.Series({who: np.iinfo("int64").max if ms is None else ms for who, ms in held.items()}, dtype="int64")
         watermark = timerValues.getCurrentWatermarkInMs()
         for batch in rows:
-            if known:
+            if held:
+                place = deadlines.index.get_indexer(batch[self._key])
                 late = (batch["time_ms"] <= watermark) & (watermark > 0)  # Spark lets rows of the last micro-batch's lag through
-                yield batch[~late & (deadline is None or batch["time_ms"] <= deadline)].drop(columns="time_ms")
+                yield batch[~late & (place >= 0) & (batch["time_ms"] <= deadlines.to_numpy()[place])].drop(columns=["time_ms", "bucket_no"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._state.clear()
+        _, held = self._read()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        self._write({who: ms for who, ms in held.items() if ms is None or ms > watermark}, None)
         return iter([])
 
     def close(self) -> None:
         pass
 
 
-def stream_deadline_cut(events: DataFrame, deadlines: DataFrame, key: str, time: str = "ts", delay: str = "1 hour") -> DataFrame:
+def stream_deadline_cut(events: DataFrame, deadlines: DataFrame, key: str, time: str = "ts", delay: str = "1 hour", buckets: int = 4096) -> DataFrame:
     """Events up to the deadline of their key, from ``deadlines`` (``key``, deadline), such as
     ``deadlines_of`` makes them of time budgets. A null deadline never comes; of repeated ones the
     first holds. A key that ``deadlines`` doesn't have, or whose deadline the watermark has passed, has
-    no state, and none of its events count: so a late one never does."""
-    first = deadlines.select(key, F.unix_millis(F.col("deadline").cast("timestamp")).alias("deadline_ms"))
+    no state, and none of its events count: so a late one never does, nor one without a key."""
+    first = deadlines.where(F.col(key).isNotNull()).select(key, F.unix_millis(F.col("deadline").cast("timestamp")).alias("deadline_ms"))
     out = ", ".join(f"`{f.name}` {'timestamp' if f.name == time else f.dataType.simpleString()}" for f in events.schema.fields)
-    return _with_state(events, [key], _Deadline(), out, time, delay, first)
+    return _with_state(_timed(events.where(F.col(key).isNotNull()), time), buckets, [key], _Deadline(key), out, time, delay, first)
 
 
 def deadlines_of(budgets: DataFrame, key: str, start: Column) -> DataFrame:
