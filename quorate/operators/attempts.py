@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,15 +168,50 @@ def trace_segments(messages: DataFrame, limit: int = 16 << 20) -> DataFrame:
     return cut.withColumn("segment", number).select(*keys, "segment", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
 
 
+def _near_braces(chunks: DataFrame, keys: list[str], look_back: int) -> DataFrame:
+    """Chunks with tokens that some brace may look back on. Of chunks of a turn that come together with
+    numbers that follow each other, which no other chunk can stand between, these are the ``look_back``
+    that end at a brace, and the last ones, for braces that come after them. So the last ``look_back``
+    before any brace are those of the whole turn."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            follows = np.zeros(n, bool)
+            number = batch.column("chunk_no")
+            follows[1:] = pc.fill_null(pc.equal(pc.subtract(number.slice(1), number.slice(0, n - 1)), 1), False).to_numpy(zero_copy_only=False)
+            for column in (batch.column(k) for k in keys):
+                follows[1:] &= pc.fill_null(pc.equal(column.slice(0, n - 1), column.slice(1)), False).to_numpy(zero_copy_only=False)
+            carrying = pc.fill_null(pc.greater(batch.column("n_tokens"), 0), False)
+            run = np.cumsum(~follows)[carrying.to_numpy(zero_copy_only=False)]
+            some = batch.filter(carrying)
+            if not len(run):
+                continue
+            at, none = np.arange(len(run)), len(run) + look_back
+            brace = pc.fill_null(pc.match_substring(some.column("text"), "}"), False).to_numpy(zero_copy_only=False)
+            next_brace = np.minimum.accumulate(np.where(brace, at, none)[::-1])[::-1]
+            last = np.searchsorted(run, run, side="right") - 1
+            keep = (next_brace - at < look_back) | (last - at < look_back)
+            kept = some.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([kept.column(c) for c in names], names)
+
+    names = [*keys, "chunk_no", "text"]
+    out = chunks.select(*names).schema
+    return chunks.select(*names, "n_tokens").mapInArrow(near, out)
+
+
 def rolling_chunk_scan(chunks: DataFrame, keys: list[str], look_back: int = 32) -> DataFrame:
     """Per turn the first chunk, with tokens and a closing brace, whose last ``look_back`` texts hold
-    an answer: keys, chunk_no, answer. A null text is empty.
+    an answer: keys, chunk_no, answer. A null text is empty. A number comes once in a turn.
 
+    Chunks that no brace can look back on are left out where they lie, before anything is sorted.
     A turn's chunks with tokens are put together in blocks by number, partly before the one shuffle, by
     ``keys``. A block and those before it that end within twice ``look_back`` chunks hold all that its
     braces look back on. So texts are copied a few times only, and only braces make windows, each
     scanned once."""
-    seen = chunks.where("n_tokens > 0").select(*keys, "chunk_no", F.coalesce("text", F.lit("")).alias("text"))
+    seen = _near_braces(chunks, keys, look_back).select(*keys, "chunk_no", F.coalesce("text", F.lit("")).alias("text"))
     blocks = seen.groupBy(*keys, F.floor(F.col("chunk_no") / look_back).alias("_block")).agg(F.sort_array(F.collect_list(F.struct("chunk_no", "text"))).alias("_parts"))
     by_block = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
     blocks = blocks.withColumn("_end", F.sum(F.size("_parts")).over(by_block))  # of the chunks with tokens so far
