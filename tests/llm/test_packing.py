@@ -87,3 +87,16 @@ def test_pack(spark, capacity):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], SCHEMA), PATH).collect() == []
+
+
+def test_a_smaller_encoder_gives_the_same_ids():
+    import public_tokenizers
+    from quorate.llm.packing import encoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    small, large = encoder(path, most=50, most_bytes=1000), encoder(path)
+    texts = [" ".join(f"word{i * 7 % 300} Other{i}," for i in range(n, n + 60)).encode() for n in range(0, 900, 30)]
+    assert small is not large and small is encoder(path, most=50, most_bytes=1000)
+    for i in range(0, len(texts), 3):
+        assert [x.tolist() for x in small(texts[i : i + 3])] == [x.tolist() for x in large(texts[i : i + 3])]
+    assert small.turn > 3
