@@ -42,6 +42,18 @@ def _timed(df: DataFrame, time: str) -> DataFrame:
     return df.withColumn(time, F.col(time).cast("timestamp")).where(F.col(time).isNotNull()).withColumn("time_ms", F.unix_millis(time))
 
 
+def _runs(batch: pa.RecordBatch, keys: list[str], time: str, most: int | None = None) -> tuple[np.ndarray, list[pa.Array]]:
+    """Where rows of a key that stand together begin, ``most`` at most; their keys, and the latest time of each."""
+    n, times = batch.num_rows, batch.column(time)
+    begins = np.zeros(n, bool)
+    begins[:: most or n] = True
+    for column in (batch.column(k) for k in keys):
+        begins[1:] |= pc.fill_null(pc.not_equal(column.slice(0, n - 1), column.slice(1)), True).to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(begins)
+    latest = pa.array(np.maximum.reduceat(times.cast(pa.int64()).to_numpy(zero_copy_only=False), starts)).cast(times.type)
+    return starts, [*(batch.column(k).take(pa.array(starts)) for k in keys), latest]
+
+
 def _folded(df: DataFrame, keys: list[str], time: str, columns: list[str]) -> DataFrame:
     """Rows of a key that stand together become one: lists of ``columns``, and the latest time. A row
     that is late stays in its list, with its own time in ``time_ms``."""
@@ -51,30 +63,61 @@ def _folded(df: DataFrame, keys: list[str], time: str, columns: list[str]) -> Da
             n = batch.num_rows
             if n == 0:
                 continue
-            begins = np.ones(n, bool)
-            begins[1:] = False
-            for column in (batch.column(k) for k in keys):
-                begins[1:] |= pc.fill_null(pc.not_equal(column.slice(0, n - 1), column.slice(1)), True).to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(begins)
+            starts, first = _runs(batch, keys, time)
             offsets = pa.array(np.append(starts, n).astype("int32"))
-            times = batch.column(time)
-            latest = pa.array(np.maximum.reduceat(times.cast(pa.int64()).to_numpy(zero_copy_only=False), starts)).cast(times.type)
             lists = [pa.ListArray.from_arrays(offsets, batch.column(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(starts)) for k in keys), latest, *lists], [*keys, time, *columns])
+            yield pa.RecordBatch.from_arrays([*first, *lists], [*keys, time, *columns])
 
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     out = [*(f"`{c}` {types[c]}" for c in [*keys, time]), *(f"`{c}` array<{types[c]}>" for c in columns)]
     return df.select(*keys, time, *columns).mapInArrow(fold, ", ".join(out))
 
 
+_NO_NUMBER = np.iinfo("int64").min
+_PACKED = ("numbers", "times", "lengths", "text")
+
+
+def _packed(df: DataFrame, keys: list[str], time: str, most: int = 256) -> DataFrame:
+    """As ``_folded``, for chunks: their numbers and times in milliseconds (64 bits each), the bytes of each
+    text (32 bits; -1 of a chunk without text or tokens), and the texts one after the other, as bytes. So
+    the work on a run of chunks is a few calls, however many chunks it has. A row has ``most`` of them."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            starts, first = _runs(batch, keys, time, most)
+            ends = np.append(starts, n)
+            carrying = pc.fill_null(pc.and_(pc.greater(batch.column("n_tokens"), 0), pc.is_valid(batch.column("text"))), False)
+            text = pc.if_else(carrying, batch.column("text"), "").cast(pa.binary())
+            at = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + n + 1]
+            lengths = np.where(carrying.to_numpy(zero_copy_only=False), np.diff(at), -1).astype("int32")
+            numbers = pc.fill_null(batch.column("chunk_no").cast(pa.int64()), _NO_NUMBER).to_numpy()
+            times = batch.column(time).cast(pa.int64()).to_numpy() // 1000
+
+            def cut(offsets: np.ndarray, data) -> pa.Array:
+                return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), data])
+
+            columns = [*(cut(ends * a.itemsize, pa.py_buffer(np.ascontiguousarray(a))) for a in (numbers, times, lengths)), cut(at[ends], text.buffers()[2] or pa.py_buffer(b""))]
+            yield pa.RecordBatch.from_arrays([*first, *columns], [*keys, time, *_PACKED])
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    out = [*(f"`{c}` {types[c]}" for c in [*keys, time]), *(f"{c} binary" for c in _PACKED)]
+    return df.select(*keys, time, "chunk_no", "n_tokens", "text").mapInArrow(pack, ", ".join(out))
+
+
 class _InOrder(StatefulProcessor):
     """Rows of a key in the order of a number from 0: they wait until those before them are there, or
     until the watermark has passed the first that waits, as a missing one would be late by then.
     ``steps`` takes those that follow each other; when it returns a row, that is passed on and nothing
     more, and what was gathered goes at once. A key without rows for ``idle_ms`` ends; rows that still
-    come begin anew. A bucket's state is one value, with one timer, for the first key that is due."""
+    come begin anew. A bucket's state is one value, with one timer, for the first key that is due.
 
-    number, columns, out = "", (), ()
+    What waits is held in parts: the number of the first row, with its time and what else there is of
+    the part. Here a part is one row."""
+
+    columns, out = (), ()
 
     def __init__(self, idle_ms: int) -> None:
         self._idle = idle_ms
@@ -87,10 +130,24 @@ class _InOrder(StatefulProcessor):
         """What is remembered at first."""
         raise NotImplementedError
 
-    def steps(self, memory: list, rows: list[tuple]):
-        """Take rows (number, values); return what is to be passed on, or None. ``memory`` may be changed."""
+    def steps(self, memory: list, parts: list[tuple]):
+        """Take parts (number, time, values); return what is to be passed on, or None. ``memory`` may be changed."""
         raise NotImplementedError
 
+    def parts(self, row: tuple, watermark: int) -> tuple[int | None, list[tuple]]:
+        """Of a row that came, with lists of numbers, times and values: the latest time, and the parts, of
+        what is in time; a latest time of None where nothing is."""
+        in_time = [(int(no), *of) for no, *of in zip(*(c.tolist() for c in row)) if no is not None and no == no and not 0 < watermark >= of[0]]
+        return max((part[1] for part in in_time), default=None), in_time
+
+    def count(self, part: tuple) -> int:
+        """How many rows a part has, given without its number."""
+        return 1
+
+    def put(self, waiting: dict[int, tuple], next_no: int, came: list[tuple]) -> None:
+        """Let parts wait; of a repeated number the last holds."""
+        waiting.update((no, tuple(part)) for no, *part in came if no >= next_no)
+
     def _read(self) -> tuple[int | None, dict[str, list]]:
         """By key: next number, whether it is done, time of its last row, rows that wait, memory."""
         if not self._state.exists():
@@ -111,11 +168,11 @@ class _InOrder(StatefulProcessor):
                 if waiting[first][0] > watermark:
                     break
                 next_no = first
-            rows = []
+            parts = []
             while next_no in waiting:
-                rows.append((next_no, *waiting.pop(next_no)[1:]))
-                next_no += 1
-            found = self.steps(memory, rows)
+                parts.append((next_no, *waiting.pop(next_no)))
+                next_no += self.count(parts[-1][1:])
+            found = self.steps(memory, parts)
         of_key[0] = next_no
         if found is not None:
             of_key[1], of_key[3], of_key[4] = True, {}, self.begin()
@@ -139,18 +196,19 @@ class _InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         timer_ms, held = self._read()
-        watermark, seen = timerValues.getCurrentWatermarkInMs(), set()
+        watermark, came = timerValues.getCurrentWatermarkInMs(), {}
         for batch in rows:
-            for who, numbers, times, *values in zip(batch["of_key"], batch[self.number], batch["time_ms"], *(batch[c] for c in self.columns)):
-                in_time = [(no, ms, *row) for no, ms, *row in zip(numbers.tolist(), times.tolist(), *(v.tolist() for v in values)) if no is not None and no == no and not 0 < watermark >= ms]
-                if not in_time:
+            for who, *row in zip(batch["of_key"], *(batch[c] for c in self.columns)):
+                latest, parts = self.parts(row, watermark)
+                if latest is None:
                     continue
                 of_key = held.setdefault(who, [0, False, 0, {}, self.begin()])
-                of_key[2] = max(of_key[2], max(row[1] for row in in_time))
+                of_key[2] = max(of_key[2], latest)
                 if not of_key[1]:
-                    of_key[3].update((int(no), row) for no, *row in in_time if no >= of_key[0])
-                    seen.add(who)
-        hits = [(who, *found) for who in seen if (found := self._go_on(held[who], watermark)) is not None]
+                    came.setdefault(who, []).extend(parts)
+        for who, parts in came.items():
+            self.put(held[who][3], held[who][0], parts)
+        hits = [(who, *found) for who in came if (found := self._go_on(held[who], watermark)) is not None]
         if held:
             self._write(held, timer_ms)
         yield from self._rows(hits)
@@ -172,42 +230,91 @@ class _InOrder(StatefulProcessor):
         pass
 
 
-def _in_order(df: DataFrame, keys: list[str], processor: _InOrder, out: str, time: str, delay: str, buckets: int) -> DataFrame:
-    folded = _folded(_timed(df, time), keys, time, [processor.number, "time_ms", *processor.columns])
-    of_keys = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+def _in_order(folded: DataFrame, keys: list[str], processor: _InOrder, out: str, time: str, delay: str, buckets: int) -> DataFrame:
+    of_keys = ", ".join(f"`{k}` {folded.schema[k].dataType.simpleString()}" for k in keys)
     one = folded.withColumn("of_key", F.to_json(F.struct(*keys))).drop(*keys)
     found = _with_state(one, buckets, ["of_key"], processor, f"of_key string, {out}", time, delay)
     return found.select(F.from_json("of_key", of_keys).alias("of_key"), *processor.out).select("of_key.*", *processor.out)
 
 
 class _FirstHit(_InOrder):
-    """The first chunk of a turn, with tokens and a closing brace, whose last texts hold an answer."""
+    """The first chunk of a turn, with tokens and a closing brace, whose last texts hold an answer. A part
+    are chunks whose numbers follow each other, as ``_packed`` has them: (number of the first, its time,
+    times, lengths, texts)."""
 
-    number, columns, out = "chunk_no", ("n_tokens", "text"), ("chunk_no", "answer")
+    columns, out = _PACKED, ("chunk_no", "answer")
 
     def __init__(self, look_back: int, idle_ms: int, patterns: list[str]) -> None:
         super().__init__(idle_ms)
         self._look_back, self._patterns = look_back, patterns
 
     def begin(self) -> list:
-        return []
-
-    def steps(self, memory, rows):
-        carrying = [(no, text) for no, tokens, text in rows if tokens and tokens > 0 and text is not None]
-        texts = memory + [text for _, text in carrying]
-        for at, (no, text) in enumerate(carrying, len(memory)):
-            if "}" in text:
-                answer = last_answer("".join(texts[max(0, at + 1 - self._look_back) : at + 1]), self._patterns)
+        return [b"", b""]  # lengths and texts of the last that carry tokens
+
+    def parts(self, row, watermark):
+        numbers, times = (np.frombuffer(c, np.int64) for c in row[:2])
+        there = numbers != _NO_NUMBER
+        if watermark > 0:
+            there &= times > watermark
+        if not there.any():
+            return None, []
+        latest = int(times[there].max())
+        there &= numbers >= 0
+        if not there.any():
+            return latest, []
+        whole = (int(numbers[0]), int(times[0]), *row[1:])
+        breaks = np.flatnonzero((np.diff(numbers) != 1) | ~there[1:] | ~there[:-1]) + 1
+        if len(breaks) == 0:
+            return latest, [whole]
+        found = zip([0, *breaks.tolist()], [*breaks.tolist(), len(numbers)])
+        return latest, [(int(numbers[i]), *self._cut(whole[1:], i, j)) for i, j in found if there[i]]
+
+    def count(self, part):
+        return len(part[1]) // 8
+
+    def _cut(self, part: tuple, i: int, j: int) -> tuple:
+        """Chunks ``i`` up to ``j`` of a part, given and returned without its number."""
+        _, times, lengths, text = part
+        sizes = np.maximum(np.frombuffer(lengths, np.int32), 0)
+        start = int(sizes[:i].sum())
+        times = times[8 * i : 8 * j]
+        return int(np.frombuffer(times, np.int64)[0]), times, lengths[4 * i : 4 * j], text[start : start + int(sizes[i:j].sum())]
+
+    def put(self, waiting, next_no, came):
+        every = [*((no, *part) for no, part in waiting.items()), *came]
+        spans = sorted((no, no + self.count(part)) for no, *part in every)
+        if any(end > start for (_, end), (start, _) in zip(spans, spans[1:])):  # numbers repeat: chunk by chunk
+            every = [(no + i, *self._cut(part, i, i + 1)) for no, *part in every for i in range(self.count(part))]
+        waiting.clear()
+        for no, *part in every:
+            before = max(next_no - no, 0)
+            if before < self.count(part):
+                waiting[no + before] = self._cut(part, before, self.count(part)) if before else tuple(part)
+
+    def steps(self, memory, parts):
+        for no, _, _, lengths, text in parts:
+            sizes = np.frombuffer(lengths, np.int32)
+            places = np.flatnonzero(sizes >= 0)
+            old = len(memory[0]) // 4
+            sizes, texts = np.concatenate([np.frombuffer(memory[0], np.int32), sizes[places]]), memory[1] + text
+            ends = np.cumsum(sizes, dtype=np.int64)
+            brace = texts.find(b"}", len(memory[1]))
+            while brace >= 0:
+                at = int(np.searchsorted(ends, brace, "right"))
+                first = max(0, at + 1 - self._look_back)
+                answer = last_answer(texts[int(ends[first] - sizes[first]) : int(ends[at])].decode("utf-8", "replace"), self._patterns)
                 if answer is not None:
-                    return no, answer
-        memory[:] = texts[-self._look_back :]
+                    return no + int(places[at - old]), answer
+                brace = texts.find(b"}", int(ends[at]))
+            last = sizes[-self._look_back :]
+            memory[:] = last.tobytes(), texts[len(texts) - int(last.sum()) :]
         return None
 
 
 class _Votes(_InOrder):
     """Counts answers of a problem, until one has ``k`` votes."""
 
-    number, columns, out = "completion_no", ("completion_seq", "answer"), ("stop_seq", "answer")
+    columns, out = ("completion_no", "time_ms", "completion_seq", "answer"), ("stop_seq", "answer")
 
     def __init__(self, k: int, idle_ms: int) -> None:
         super().__init__(idle_ms)
@@ -216,8 +323,8 @@ class _Votes(_InOrder):
     def begin(self) -> list:
         return []  # the answers so far
 
-    def steps(self, memory, rows):
-        for _, seq, answer in rows:
+    def steps(self, memory, parts):
+        for _, _, seq, answer in parts:
             if answer is not None and answer == answer:  # a list with nulls comes as floats
                 memory.append(int(answer))
                 if memory.count(int(answer)) >= self._k:
@@ -246,9 +353,10 @@ def stream_answer_watch(chunks: DataFrame, look_back: int = 32, time: str = "ts"
     Chunks may come in any order and micro-batches: they wait for those before them, but for a missing
     one only until the watermark (``delay`` behind ``time``) has passed the chunk after it. The first
     hit drops all that was gathered of the turn. Turns are held in ``buckets``; chunks of a turn that
-    come one after the other travel as one row."""
-    hit = _FirstHit(look_back, idle_ms, answer_patterns())
-    return _in_order(chunks, ["problem_id", "attempt", "turn"], hit, "chunk_no int, answer int", time, delay, buckets)
+    come one after the other travel, wait and are looked at as one row."""
+    keys, hit = ["problem_id", "attempt", "turn"], _FirstHit(look_back, idle_ms, answer_patterns())
+    timed = chunks.withColumn(time, F.col(time).cast("timestamp")).where(F.col(time).isNotNull())
+    return _in_order(_packed(timed, keys, time), keys, hit, "chunk_no int, answer int", time, delay, buckets)
 
 
 def stream_early_stop(attempts: DataFrame, k: int, time: str = "ts", delay: str = "1 hour", idle_ms: int = 3_600_000, buckets: int = 4096) -> DataFrame:
@@ -256,7 +364,9 @@ def stream_early_stop(attempts: DataFrame, k: int, time: str = "ts", delay: str
     order of completion: ``completion_no`` numbers the completed attempts of a problem from 0. A number
     that is missing is passed over once the watermark has passed the attempt after it. Attempts that
     come later than ``delay`` don't count, so it must cover the disorder of what is streamed."""
-    return _in_order(attempts, ["problem_id"], _Votes(k, idle_ms), "stop_seq long, answer int", time, delay, buckets)
+    votes = _Votes(k, idle_ms)
+    folded = _folded(_timed(attempts, time), ["problem_id"], time, list(votes.columns))
+    return _in_order(folded, ["problem_id"], votes, "stop_seq long, answer int", time, delay, buckets)
 
 
 class _Deadline(StatefulProcessor):

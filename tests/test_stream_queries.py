@@ -1,10 +1,12 @@
 """Stream queries over tables as large copies are: ids far apart, and more keys than state rows."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from quorate.plans import batch_queries, catalog
+from quorate.ship import small_rows
 from test_streams import CHUNKS, at, left_in_state, run
 from quorate.streaming import watch
 
@@ -69,3 +71,63 @@ def test_predictions_are_fed_by_all_tasks(spark, tmp_path, monkeypatch):
     sizes = [spark.read.parquet(p).count() for p in spark.read.parquet(paths["predict-in"]).inputFiles()]
     assert sum(sizes) == 400 and max(sizes) <= 100  # a task's rows, not a third of all
     assert spark.read.parquet(paths["predict-counts"]).select("epoch").distinct().count() > 1
+
+
+def packed_rows(chunks):
+    """Rows as ``_packed`` makes them of (number, ms, tokens, text) that travel together."""
+    lengths = [len(t.encode()) if n and n > 0 and t is not None else -1 for _, _, n, t in chunks]
+    text = b"".join(t.encode() for (_, _, _, t), size in zip(chunks, lengths) if size >= 0)
+    return [np.array([c[i] for c in chunks], np.int64).tobytes() for i in (0, 1)] + [np.array(lengths, np.int32).tobytes(), text]
+
+
+def test_runs_of_chunks_are_looked_at_as_single_ones_are():
+    rng, patterns, hits = np.random.default_rng(5), watch.answer_patterns(), 0
+    words = ["x", "", None, "}", "\\boxed{", "7", "\\boxed{12}", "é", "the final answer is 5", "}}", "\\boxed{", "3"]
+    for trial in range(300):
+        n, watermark = int(rng.integers(1, 40)), int(rng.choice([0, 0, 1030]))
+        texts = [words[i] for i in rng.choice(len(words), n, p=[0.45, 0.05, 0.05, 0.04, 0.08, 0.08, 0.06, 0.08, 0.01, 0.02, 0.04, 0.04])]
+        rows = [(no, 1000 + int(rng.integers(0, 60)), int(rng.integers(0, 4)) if rng.random() < 0.9 else None, t) for no, t in enumerate(texts) if rng.random() < 0.97]
+        rows += [(no, ms, n, "again}") for no, ms, n, _ in rows if rng.random() < 0.03]
+        came = [rows[i : i + 7] for i in range(0, len(rows), 7)]
+        came = [came[i] for i in rng.permutation(len(came))]
+        hit = watch._FirstHit(5, 1000, patterns)
+        of_key = [0, False, 0, {}, hit.begin()]
+        parts = [p for run in came for p in hit.parts(packed_rows(run), watermark)[1]]
+        one = {no: (tokens, text) for run in came for no, ms, tokens, text in run if not 0 < watermark >= ms}
+        carrying = [(no, text) for no, (tokens, text) in sorted(one.items()) if tokens and tokens > 0 and text is not None]
+        want = None
+        for at, (no, text) in enumerate(carrying):
+            if "}" in text and want is None and (answer := watch.last_answer("".join(t for _, t in carrying[max(0, at - 4) : at + 1]), patterns)) is not None:
+                want = (no, answer)
+        repeats = len({no for no, _, _, _ in rows}) < len(rows)
+        half = 0 if repeats else len(parts) // 2  # what was looked at is not taken back by a repeat
+        found = None
+        for some in (parts[:half], parts[half:]):  # the rest waits for those before it
+            if found is None:
+                hit.put(of_key[3], of_key[0], some)
+                found = hit._go_on(of_key, 0)
+        if found is None:
+            found = hit._go_on(of_key, 1 << 40)  # missing ones are given up
+        assert found == want, trial
+        hits += found is not None
+    assert hits > 20
+
+
+def test_runs_wait_as_one_part(spark):
+    rows = [(1, 0, 0, no, no % 2, "abé", at(no)) for no in range(600)]
+    row = watch._packed(spark.createDataFrame(rows, CHUNKS).coalesce(1), ["problem_id", "attempt", "turn"], "ts").collect()
+    assert [len(r.lengths) // 4 for r in row] == [256, 256, 88] and row[0].text.decode() == "abé" * 128
+    hit, waiting = watch._FirstHit(32, 1000, watch.answer_patterns()), {}
+    hit.put(waiting, 0, hit.parts((row[1].numbers, row[1].times, row[1].lengths, row[1].text), 0)[1])
+    assert list(waiting) == [256] and hit.count(waiting[256]) == 256
+
+
+def test_bytes_are_not_counted_at_each_small_row(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound = spark.conf.get(key)
+    with small_rows(spark, 300):
+        assert spark.conf.get(key) == bound
+    with small_rows(spark, 40):
+        assert int(spark.conf.get(key)) > 1 << 30
+    assert spark.conf.get(key) == bound
+    assert batch_queries._longest(spark.createDataFrame([(1, "é", None), (2, None, "abc")], "n int, a string, b string")) == 3
