@@ -411,13 +411,18 @@ class _Deadline(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         _, held = self._read()
-        deadlines = pd.Series({who: np.iinfo("int64").max if ms is None else ms for who, ms in held.items()}, dtype="int64")
+        if not held:
+            return
+        never, none = np.iinfo("int64").max, np.iinfo("int64").min
+        last = {who: never if ms is None else ms for who, ms in held.items()}
         watermark = timerValues.getCurrentWatermarkInMs()
         for batch in rows:
-            if held:
-                place = deadlines.index.get_indexer(batch[self._key])
-                late = (batch["time_ms"] <= watermark) & (watermark > 0)  # Spark lets rows of the last micro-batch's lag through
-                yield batch[~late & (place >= 0) & (batch["time_ms"] <= deadlines.to_numpy()[place])].drop(columns=["time_ms", "bucket_no"])
+            times = batch["time_ms"].to_numpy()
+            in_time = times <= np.fromiter((last.get(who, none) for who in batch[self._key].tolist()), np.int64, len(batch))
+            if watermark > 0:
+                in_time &= times > watermark  # Spark lets rows of the last micro-batch's lag through
+            if in_time.any():
+                yield batch.loc[in_time, [c for c in batch.columns if c not in ("time_ms", "bucket_no")]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         _, held = self._read()
@@ -429,7 +434,7 @@ class _Deadline(StatefulProcessor):
         pass
 
 
-def stream_deadline_cut(events: DataFrame, deadlines: DataFrame, key: str, time: str = "ts", delay: str = "1 hour", buckets: int = 4096) -> DataFrame:
+def stream_deadline_cut(events: DataFrame, deadlines: DataFrame, key: str, time: str = "ts", delay: str = "1 hour", buckets: int = 1024) -> DataFrame:
     """Events up to the deadline of their key, from ``deadlines`` (``key``, deadline), such as
     ``deadlines_of`` makes them of time budgets. A null deadline never comes; of repeated ones the
     first holds. A key that ``deadlines`` doesn't have, or whose deadline the watermark has passed, has

@@ -131,3 +131,26 @@ def test_bytes_are_not_counted_at_each_small_row(spark):
         assert int(spark.conf.get(key)) > 1 << 30
     assert spark.conf.get(key) == bound
     assert batch_queries._longest(spark.createDataFrame([(1, "é", None), (2, None, "abc")], "n int, a string, b string")) == 3
+
+
+def test_deadlines_take_only_what_the_rows_need(spark, tmp_path, monkeypatch):
+    events_apart(tmp_path)
+    events = pd.read_parquet(tmp_path / "events.parquet")
+    first = events.ts.min()
+    events.assign(ts=(first + 2 * (events.ts - first)).astype("datetime64[us]")).to_parquet(tmp_path / "events.parquet")  # over 16 days
+    paths = {}
+    monkeypatch.setattr(batch_queries, "scratch_path", lambda spark, label: paths.setdefault(label, str(tmp_path / label)))
+    got = sorted(tuple(r) for r in catalog.QUERIES["stream_deadline_cut"](spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert got == sorted(db.execute(catalog.ORACLE["stream_deadline_cut"]).fetchall()) and 0 < len(got) < 1000
+    assert spark.read.parquet(paths["stream-in"]).columns == ["event_id", "user_id", "ts"]
+
+
+def test_a_deadline_step_passes_no_empty_frames_on():
+    step = watch._Deadline("who")
+    step._read = lambda: (None, {"a": 5_000, "b": None})
+    times = type("Times", (), {"getCurrentWatermarkInMs": lambda self: 1_000})()
+    rows = pd.DataFrame({"who": ["a", "a", "b", "c", "b"], "no": range(5), "time_ms": [5_000, 5_001, 9_000_000, 2_000, 1_000], "bucket_no": 0})
+    found = list(step.handleInputRows(None, iter([rows, rows[1:2], rows[3:]]), times))
+    assert [f.to_dict("list") for f in found] == [{"who": ["a", "b"], "no": [0, 2]}]
