@@ -13,7 +13,7 @@ from quorate.functions import text as T
 from quorate.functions.numeric import token_entropy
 from quorate.operators.attempts import next_action_tool
 from quorate.operators.predict import batch_predict, checked
-from quorate.operators.votes import early_stop_cut
+from quorate.operators.votes import vote_cuts
 
 #: What a model returns for a prompt: its chunks, and the last message that they make.
 REPLY = "chunks array<struct<n_tokens:int,text:string,top_logprobs:array<map<string,double>>>>, channel string, recipient string, content string, elapsed_s double"
@@ -24,14 +24,18 @@ def first_hit(chunks: Column, look_back: int = 32) -> Column:
     """(at, answer): place from 0 of the first chunk with a closing brace at which the last ``look_back``
     texts that carry tokens hold an answer; null without one. ``rolling_chunk_scan`` for one array."""
     carrying = F.filter(F.transform(chunks, lambda c, i: F.struct(i.alias("at"), F.coalesce(c["text"], F.lit("")).alias("text"), c["n_tokens"].alias("n"))), lambda c: c["n"] > 0)
-    braces = F.filter(F.transform(carrying, lambda c, i: F.struct(i.alias("i"), c["at"].alias("at"), c["text"].alias("text"))), lambda c: c["text"].contains("}"))
 
-    def scanned(brace: Column) -> Column:
-        start = F.greatest(brace["i"] - (look_back - 1), F.lit(0))
-        recent = F.array_join(F.transform(F.slice(carrying, start + 1, brace["i"] - start + 1), lambda c: c["text"]), "")
-        return F.struct(brace["at"].alias("at"), T.extract_answer(recent, "strict").alias("answer"))
+    def found(carrying: Column) -> Column:
+        braces = F.filter(F.transform(carrying, lambda c, i: F.struct(i.alias("i"), c["at"].alias("at"), c["text"].alias("text"))), lambda c: c["text"].contains("}"))
 
-    return F.try_element_at(F.filter(F.transform(braces, scanned), lambda h: h["answer"].isNotNull()), F.lit(1))
+        def scanned(brace: Column) -> Column:
+            start = F.greatest(brace["i"] - (look_back - 1), F.lit(0))
+            recent = F.array_join(F.transform(F.slice(carrying, start + 1, brace["i"] - start + 1), lambda c: c["text"]), "")
+            return F.struct(brace["at"].alias("at"), T.extract_answer(recent, "strict").alias("answer"))
+
+        return F.try_element_at(F.filter(F.transform(braces, scanned), lambda h: h["answer"].isNotNull()), F.lit(1))
+
+    return F.try_element_at(F.transform(F.array(carrying), found), F.lit(1))  # made once, not once for each brace
 
 
 def _after_reply(replied: DataFrame) -> DataFrame:
@@ -52,11 +56,11 @@ def _after_reply(replied: DataFrame) -> DataFrame:
     )
 
 
-def _result(rows: DataFrame, turn: Column, status: Column, answer: Column, tokens: str) -> DataFrame:
+def _result(rows: DataFrame, turn: Column, status: Column, answer: Column, tokens: str, *kept: str) -> DataFrame:
     entropy = F.when(F.col("positions") > 0, F.col("bits") / F.col("positions")).otherwise(F.lit(float("inf")))
     # In a turn all attempts go at once: they complete in the order of their numbers.
     seq = (turn.cast("long") * F.lit(1 << 32) + F.col("attempt")).alias("completion_seq")
-    return rows.select("problem_id", "attempt", answer.cast("int").alias("answer"), turn.cast("int").alias("turns"), F.col("calls").alias("python_calls"), F.col("errors").alias("python_errors"), F.col(tokens).cast("long").alias("response_length"), entropy.alias("entropy"), status.alias("status"), seq)
+    return rows.select("problem_id", "attempt", answer.cast("int").alias("answer"), turn.cast("int").alias("turns"), F.col("calls").alias("python_calls"), F.col("errors").alias("python_errors"), F.col(tokens).cast("long").alias("response_length"), entropy.alias("entropy"), status.alias("status"), seq, *kept)
 
 
 def tool_rollout(
@@ -88,8 +92,9 @@ def tool_rollout(
 
     After each turn the votes of ended attempts are counted in the order of completion; where some answer
     has ``early_stop`` of them, the problem's other attempts are "stopped": those running, and those that
-    completed after it in that turn, which keep no answer. Such a set is what ``select_answer`` takes. Rows
-    are checkpointed each turn; only problems that go on are read again. Repeated problem_ids are one
+    completed after it in that turn, which keep no answer. Such a set is what ``select_answer`` takes. Each
+    turn is checkpointed twice: its replies, and then, joined once with the votes, what came of all
+    attempts, from which the next turn and the result are read; only problems that go on are read again. Repeated problem_ids are one
     problem with more attempts; an empty table has no attempts."""
     checked(complete)
     checked(run_tool)
@@ -129,21 +134,17 @@ def tool_rollout(
         columns = [*(c for c in _STATE if c != "tokens"), "all_tokens", "said", "next"]
         going = ran_out.select(*columns).unionByName(talked.select(*columns))
         going = going.withColumn("prompt", F.concat("prompt", F.lit("\n<|assistant|>\n"), "said", "next")).withColumnRenamed("all_tokens", "tokens").select(*_STATE)
-        if turn == max_turns - 1:
-            ended.append(_result(going, number + 1, F.lit("turns"), F.lit(None), "tokens"))
-        now = checkpoint(reduce(DataFrame.unionByName, ended))
-        known = now if voted is None else voted.unionByName(now)
-        kept = early_stop_cut(known, early_stop)
-        won = checkpoint(kept.where("answer is not null").groupBy("problem_id", "answer").agg(F.count("*").alias("n"), F.max("completion_seq").alias("cut")).where(F.col("n") >= early_stop).select("problem_id", "cut"))
+        last = turn == max_turns - 1
+        going = _result(going, number + 1, F.lit("turns" if last else "going"), F.lit(None), "tokens", "prompt", "budget_s", "bits", "positions", "elapsed_s")
+        ended = reduce(DataFrame.unionByName, ended if voted is None else [voted, *ended])
+        attempted = ended.unionByName(going, allowMissingColumns=True)
+        attempted = checkpoint(attempted.join(vote_cuts(ended, early_stop).hint("merge"), "problem_id", "left"))
         # Problems that are over: what came after the deciding vote keeps no answer.
-        closed = known.join(won.hint("merge"), "problem_id")
-        after = F.col("completion_seq") > F.col("cut")
-        closed = closed.withColumn("answer", F.when(~after, F.col("answer"))).withColumn("status", F.when(after, F.lit("stopped")).otherwise(F.col("status"))).drop("cut")
-        going = checkpoint(going) if turn < max_turns - 1 else going.limit(0)
-        halted = _result(going.join(won.hint("merge"), "problem_id", "left_semi"), number + 1, F.lit("stopped"), F.lit(None), "tokens")
-        over += [closed, halted]
-        voted = checkpoint(known.join(won.hint("merge"), "problem_id", "left_anti"))
-        active = going.join(won.hint("merge"), "problem_id", "left_anti")
-        if turn == max_turns - 1 or active.isEmpty():
+        after = (F.col("status") == "going") | (F.col("completion_seq") > F.col("cut"))
+        closed = attempted.where("cut is not null").withColumn("answer", F.when(~after, F.col("answer"))).withColumn("status", F.when(after, F.lit("stopped")).otherwise(F.col("status")))
+        over.append(closed.select(*ended.columns))
+        voted = attempted.where("cut is null and status <> 'going'").select(*ended.columns)
+        active = attempted.where("cut is null and status = 'going'").withColumnsRenamed({"response_length": "tokens", "python_calls": "calls", "python_errors": "errors"}).select(*_STATE)
+        if last or active.isEmpty():
             break
     return reduce(DataFrame.unionByName, [voted, *over])

@@ -42,6 +42,14 @@ def early_stop_cut(attempts: DataFrame, k: int, problem: str = "problem_id", ord
     return counted.withColumn("_cut", cut).where(F.col("_cut").isNull() | (F.col(order) <= F.col("_cut"))).drop("_votes", "_cut")
 
 
+def vote_cuts(attempts: DataFrame, k: int, problem: str = "problem_id", order: str = "completion_seq") -> DataFrame:
+    """(problem, cut): where, in order of completion, some answer first has ``k`` votes; a row for each
+    problem in which one has."""
+    running = Window.partitionBy(problem, "answer").orderBy(order)
+    votes = attempts.where("answer is not null").select(problem, "answer", order).withColumn("_votes", F.row_number().over(running))
+    return votes.where(F.col("_votes") == k).groupBy(problem).agg(F.min(order).alias("cut"))
+
+
 def select_answer(attempts: DataFrame, early_stop: int = 5, problem: str = "problem_id", order: str = "completion_seq") -> DataFrame:
     """(problem, answer): a consensus, else of the leading answer and a second one tied with it the
     one with the attempt of least finite entropy, else the leading one; 0 without answers."""

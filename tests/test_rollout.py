@@ -112,3 +112,25 @@ def test_attempts_stop_each_other(spark, tmp_path):
     assert {tuple(r) for r in select_answer(found, 2).collect()} == {(1, 3), (2, 1)}
     (tmp_path / "none").mkdir()
     assert tool_rollout(problems.limit(0), complete, run_tool, kept_in(spark, tmp_path / "none"), 5, 2, 3).collect() == []
+
+
+def test_a_turn_is_written_twice_and_joined_once(spark, tmp_path):
+    def complete(prompt: pd.Series, seed: pd.Series, max_tokens: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, s in zip(prompt, seed):
+            at = {"a": (0, 3), "b": (0, 4), "c": (99, 0)}[text[0]]
+            turn = text.count("<|assistant|>")
+            rows.append(([{"n_tokens": 1, "text": f"\\boxed{{{at[1]}}}" if turn == at[0] and s == 42**2 else "x", "top_logprobs": None}], None, None, "", 1.0))
+        return pd.DataFrame(rows, columns=["chunks", "channel", "recipient", "content", "took_s"])
+
+    def run_tool(content: pd.Series) -> pd.Series:
+        return content
+
+    # Two answers of one problem are complete at once.
+    problems = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "a")], "problem_id int, prompt string")
+    found = tool_rollout(problems, complete, run_tool, kept_in(spark, tmp_path), 2, 1, 3)
+    got = sorted(((r.problem_id or 0, r.attempt, r.answer or 0, r.turns, r.status) for r in found.collect()))
+    assert got == [(0, 0, 3, 1, "early"), (0, 1, 0, 3, "turns"), (1, 0, 3, 1, "early"), (1, 0, 4, 1, "early"), (1, 1, 0, 1, "stopped"), (1, 1, 0, 1, "stopped"), (2, 0, 0, 3, "turns"), (2, 1, 0, 3, "turns")]
+    assert len(list(tmp_path.iterdir())) == 2 * 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
