@@ -46,13 +46,14 @@ def _header(spark: SparkSession, path: str) -> list[str]:
 
 
 def scan_problems(spark: SparkSession, path: str, columns: str = "id string, problem string") -> DataFrame:
-    """CSV files with header whose quoted fields may hold commas, quotes and line ends; see
-    ``csv_records``. Ids stay text. ``columns`` must be the header's. A missing or empty field is null."""
+    """CSV files with header whose quoted fields may hold commas, quotes and line ends, in the order of the
+    files' names and of their records; see ``csv_records``. Ids stay text. ``columns`` must be the header's.
+    A missing or empty field is null."""
     names = _header(spark, path)
     wanted = StructType.fromDDL(columns).fieldNames()
     if [n.lower() for n in names] != [n.lower() for n in wanted]:
         raise ValueError(f"{path} has the columns {', '.join(names)}, not {', '.join(wanted)}")
-    records = csv_records(spark, path).where("record_no > 0")  # the first of each file is its header
+    records = csv_records(spark, path).where("record_no > 0").orderBy("file", "record_no")  # the first of each file is its header
     return records.select(F.from_csv("record", columns, _CSV).alias("r")).select("r.*")
 
 

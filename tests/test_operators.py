@@ -122,6 +122,12 @@ def test_problem_files(spark, tmp_path):
     assert tables.scan_answers(spark, str(path)) is None
 
 
+def test_problems_come_in_the_order_of_files_and_records(spark, tmp_path):
+    for name, first in (("b", 20), ("a", 0)):
+        (tmp_path / f"{name}.csv").write_text("id,problem\n" + "".join(f'{i},"p\n{i}"\n' for i in range(first, first + 20)))
+    assert [r.id for r in tables.scan_problems(spark, str(tmp_path)).collect()] == [str(i) for i in range(40)]
+
+
 def test_exec_log_cut_at_idle(spark):
     rows = [("e", 1, "stream", "stdout", "a", None, None, None, 1.0), ("e", 2, "status", None, None, None, None, "idle", 1.0), ("e", 3, "stream", "stdout", "late", None, None, None, 1.0), ("f", 1, "error", None, None, ["\x1b[31mE\x1b[0m", 'File "x"'], None, None, 1.0)]
     df = spark.createDataFrame(rows, "exec_id string, seq int, msg_type string, stream_name string, text string, traceback array<string>, plain_text string, execution_state string, elapsed_s double")
