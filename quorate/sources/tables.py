@@ -10,6 +10,7 @@ from quorate.functions.numeric import round_1
 from quorate.functions.text import first_nonempty
 from quorate.operators.attempts import assemble_trace
 from quorate.operators.prefix import ordered_segments
+from quorate.sources.scratch import scratch_path
 
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
@@ -20,11 +21,16 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     for each block of a file, carried on over the blocks (few rows), and then from line to line within
     each block; so are the record numbers, from 0. Doubled quotes count twice and change nothing. Lines
     end with \\n; a \\r before it belongs to it outside quotes. A quote in the midst of an unquoted
-    field is not CSV, and joins what follows. Empty lines between records are left out."""
+    field is not CSV, and joins what follows. Empty lines between records are left out.
+
+    Files are scanned once, and the lines written: where a scan cuts a file into blocks follows from how
+    many cores there are at the time, so two scans may cut it otherwise."""
     lines = spark.read.option("lineSep", "\n").text(path)
     lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
     quotes = F.octet_length("line") - F.octet_length(F.replace("line", F.lit('"'), F.lit("")))
-    lines = lines.withColumn("quotes", quotes.cast("long"))
+    lines, scanned = lines.withColumn("quotes", quotes.cast("long")), scratch_path(spark, "csv-lines")
+    lines.write.parquet(scanned)
+    lines = spark.read.schema(lines.schema).parquet(scanned)
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("q")).select("file", "block", F.coalesce(F.sum("q").over(earlier), F.lit(0)).alias("quotes_before"))
     in_block = Window.partitionBy("file", "block").orderBy("at")
@@ -38,23 +44,28 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     return numbered.groupBy("file", "record_no").agg(F.regexp_replace(F.array_join(parts, "\n"), "\\r$", "").alias("record"))
 
 
-_CSV = {"escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
+#: Without charToEscapeQuoteEscaping the parser takes it to be the character 0, and drops that from texts.
+_CSV = {"escape": '"', "charToEscapeQuoteEscaping": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("maxCharsPerColumn", -1).csv(path, header=True, escape='"').columns
 
 
-def scan_problems(spark: SparkSession, path: str, columns: str = "id string, problem string") -> DataFrame:
+def scan_problems(spark: SparkSession, path: str, columns: str = "id string, problem string", empty_is_null: bool = True) -> DataFrame:
     """CSV files with header whose quoted fields may hold commas, quotes and line ends, in the order of the
     files' names and of their records; see ``csv_records``. Ids stay text. ``columns`` must be the header's.
-    A missing or empty field is null."""
+    A missing or empty field is null; without ``empty_is_null``, one that is empty in quotes is an empty text."""
     names = _header(spark, path)
     wanted = StructType.fromDDL(columns).fieldNames()
     if [n.lower() for n in names] != [n.lower() for n in wanted]:
         raise ValueError(f"{path} has the columns {', '.join(names)}, not {', '.join(wanted)}")
     records = csv_records(spark, path).where("record_no > 0").orderBy("file", "record_no")  # the first of each file is its header
-    return records.select(F.from_csv("record", columns, _CSV).alias("r")).select("r.*")
+    if empty_is_null:
+        return records.select(F.from_csv("record", columns, _CSV).alias("r")).select("r.*")
+    # The parser takes a missing field, and a text that is the mark, for null; no text is both marks.
+    first, second = (F.from_csv("record", columns, _CSV | {"nullValue": mark}) for mark in ("\0 null", "\0 none"))
+    return records.select(*(F.coalesce(first[n], second[n]).alias(n) for n in wanted))
 
 
 def scan_answers(spark: SparkSession, path: str) -> DataFrame | None:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorate.operators import attempts, batches, manifest, predict, scoring, votes
+from quorate.plans import batch_queries
 from quorate.sources import tables
 
 ATTEMPTS = "problem_id int, completion_seq int, answer int, entropy double"
@@ -128,6 +129,19 @@ def test_problems_come_in_the_order_of_files_and_records(spark, tmp_path):
     assert [r.id for r in tables.scan_problems(spark, str(tmp_path)).collect()] == [str(i) for i in range(40)]
 
 
+def test_problems_keep_empty_texts_nulls_and_every_character(spark, tmp_path):
+    texts = [None, "", " ", "\r", "a\r", "\n", "a\r\n", '"', '"\n"', ",", "\\", '\\"', "\0", 'a\0b\0"', "\0 null", "\0 none", "\ufeff", "  a\t", "#", 'a, ""b"" \r\n\r\n c']
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.id: r.problem for r in batch_queries.scan_problems(spark, str(tmp_path)).collect()}
+    assert got == {str(i): t for i, t in enumerate(texts)}
+
+
+def test_problem_files_are_cut_into_blocks_by_one_scan(spark, tmp_path):
+    path = tmp_path / "p.csv"
+    path.write_text('id,problem\n1,"a\nb"\n')
+    assert "Scan text" not in tables.scan_problems(spark, str(path))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_exec_log_cut_at_idle(spark):
     rows = [("e", 1, "stream", "stdout", "a", None, None, None, 1.0), ("e", 2, "status", None, None, None, None, "idle", 1.0), ("e", 3, "stream", "stdout", "late", None, None, None, 1.0), ("f", 1, "error", None, None, ["\x1b[31mE\x1b[0m", 'File "x"'], None, None, 1.0)]
     df = spark.createDataFrame(rows, "exec_id string, seq int, msg_type string, stream_name string, text string, traceback array<string>, plain_text string, execution_state string, elapsed_s double")
