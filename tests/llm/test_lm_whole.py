@@ -61,3 +61,28 @@ def test_attention_is_asked_at_every_place():
     other[0, shape.context + 5] += 1
     changed = np.abs(model._read(other) - read).max(axis=2)[0] > 0
     assert not changed[:5].any() and changed[5:8].all()  # the next token's shares know of it already
+
+
+def test_kinds_come_from_every_learning_row(spark, monkeypatch):
+    from quorate.llm import lm
+
+    rng, shape, seen = np.random.default_rng(5), Shape(top=64, others=4, kinds=2, warm_rows=12, warm_passes=0), []
+    lists = [np.append(rng.integers(*((5, 25) if i % 3 else (35, 55)), 60), shape.end).astype("<u2") for i in range(120)]
+    frame = settle(spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(lists)], "row long, ids binary").repartition(3), "test-kinds")
+    monkeypatch.setattr(lm, "grid_counts", lambda ids, index, profiles, shape, whole=lm.grid_counts: seen.append(profiles) or whole(ids, index, profiles, shape))
+    fit(frame, shape)
+    uni = np.bincount(np.concatenate(lists), minlength=shape.vocabulary)
+    index = numbering(uni, shape)[1]
+    whole = np.bincount(index, uni, shape.size) + 0.05
+    want = [sum(np.bincount(index[x], minlength=shape.size) for i, x in enumerate(lists) if (i % 3 > 0) == kind) + 20 * whole / whole.sum() for kind in (True, False)]
+    got = sorted(np.exp(seen[0]), key=lambda p: -p[index[10]])
+    assert np.allclose(got, [w / w.sum() for w in want], rtol=1e-4)
+
+
+def test_no_parameter_comes_from_a_few_rows_alone(spark):
+    rng, shape = np.random.default_rng(6), Shape(top=64, others=4, kinds=2, warm_rows=1, warm_passes=2)
+    lists = [np.append(rng.integers(5, 60, 200), shape.end).astype("<u2") for _ in range(40)]
+    frame = settle(spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(lists)], "row long, ids binary").repartition(2), "test-few")
+    _, _, seen = fit(frame, shape)
+    windows = sum(-(-len(x) // shape.scored) for x in lists)
+    assert seen == 2 * windows  # few steps for a task: all rows are gone through again, not some
