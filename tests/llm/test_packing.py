@@ -2,10 +2,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from quorate.llm.packing import ChunkIds, configuration_lp, pack, packing_plan
+from quorate.llm.packing import ChunkIds, configuration_lp, pack, packing_plan, tokenized_pieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, length int, rank int"
@@ -100,3 +101,15 @@ def test_a_smaller_encoder_gives_the_same_ids():
     for i in range(0, len(texts), 3):
         assert [x.tolist() for x in small(texts[i : i + 3])] == [x.tolist() for x in large(texts[i : i + 3])]
     assert small.turn > 3
+
+
+def test_workers_keep_no_words_after_packing(spark):
+    def remembered(batches):
+        from quorate.llm import packing
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(packing._encoders)])], names=["n"])
+
+    docs = spark.createDataFrame([(i, f"word{i} and more") for i in range(40)], "doc_id long, text string").repartition(8)
+    assert tokenized_pieces(docs, PATH).count() == 40
+    assert {r.n for r in spark.range(64).repartition(16).mapInArrow(remembered, "n long").collect()} == {0}
